@@ -77,3 +77,46 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return raw, at - at[0]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal integer keys, whole, from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(key[lo]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tuple(key[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def make_folder(uri: str) -> None:
+    """Create a folder on any file system that pyarrow knows."""
+    fs, path = _place(uri)
+    fs.create_dir(path, recursive=True)
+
+
+def put_file(uri: str, parts: Iterator[bytes]) -> None:
+    """Write a file under a name of its own and move it into place: retries and twin tasks are harmless."""
+    fs, path = _place(uri)
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(aside) as out:
+        for part in parts:
+            out.write(part)
+    fs.move(aside, path)
+
+
+def _place(uri: str):
+    from pyarrow import fs
+
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
