@@ -39,6 +39,7 @@ VALUES = BANDS * ROWS
 STEP = 25
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
+BITMAP_BITS = 1 << 28
 
 _random = np.random.default_rng(20240607)
 _FACTOR = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
@@ -259,8 +260,8 @@ def _links(texts: DataFrame, sets: DataFrame, place: DataFrame, kind: str, shing
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     members = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    chosen = members.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
-    full = texts.where("doc_id IS NOT NULL").join(chosen, "doc_id", "left_semi").mapInArrow(_shingled(shingle), "node bigint, shingles binary")
+    chosen = members.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id"))
+    full = _chosen(texts.where("doc_id IS NOT NULL"), chosen, members.count()).mapInArrow(_shingled(shingle), "node bigint, shingles binary")
     rows = members.join(sets.select("node", "sig"), "node").join(full.dropDuplicates(["node"]), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("component", "node", "copies", "block", "sig", "shingles", other).select(
@@ -270,6 +271,24 @@ def _links(texts: DataFrame, sets: DataFrame, place: DataFrame, kind: str, shing
     return rows.mapInArrow(_verified(threshold, tolerance), "node bigint, other bigint, links bigint")
 
 
+def _chosen(texts: DataFrame, chosen: DataFrame, number: int) -> DataFrame:
+    """The texts whose ids are chosen, and perhaps a few more, without moving texts.
+
+    A bitmap of hashed ids, of at most ``BITMAP_BITS`` bits whatever the input, goes to every
+    task in rows of 4 KB. For so many ids that it would pass most texts, a semi-join is used.
+    """
+    if number > BITMAP_BITS // 4:
+        return texts.join(chosen.distinct(), "doc_id", "left_semi")
+    bits = 1 << 20
+    while bits < min(16 * number, BITMAP_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    rows = chosen.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    held = texts.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(rows), "bucket")
+    octet = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)), 16, 10) as int)")
+    return held.withColumn("octet", octet).where("getbit(octet, cast(bitmap_bit_position(place) % 8 as int)) = 1").select("doc_id", "text")
+
+
 def one_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first of their class, and those without words or a class id."""
     first = found.where("doc_id = class_id OR node = 0 OR class_id IS NULL").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("rows"))
