@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import decontamination, ngram_join, packing, quality, token_files, toxicity
+from cardloom.llm import decontamination, ngram_join, packing, pii, quality, token_files, toxicity
 
 #: ASCII lower case only, then the words of a text, in DuckDB.
 _SQL_WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with keyed surrogates for its personal data."""
+    replaced = pii.replace_entities(_table(spark, sf_dir, "documents"))
+    return replaced.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"), "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of every fifth id, by checksum, are never learned."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -89,6 +95,7 @@ SELECT r.doc_id, min(r.other) AS class_id, any_value(coalesce(n_links, 0)) AS n_
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_surrogates": op1_surrogates,
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op6_packing": op6_packing,
