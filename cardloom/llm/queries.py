@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import decontamination, ngram_join, packing, pii, quality, token_files, toxicity
+from cardloom.llm import decontamination, ngram_join, packing, pii, quality, token_files, toxicity, warc
 
 #: ASCII lower case only, then the words of a text, in DuckDB.
 _SQL_WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -61,6 +61,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back."""
+    records = warc.read_warc(spark, warc.write_warc(_table(spark, sf_dir, "pages"))).where("problem IS NULL")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents contain benchmark windows, and how much of each."""
     found = decontamination.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -81,6 +87,14 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+_OP4 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d
+"""
+
 _OP7 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, w, least(5, len(w)) AS n FROM (SELECT doc_id, {_SQL_WORDS.format("text")} AS w FROM documents)),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d WHERE n > 0)),
@@ -98,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_surrogates": op1_surrogates,
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
+        "op4_warc": op4_warc,
         "op6_packing": op6_packing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_token_files": op8_token_files,
@@ -107,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": _OP4,
         "op7_ngram_jaccard": _OP7,
         "op10_decontamination": _OP10,
     }
