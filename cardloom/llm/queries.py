@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import decontamination, ngram_join, packing, pii, quality, token_files, toxicity, warc
+from cardloom.llm import ann, decontamination, ngram_join, packing, pii, quality, token_files, toxicity, warc
 
 #: ASCII lower case only, then the words of a text, in DuckDB.
 _SQL_WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -67,6 +67,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, by inner product."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents contain benchmark windows, and how much of each."""
     found = decontamination.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op4_warc": op4_warc,
+        "op5_nearest": op5_nearest,
         "op6_packing": op6_packing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_token_files": op8_token_files,
