@@ -171,20 +171,44 @@ def find_benchmark(
     is cut into groups of items and the texts are passed through one search after the other,
     without a shuffle. A single item is never cut.
     """
-    spark = docs.sparkSession
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).selectExpr(
+        "doc_id", "text", "0L AS n_words", f"CAST(array() AS {FOUND.split(', ')[0][6:]}) AS spans", "CAST(array() AS array<bigint>) AS items"
+    )
+    for tables in _tables(benchmark, item_col, item_text_col, window, table_windows):
+        out = out.mapInArrow(_searcher(tables), out.schema)
+    return out
+
+
+def filter_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, table_windows: int = TABLE_WINDOWS,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no window occurs."""
+    for tables in _tables(benchmark, item_col, item_text_col, window, table_windows):
+        docs = docs.mapInArrow(_filter(tables, text_col), docs.schema)
+    return docs
+
+
+def _filter(tables, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                spans, _ = _marked(bytewords.words(batch.column(text_col)), tables.value)
+                yield batch.filter(pa.array([not x for x in spans], pa.bool_()))
+
+    return run
+
+
+def _tables(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, table_windows: int):
+    """Broadcast search tables of one group of items after the other."""
+    spark = benchmark.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text"))
     number = F.greatest(F.lit(1), F.regexp_count("text", F.lit(f"(?i){_WORD}")) - (window - 1))
     total = items.agg(F.sum(number)).first()[0] or 0
     groups = max(1, -(-int(total) // table_windows))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).selectExpr(
-        "doc_id", "text", "0L AS n_words", f"CAST(array() AS {FOUND.split(', ')[0][6:]}) AS spans", "CAST(array() AS array<bigint>) AS items"
-    )
     for g in range(groups):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g)
-        tables = spark.sparkContext.broadcast(search_tables([(r.item, r.text) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_searcher(tables), out.schema)
-    return out
+        yield spark.sparkContext.broadcast(search_tables([(r.item, r.text) for r in part.toLocalIterator()], window))
 
 
 def _searcher(tables):

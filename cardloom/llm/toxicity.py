@@ -177,11 +177,8 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
         ordinary, toxic = _compressor(m.ordinary), _compressor(m.toxic)
         for whole in batches:
             for batch in slices(whole, "text"):
-                raw, offsets = text_buffer(batch.column("text"))
-                text, gain = saved(LOWER[raw], offsets, ordinary, toxic)
                 n = batch.num_rows
-                x = (_features(text, gain, n, m.threshold) - m.scale[0]) / m.scale[1]
-                score = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
+                score, text, gain = _scores(batch.column("text"), m, ordinary, toxic)
                 most = np.zeros(n, dtype=np.int64)
                 np.maximum.at(most, text, gain)
                 hits = np.bincount(text, gain >= m.threshold, n).astype(np.int64)
@@ -194,6 +191,29 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCORE}")
 
 
+def _scores(column: pa.Array, m: Model, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score of each text, text of each window, bytes saved in each window)."""
+    raw, offsets = text_buffer(column)
+    text, gain = saved(LOWER[raw], offsets, ordinary, toxic)
+    x = (_features(text, gain, len(column), m.threshold) - m.scale[0]) / m.scale[1]
+    return 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30))), text, gain
+
+
+def filter_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``limit``."""
+    bounded_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        ordinary, toxic = _compressor(m.ordinary), _compressor(m.toxic)
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                yield batch.filter(pa.array(_scores(batch.column(text_col), m, ordinary, toxic)[0] < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id, as text, leaves ``fold`` when divided by ``folds``."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
