@@ -37,9 +37,11 @@ _CUES = ("[Mm]y name is", "[Nn]amed", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]e
 
 _TITLE = rf"(?:(?:{'|'.join(sorted(_MALE + _FEMALE + _NEUTRAL, key=len, reverse=True))})\.?|{'|'.join(_CUES)})"
 _CAPITAL, _ARABIC = r"\p{Lu}[\p{Ll}\p{Lu}'’-]+", r"[ء-ي]{2,}"
-_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\ (?:{_CAPITAL}(?:\ {_CAPITAL}){{0,2}}|{_ARABIC}(?:\ {_ARABIC})?)"
+#: The first letters of titles and cues: one look at a letter, then one behind it, before any longer comparison.
+_START = r"(?=[DFHIJMNPSijmnاسгдмМ])(?<![\p{L}\p{N}])"
+_NAME = rf"{_START}{_TITLE}\ (?:{_CAPITAL}(?:\ {_CAPITAL}){{0,2}}|{_ARABIC}(?:\ {_ARABIC})?)"
 _PATTERNS = {
-    "EMAIL": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "CARD": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){3}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "SSN": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -49,7 +51,7 @@ _PATTERNS = {
 }
 FOUND = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: What every entity has: a quick look at a text before the long expression.
-_HINT = rf"[0-9@]|{_TITLE}\ "
+_HINT = rf"@|[0-9][0-9][0-9]|\+[0-9]|[0-9]\.[0-9]|{_START}{_TITLE}\ "
 
 _LATIN = ("bcdfglmnprstv", "aeiou")
 _SCRIPTS = {"arabic": ("بتجدرسشعفقكلمنهي", "اوي"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
@@ -229,8 +231,10 @@ def replace_entities(docs: DataFrame, *, key: str = KEY, id_col: str = "doc_id",
     has = F.coalesce(_in(text, _HINT) & _in(text, FOUND), F.lit(False))
     mark = F.xxhash64(F.col(id_col), text)
     found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
-    with_kind = F.transform(found, lambda e: F.struct(e.alias("entity"), _kind(e).alias("kind")))
-    hits = docs.where(has).select(mark.alias("_mark"), with_kind.alias("mentions")).select("_mark", F.posexplode("mentions").alias("at", "m")).select("_mark", "at", "m.entity", "m.kind")
+    with_kind = F.transform("found", lambda e: F.struct(e.alias("entity"), _kind(e).alias("kind")))
+    # written before anything reads the array twice: the long expression runs once for each text
+    lists = written(docs.where(_in(text, _HINT)).select(mark.alias("_mark"), found.alias("found")), "found")
+    hits = lists.where(F.size("found") > 0).select("_mark", with_kind.alias("mentions")).select("_mark", F.posexplode("mentions").alias("at", "m")).select("_mark", "at", "m.entity", "m.kind")
     hits = written(hits, "mentions")
     parts = hits.select("_mark", "at", F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("part", "p")).select("_mark", "at", "part", "p.kind", "p.canonical")
     parts = written(parts, "parts")
