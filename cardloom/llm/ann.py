@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import bounded_batches, groups, written
 
 SAMPLE = 32_768
-LIST_ROWS = 1024
+LIST_ROWS = 4096
 LISTS = 4096
 SUBSPACES = 16
-TARGET = 0.985
+TARGET = 0.98
 RERANK = 96
-BLOCK = 4096
+BLOCK = 8192
 
 
 @dataclass
