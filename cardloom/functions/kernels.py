@@ -1,0 +1,183 @@
+"""Picture measures and turns in numpy, for use in Arrow batches."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def to_bgr(picture: np.ndarray) -> np.ndarray:
+    """Three channels of bytes from grey, one, three or four channels of bytes or floats."""
+    x = np.asarray(picture)
+    if x.dtype != np.uint8:
+        x = x.astype(np.float64)
+        x = np.clip(np.nan_to_num(x) * (255.0 if x.size and np.nanmax(x) <= 1.0 else 1.0), 0, 255).astype(np.uint8)
+    if x.ndim == 2:
+        x = x[:, :, None]
+    return np.ascontiguousarray(np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[:, :, :3])
+
+
+def grey(bgr: np.ndarray) -> np.ndarray:
+    return np.floor(bgr[..., 0] * 0.114 + bgr[..., 1] * 0.587 + bgr[..., 2] * 0.299 + 0.5).astype(np.uint8)
+
+
+def convolve(g: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Correlation with a small odd kernel; the border mirrors without its edge."""
+    r, c = kernel.shape[0] // 2, kernel.shape[1] // 2
+    p = np.pad(g.astype(np.float64), ((r, r), (c, c)), mode="reflect" if min(g.shape) > max(r, c) else "edge")
+    out = np.zeros(g.shape)
+    for i in range(kernel.shape[0]):
+        for j in range(kernel.shape[1]):
+            if kernel[i, j]:
+                out += kernel[i, j] * p[i : i + g.shape[0], j : j + g.shape[1]]
+    return out
+
+
+_LAPLACE = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]])
+_NOISE = np.array([[1, -2, 1], [-2, 4, -2], [1, -2, 1]])
+_SHARP = np.array([[0, -1, 0], [-1, 5, -1], [0, -1, 0]])
+
+
+def noise(g: np.ndarray) -> float:
+    h, w = g.shape
+    if min(h, w) < 3:
+        return 0.0
+    return float(np.abs(convolve(g, _NOISE)).sum() * np.sqrt(np.pi) / (6 * (w - 2) * (h - 2)))
+
+
+def quality(bgr: np.ndarray) -> tuple[float, float, float, float]:
+    """(blur, contrast, noise, brightness)."""
+    g = grey(bgr)
+    return float(convolve(g, _LAPLACE).var()), float(g.std()), noise(g), float(g.mean())
+
+
+def quarter_turns(picture: np.ndarray, degrees: int) -> np.ndarray:
+    """Turned clockwise by a multiple of 90."""
+    if degrees % 90:
+        raise ValueError("degrees must be a multiple of 90")
+    return np.ascontiguousarray(np.rot90(picture, k=-(degrees // 90) % 4))
+
+
+def pad(picture: np.ndarray, border: int, value: int = 255) -> np.ndarray:
+    edges = ((border, border), (border, border)) + ((0, 0),) * (picture.ndim - 2)
+    return np.pad(picture, edges, constant_values=value)
+
+
+def crop(picture: np.ndarray, x1: float, y1: float, x2: float, y2: float, margin: int = 0) -> np.ndarray | None:
+    h, w = picture.shape[:2]
+    a, b, c, d = max(0, int(x1) - margin), max(0, int(y1) - margin), min(w, int(x2) + margin), min(h, int(y2) + margin)
+    return picture[b:d, a:c] if c > a and d > b else None
+
+
+def _cubic(t: np.ndarray, a: float = -0.75) -> np.ndarray:
+    t = np.abs(t)
+    return np.where(t <= 1, (a + 2) * t**3 - (a + 3) * t**2 + 1, np.where(t < 2, a * t**3 - 5 * a * t**2 + 8 * a * t - 4 * a, 0.0))
+
+
+def _cubic_axis(x: np.ndarray, size: int, axis: int) -> np.ndarray:
+    n = x.shape[axis]
+    at = (np.arange(size) + 0.5) * n / size - 0.5
+    base = np.floor(at).astype(int)
+    out = 0.0
+    for k in range(-1, 3):
+        weight = _cubic(at - (base + k)).reshape([-1 if d == axis else 1 for d in range(x.ndim)])
+        out = out + np.take(x, np.clip(base + k, 0, n - 1), axis=axis) * weight
+    return out
+
+
+def resize(picture: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bicubic."""
+    out = _cubic_axis(_cubic_axis(picture.astype(np.float64), height, 0), width, 1)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def sharpen_digits(bgr: np.ndarray, scale: float = 3.0, most: int = 4000) -> np.ndarray:
+    """A digit strip, enlarged within limits and sharpened."""
+    g = grey(bgr)
+    f = max(1.0, min(scale, most / max(g.shape)))
+    g = resize(g, round(g.shape[1] * f), round(g.shape[0] * f)) if f > 1 else g
+    return to_bgr(np.clip(convolve(g, _SHARP), 0, 255).astype(np.uint8))
+
+
+def _sample(x: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Bilinear, edges repeated."""
+    h, w = x.shape[:2]
+    xs, ys = np.clip(xs, 0, w - 1), np.clip(ys, 0, h - 1)
+    a, b = np.floor(xs).astype(int), np.floor(ys).astype(int)
+    c, d = np.minimum(a + 1, w - 1), np.minimum(b + 1, h - 1)
+    u, v = xs - a, ys - b
+    if x.ndim == 3:
+        u, v = u[..., None], v[..., None]
+    return x[b, a] * (1 - u) * (1 - v) + x[b, c] * u * (1 - v) + x[d, a] * (1 - u) * v + x[d, c] * u * v
+
+
+def rotate(picture: np.ndarray, angle: float) -> np.ndarray:
+    """About the centre, counter-clockwise, on the same canvas."""
+    h, w = picture.shape[:2]
+    t = np.deg2rad(angle)
+    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
+    x, y = x - (w - 1) / 2, y - (h - 1) / 2
+    out = _sample(picture.astype(np.float64), np.cos(t) * x - np.sin(t) * y + (w - 1) / 2, np.sin(t) * x + np.cos(t) * y + (h - 1) / 2)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def _otsu(g: np.ndarray) -> int:
+    p = np.bincount(g.ravel(), minlength=256) / g.size
+    w, m = np.cumsum(p), np.cumsum(p * np.arange(256))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = (m[-1] * w - m) ** 2 / (w * (1 - w))
+    return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
+
+
+def text_mask(bgr: np.ndarray) -> np.ndarray | None:
+    """Ink inside the frame of a card, at most 600 wide; null where there is too little."""
+    g = grey(bgr)
+    h, w = g.shape
+    g = g[int(h * 0.06) : h - int(h * 0.06), int(w * 0.06) : w - int(w * 0.06)]
+    if min(g.shape) < 20:
+        return None
+    if g.shape[1] > 600:
+        g = resize(g, 600, max(1, round(g.shape[0] * 600 / g.shape[1])))
+    ink = g <= _otsu(g)
+    return ink if ink.sum() >= 50 else None
+
+
+def skew(bgr: np.ndarray) -> float:
+    """Degrees by which lines of text lean, to a fifth; 0 where none stand out.
+
+    The ink's rows are summed along slanted lines: the sums change most abruptly along the text.
+    """
+    ink = text_mask(bgr)
+    if ink is None:
+        return 0.0
+    ys, xs = np.nonzero(ink)
+    x, y = xs - (ink.shape[1] - 1) / 2, ys - (ink.shape[0] - 1) / 2
+
+    def score(angle: float) -> float:
+        t = np.deg2rad(angle)
+        rows = np.rint(y * np.cos(t) - x * np.sin(t)).astype(int)
+        sums = np.bincount(rows - rows.min())
+        return float((np.diff(sums.astype(np.float64)) ** 2).sum())
+
+    coarse = max(range(-20, 21), key=lambda a: (score(a), -abs(a)))
+    fine = max((coarse + k / 5 for k in range(-5, 6)), key=lambda a: (score(a), -abs(a)))
+    return 0.0 if abs(fine) < 0.4 or abs(fine) > 20 else round(fine, 2)
+
+
+def order_corners(points: np.ndarray) -> np.ndarray:
+    """Four corners from the top left clockwise."""
+    p = np.asarray(points, dtype=np.float64).reshape(4, 2)
+    total, gap = p.sum(1), p[:, 1] - p[:, 0]
+    return np.stack([p[total.argmin()], p[gap.argmin()], p[total.argmax()], p[gap.argmax()]])
+
+
+def warp(picture: np.ndarray, corners: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The quadrilateral, straightened to a rectangle."""
+    src = order_corners(corners)
+    dst = np.array([[0, 0], [width - 1, 0], [width - 1, height - 1], [0, height - 1]], dtype=np.float64)
+    rows = []
+    for (x, y), (u, v) in zip(dst, src, strict=True):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+    m = np.append(np.linalg.solve(np.array(rows), src.ravel()), 1).reshape(3, 3)
+    y, x = np.mgrid[0:height, 0:width]
+    p = np.stack([x, y, np.ones_like(x)], axis=-1) @ m.T
+    return np.clip(np.rint(_sample(picture.astype(np.float64), p[..., 0] / p[..., 2], p[..., 1] / p[..., 2])), 0, 255).astype(np.uint8)

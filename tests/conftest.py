@@ -1,5 +1,9 @@
-import pytest
-from pyspark.sql import SparkSession
+import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
