@@ -150,7 +150,7 @@ def skew(bgr: np.ndarray) -> float:
     if ink is None:
         return 0.0
     ys, xs = np.nonzero(ink)
-    x, y = xs - (ink.shape[1] - 1) / 2, ys - (ink.shape[0] - 1) / 2
+    x, y = xs - ink.shape[1] // 2, ys - ink.shape[0] // 2
 
     def score(angle: float) -> float:
         t = np.deg2rad(angle)
