@@ -181,3 +181,74 @@ def warp(picture: np.ndarray, corners: np.ndarray, width: int, height: int) -> n
     y, x = np.mgrid[0:height, 0:width]
     p = np.stack([x, y, np.ones_like(x)], axis=-1) @ m.T
     return np.clip(np.rint(_sample(picture.astype(np.float64), p[..., 0] / p[..., 2], p[..., 1] / p[..., 2])), 0, 255).astype(np.uint8)
+
+
+#: Line height that recognisers like, and the largest enlargement towards it.
+LINE_HEIGHT, MOST_ENLARGED = 64, 4.0
+
+
+def _gaussian(g: np.ndarray, sigma: float) -> np.ndarray:
+    r = int(np.ceil(3 * sigma))
+    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
+    k /= k.sum()
+    return convolve(convolve(g, k[None, :]), k[:, None])
+
+
+def unsharp(g: np.ndarray, amount: float = 0.5) -> np.ndarray:
+    """What differs from a blurred copy, strengthened."""
+    return np.clip(np.rint((1 + amount) * g.astype(np.float64) - amount * _gaussian(g, 2.0)), 0, 255).astype(np.uint8)
+
+
+def bilateral(g: np.ndarray, size: int = 5, colour: float = 50.0, space: float = 50.0) -> np.ndarray:
+    """Neighbours averaged by nearness in place and in brightness, which keeps edges."""
+    r = size // 2
+    p = np.pad(g.astype(np.float64), r, mode="reflect" if min(g.shape) > r else "edge")
+    total, weights = np.zeros(g.shape), np.zeros(g.shape)
+    for i in range(-r, r + 1):
+        for j in range(-r, r + 1):
+            if i * i + j * j <= r * r:
+                x = p[r + i : r + i + g.shape[0], r + j : r + j + g.shape[1]]
+                w = np.exp(-(i * i + j * j) / (2 * space**2) - (x - g) ** 2 / (2 * colour**2))
+                total += w * x
+                weights += w
+    return np.clip(np.rint(total / weights), 0, 255).astype(np.uint8)
+
+
+def equalise(g: np.ndarray, limit: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation in tiles, blended between their centres."""
+    h, w = g.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    p = np.pad(g, ((0, th * tiles - h), (0, tw * tiles - w)), mode="symmetric" if min(g.shape) > max(th, tw) else "edge")
+    most = max(1, int(limit * th * tw / 256))
+    table = np.empty((tiles, tiles, 256))
+    for a in range(tiles):
+        for b in range(tiles):
+            n = np.bincount(p[a * th : (a + 1) * th, b * tw : (b + 1) * tw].ravel(), minlength=256)
+            over = int(np.maximum(n - most, 0).sum())
+            n = np.minimum(n, most) + over // 256
+            if over % 256:
+                n[:: max(1, 256 // (over % 256))][: over % 256] += 1
+            table[a, b] = np.clip(np.rint(np.cumsum(n) * 255 / (th * tw)), 0, 255)
+    y, x = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
+    a, b = np.clip(np.floor(y).astype(int), 0, tiles - 1), np.clip(np.floor(x).astype(int), 0, tiles - 1)
+    c, d = np.minimum(a + 1, tiles - 1), np.minimum(b + 1, tiles - 1)
+    u, v = np.clip(y - a, 0, 1)[:, None], np.clip(x - b, 0, 1)[None, :]
+    at = table[a[:, None], b[None, :], g] * (1 - u) * (1 - v) + table[a[:, None], d[None, :], g] * (1 - u) * v
+    at = at + table[c[:, None], b[None, :], g] * u * (1 - v) + table[c[:, None], d[None, :], g] * u * v
+    return np.clip(np.rint(at), 0, 255).astype(np.uint8)
+
+
+def enhance_text(bgr: np.ndarray) -> np.ndarray:
+    """A crop made readable: enlarged to line height, then only what its measures ask for."""
+    blur, contrast, sigma, bright = quality(bgr)
+    g = grey(bgr)
+    f = min(MOST_ENLARGED, max(1.0, LINE_HEIGHT / g.shape[0]))
+    if f > 1.01:
+        g = resize(g, round(g.shape[1] * f), round(g.shape[0] * f))
+    if contrast < 45 or bright < 70 or bright > 200:
+        g = equalise(g)
+    if sigma > 6:
+        g = bilateral(g)
+    if blur < 100:
+        g = unsharp(g)
+    return to_bgr(g)

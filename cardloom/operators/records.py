@@ -119,6 +119,23 @@ def nested_json(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def human_text(df: DataFrame, *keep: str) -> DataFrame:
+    """The record as lines for people: ~ marks what is unsure, a dash what was not read."""
+    labels = {"full_name": "Full name", "first_name": "First name", "last_name": "Last name", "address": "Address", "national_id": "National ID"}
+
+    def line(c: str, label: str) -> Column:
+        f = F.col(c)
+        mark = F.when(f["status"] == LOW, " ~").otherwise("  ")
+        read = F.concat(F.lit(f"  {label:<12}"), mark, F.lit(" "), f["value"], F.format_string("   [%.0f%%]", F.bround(f["confidence"] * 100, 0)))
+        return F.when(F.length(f["value"]) > 0, read).otherwise(F.concat(F.lit(f"  {label:<12}   — ("), f["status"], F.lit(")")))
+
+    derived = [F.when(F.col("birth_date").isNotNull(), F.concat(F.lit(f"  {label:<12}   "), F.coalesce(c, F.lit("None")))) for c, label in (("birth_date", "Birth date"), ("governorate", "Governorate"), ("gender", "Gender"))]
+    errors = F.col("validation.errors")
+    valid = F.concat(F.lit(f"  {'ID valid':<12}   "), F.when(F.col("validation.valid"), "yes").otherwise("no"), F.when(F.size(errors) > 0, F.concat(F.lit(" ("), F.array_join(errors, "; "), F.lit(")"))).otherwise(""))
+    notes = F.when(F.size("warnings") > 0, F.concat(F.lit("\n  Warnings:\n    · "), F.array_join("warnings", "\n    · ")))
+    return df.select(*keep, F.concat_ws("\n", *(line(c, t) for c, t in labels.items()), *derived, valid, notes).alias("text"))
+
+
 def upload_status(content_type: Column, size: Column, decodes: Column, settings: Settings) -> Column:
     """The HTTP status that an upload would get; an absent type is allowed."""
     named = F.length(F.coalesce(content_type, F.lit(""))) > 0

@@ -348,6 +348,11 @@ def record_json(spark, sf_dir):
     return records.nested_json(_record_rows(spark, sf_dir), "crop")
 
 
+@query()
+def record_text(spark, sf_dir):
+    return records.human_text(_record_rows(spark, sf_dir), "crop")
+
+
 @query(
     f"""WITH bx AS ({inputs.DUCK_BOX}) SELECT card, ord, concat_ws('; ', CASE WHEN NOT detected THEN 'No ID card outline was detected; processing the image as if it were already cropped to the card.' END,
   CASE WHEN detected AND confidence < 0.45 THEN 'Card detected with low confidence (' || printf('%.2f', confidence) || '); results may be unreliable.' END,
@@ -494,6 +499,23 @@ def quality_kernel(spark, sf_dir):
     return rows.mapInPandas(run, "s_suppkey bigint, blur double, contrast double, noise double, brightness double")
 
 
+@query()
+def enhance_kernel(spark, sf_dir):
+    """Size and contrast of crops of the suppliers' pictures before and after they are made readable."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for k, b in zip(f.s_suppkey, f.s_acctbal, strict=True):
+                before = kernels.crop(_picture(int(k), int(abs(b))), 10, 15, 190, 45) // 4 + 90
+                after = kernels.enhance_text(before)
+                rows.append((int(k), before.shape[0], after.shape[0], float(kernels.grey(before).std()), float(kernels.grey(after).std())))
+            yield pd.DataFrame(rows, columns=["s_suppkey", "height", "new_height", "contrast", "new_contrast"])
+
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal")
+    return rows.mapInPandas(run, "s_suppkey bigint, height int, new_height int, contrast double, new_contrast double")
+
+
 @query()
 def skew_kernel(spark, sf_dir):
     """The lean that is found in turned pictures drawn from the suppliers' numbers."""

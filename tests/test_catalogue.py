@@ -35,6 +35,11 @@ def test_others_give_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_text_of_a_record(spark):
+    row = catalogue.record_text(spark, SF).orderBy("crop").first().text.split("\n")
+    assert [x[2:14].strip() for x in row[:5]] == ["Full name", "First name", "Last name", "Address", "National ID"] and any(x.startswith("  ID valid       ") for x in row)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -71,6 +71,17 @@ def test_resize_and_warp():
     assert np.abs(flat.astype(int) - x).max() <= 1 and kernels.sharpen_digits(x).shape == (360, 600, 3)
 
 
+def test_enhancement():
+    dull = _picture(5, 4)[10:42] // 5 + 100
+    out = kernels.enhance_text(dull)
+    assert out.shape == (64, 400, 3) and kernels.grey(out).std() > 1.5 * kernels.grey(dull).std()
+    flat = np.full((90, 70), 128, np.uint8)
+    assert (kernels.bilateral(flat) == 128).all() and (kernels.unsharp(flat) == 128).all() and kernels.equalise(flat).std() == 0
+    noisy = np.clip(128 + np.random.default_rng(7).normal(0, 12, (60, 80)), 0, 255).astype(np.uint8)
+    assert kernels.noise(kernels.bilateral(noisy)) < 0.7 * kernels.noise(noisy)
+    assert kernels.enhance_text(np.zeros((300, 2000, 3), np.uint8)).shape == (300, 2000, 3)
+
+
 def test_kernels_run_on_spark(spark):
     from cardloom.plans import catalogue
 
