@@ -127,7 +127,7 @@ def _packer(vocabulary: str, end_id: int, length: int):
         coder = encoder(vocabulary)
         for table in groups(batches, ["group"]):
             ids, begin = [], [0]
-            for part in table.to_batches(256):
+            for part in table.to_batches(1024):
                 own, at = coder.encode([t or "" for t in part.column("text").to_pylist()])
                 ends = np.insert(own, at[1:], end_id)
                 ids.append(ends)

@@ -111,8 +111,8 @@ def _writer(vocabulary: str, end_id: int, folder: str, run: str):
         width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         ids, keys, nulls, counts, mark = [], [], [], [], None
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 own, begin = coder.encode([t or "" for t in batch.column("text").to_pylist()])
                 ids.append(np.insert(own, begin[1:], end_id).astype(f"<u{width}"))
                 counts.append(np.diff(begin) + 1)

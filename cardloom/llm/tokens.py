@@ -14,15 +14,30 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 _SPACE = re.compile(r"\s")
 
 
+class _Growing:
+    """An array that is added to without copying it every time."""
+
+    def __init__(self, kind: type):
+        self.all = np.zeros(1 << 12, dtype=kind)
+        self.held = self.all[:0]
+
+    def add(self, more: np.ndarray) -> None:
+        n = len(self.held)
+        if n + len(more) > len(self.all):
+            self.all = np.concatenate([self.held, np.zeros(n + 2 * len(more), dtype=self.all.dtype)])
+        self.all[n : n + len(more)] = more
+        self.held = self.all[: n + len(more)]
+
+
 class Encoder:
     """Ids of texts under one vocabulary file."""
 
@@ -37,7 +52,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.size, self.mark = (np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.uint8))
+        self.flat, self.start, self.size, self.mark = (_Growing(t) for t in (np.uint32, np.int64, np.int64, np.uint8))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, straight from the library."""
@@ -56,9 +71,10 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=False))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, size.sum())])
-        self.size = np.concatenate([self.size, size])
-        self.mark = np.concatenate([self.mark, np.fromiter(map(self._marks, new), np.uint8, len(new))])
+        self.start.add(len(self.flat.held) + np.cumsum(size) - size)
+        self.size.add(size)
+        self.flat.add(np.fromiter(chain.from_iterable(ids), np.uint32, size.sum()))
+        self.mark.add(np.fromiter(map(self._marks, new), np.uint8, len(new)))
 
     def _split(self, text: str) -> list[str]:
         if self.spaced:
@@ -71,23 +87,24 @@ class Encoder:
         count = np.fromiter(map(len, split), np.int64, len(split))
         pieces = list(chain.from_iterable(split))
         del split
-        new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED and self.known:
-            self.forget()
-            new = set(pieces)
-        if new:
+        index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            new = {pieces[i] for i in missing.tolist()}
+            if len(self.known) + len(new) > REMEMBERED and self.known:
+                self.forget()
+                missing, new = np.arange(len(pieces)), set(pieces)
             self._remember(new)
-        index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            index[missing] = np.fromiter((self.known[pieces[i]] for i in missing.tolist()), np.int64, len(missing))
         del pieces
-        mark, of = self.mark[index], np.repeat(np.arange(len(texts)), count)
+        mark, of = self.mark.held[index], np.repeat(np.arange(len(texts)), count)
         odd = np.zeros(len(texts), dtype=bool)
         odd[of[(mark & 1) > 0]] = True
         odd[of[1:][((mark[:-1] & 2) > 0) & ((mark[1:] & 4) > 0) & (of[1:] == of[:-1])]] = True
         odd |= np.fromiter(("\x00" in t for t in texts), bool, len(texts))
-        size = self.size[index]
+        size = self.size.held[index]
         place = np.concatenate(([0], np.cumsum(size)))
-        start = np.cumsum(self.size) - self.size
-        ids = self.flat[np.repeat(start[index] - place[:-1], size) + np.arange(place[-1])]
+        ids = self.flat.held[np.repeat(self.start.held[index] - place[:-1], size) + np.arange(place[-1])]
         begin = place[np.concatenate(([0], np.cumsum(count)))]
         if odd.any():
             parts = [ids[a:b] for a, b in zip(begin, begin[1:], strict=False)]
