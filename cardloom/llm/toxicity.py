@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.llm import bytewords
 from cardloom.llm.bytewords import LOWER
 from cardloom.llm.common import bounded_batches, slices, text_buffer
 
@@ -37,7 +38,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 40_000, 4096
 MAX_PER_CLASS = {1: 2000, 0: 4000}
 FEATURES = 17
 STEMS = (4, 6)
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SCORE = "score double, n_windows bigint, n_toxic bigint, most_saved bigint"
 
 
@@ -87,12 +88,24 @@ def _features(text: np.ndarray, gain: np.ndarray, n: int, threshold: int) -> np.
 
 
 def _contexts(texts: list[str]) -> Counter:
-    """How many different neighbourhoods each word has; copies of a text add nothing."""
-    seen = set()
-    for t in texts:
-        w = ["", *_WORD.findall(t), ""]
-        seen.update(zip(w, w[1:], w[2:], strict=False))
-    return Counter(x[1] for x in seen)
+    """How many different neighbourhoods (a word before, a word behind) each word has; copies of a text add nothing."""
+    seen, owners = [], []
+    spelled: dict[int, str] = {}
+    for part in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"]), "text", 1 << 20):
+        w = bytewords.words(part.column("text"))
+        h = np.concatenate(([0], w.hash, [0])).astype(np.uint64)
+        of = np.concatenate(([-1], w.text_of(), [-1]))
+        before, behind = h[:-2] * (of[:-2] == of[1:-1]), h[2:] * (of[2:] == of[1:-1])
+        seen.append(bytewords.mix(before * bytewords.PLACES[0] + h[1:-1] * bytewords.PLACES[1] + behind * bytewords.PLACES[2]))
+        owners.append(w.hash)
+        for key, k in zip(*np.unique(w.hash, return_index=True), strict=True):
+            if int(key) not in spelled:
+                spelled[int(key)] = w.bytes_at(int(k), 1).decode()
+    if not seen:
+        return Counter()
+    _, first = np.unique(np.concatenate(seen), return_index=True)
+    words, count = np.unique(np.concatenate(owners)[first], return_counts=True)
+    return Counter({spelled[int(k)]: int(n) for k, n in zip(words, count, strict=True)})
 
 
 def _with_stems(words: Counter) -> Counter:
