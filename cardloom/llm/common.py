@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 #: Bytes of text worked on at a time inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

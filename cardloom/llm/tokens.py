@@ -19,7 +19,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 _SPACE = re.compile(r"\s")
 
 
