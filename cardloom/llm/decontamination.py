@@ -29,6 +29,7 @@ WINDOW = 10
 TABLE_WINDOWS = 200_000
 _BITS = 18
 _LANE = 256
+_PAIRS = 1 << 18
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 FOUND = "spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
@@ -112,6 +113,20 @@ def search(w: bytewords.Words, p: Patterns) -> tuple[np.ndarray, np.ndarray]:
     k = np.minimum(np.searchsorted(p.suffix, code), len(p.suffix) - 1)
     known = p.suffix[k] == code
     at, k = at[known] - p.length + 1, k[known]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    total = np.cumsum(p.bucket[k + 1] - p.bucket[k])
+    lo = 0
+    while lo < len(at):  # a bounded number of (place, pattern) pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _PAIRS, side="right")))
+        found.append(_confirmed(w, p, at[lo:hi], k[lo:hi]))
+        lo = hi
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _confirmed(w: bytewords.Words, p: Patterns, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and patterns of buckets that pass the prefix, the words and the bytes."""
     size = p.bucket[k + 1] - p.bucket[k]
     which = np.repeat(p.bucket[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     at = np.repeat(at, size)

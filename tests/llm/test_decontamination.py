@@ -50,6 +50,19 @@ def test_equals_brute_force(spark, docs, table_windows):
     assert sorted([tuple(r) for r in got], key=str) == brute(docs, ITEMS)
 
 
+def test_few_pairs_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from cardloom.llm import bytewords
+
+    w = bytewords.words(pa.array([t for _, t in DOCS], pa.string()))
+    (table, *_) = [t for t in decontamination.search_tables([(k, f"{k} a b {k % 3} c d e f g h of the") for k in range(40)] + ITEMS) if t.length == 10]
+    whole = decontamination.search(w, table)
+    monkeypatch.setattr(decontamination, "_PAIRS", 3)
+    parts = decontamination.search(w, table)
+    assert len(whole[0]) > 5 and sorted(zip(*map(list, whole), strict=True)) == sorted(zip(*map(list, parts), strict=True))
+
+
 def test_empty_benchmark_finds_nothing(spark):
     d = spark.createDataFrame(DOCS, "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
