@@ -9,6 +9,13 @@ doing so. A surrogate has the type of its entity, and keeps its shape: separator
 codes, top-level domains, letter case, script (Latin, Arabic, Cyrillic), the gender of a given
 name, the first digit and the validity of a card's checksum, and valid account check digits.
 
+A word of a name is one entity, whatever stands around it. Whether its surrogate is a given or a
+family name, and of which gender, is settled once over the whole corpus: by its places in names
+of several words (a draw: given), else given behind an introduction and family behind a title; by
+the titles before it (Mr, Mrs), else (none, or as many of each) by its own ending. Words of the
+names found in a text are also replaced where they stand alone in that text with a capital (in
+Arabic: as a whole word), even where they happen to be an ordinary word there.
+
 Distinctness: a surrogate that another entity of its type already has, or that is itself an
 entity of the corpus, is drawn again, until none is left; the drawing is a function of the
 entities alone, so that a repeated run gives the same text.
@@ -40,6 +47,8 @@ _CAPITAL, _ARABIC = r"\p{Lu}[\p{Ll}\p{Lu}'’-]+", r"[ء-ي]{2,}"
 #: The first letters of titles and cues: one look at a letter, then one behind it, before any longer comparison.
 _START = r"(?=[DFHIJMNPSijmnاسгдмМ])(?<![\p{L}\p{N}])"
 _NAME = rf"{_START}{_TITLE}\ (?:{_CAPITAL}(?:\ {_CAPITAL}){{0,2}}|{_ARABIC}(?:\ {_ARABIC})?)"
+#: Around a word with a capital, or an Arabic one, that may be a name mentioned without a title.
+_ALONE_START, _ALONE_END = r"(?<![\p{L}\p{N}])(?=[\p{Lu}ء-ي])", r"(?![\p{L}\p{N}])"
 _PATTERNS = {
     "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -174,12 +183,33 @@ def _parts(e: Column, kind: Column) -> Column:
 
     def part(x: Column, i: Column) -> Column:
         script = F.when(_in(x, r"[؀-ۿ]"), "arabic").when(_in(x, r"[Ѐ-ӿ]"), "cyrillic").otherwise("latin")
-        family = i == F.size(names) - 1
-        # one family name for all: only Cyrillic ones differ by gender
-        sort = F.when(family, F.when(script == "cyrillic", F.concat(F.lit("SURNAME-"), gender)).otherwise("SURNAME")).otherwise(F.concat(F.lit("GIVEN-"), gender))
-        return F.struct(F.concat_ws("-", sort, script).alias("kind"), F.lower(x).alias("canonical"))
+        alone = F.when(plain.isin(*_MALE, *_FEMALE, *_NEUTRAL), "titled").otherwise("introduced")
+        place = F.when(F.size(names) == 1, alone).when(i == F.size(names) - 1, "family").otherwise("given")
+        return F.struct(F.concat(F.lit("NAME-"), script).alias("kind"), F.lower(x).alias("canonical"), place.alias("place"), gender.alias("gender"))
+
+    nothing = F.lit(None).cast("string")
+    return F.when(kind == "NAME", F.transform(names, part)).otherwise(F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"), nothing.alias("place"), nothing.alias("gender"))))
+
+
+def _forms(parts: DataFrame) -> DataFrame:
+    """``kind``, ``canonical`` and ``form`` of every entity: for a word of a name, what its surrogate is to look like."""
+    def times(c: Column) -> Column:
+        return F.count(F.when(c, 1))
 
-    return F.when(kind == "NAME", F.transform(names, part)).otherwise(F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"))))
+    place, gender = F.col("place"), F.col("gender")
+    seen = {"given": place == "given", "family": place == "family", "introduced": place == "introduced"}
+    seen |= {f"{g}{k}": (gender == g) & (place != other) for g in "mf" for k, other in (("1", "family"), ("2", "given"))}
+    counts = parts.groupBy("kind", "canonical").agg(*(times(c).alias(k) for k, c in seen.items()))
+    given = (F.col("given") >= F.col("family")) & (F.col("given") + F.col("introduced") > 0)
+    more = F.when(given, F.col("m1") - F.col("f1")).otherwise(F.col("m2") - F.col("f2"))
+    sex = F.when(more > 0, "m").when(more < 0, "f").when(_in(F.col("canonical"), "(?:a|ة|اء|а|я)$"), "f").otherwise("m")
+    form = F.concat_ws("-", F.when(given, "GIVEN").otherwise("SURNAME"), sex, F.split_part("kind", F.lit("-"), F.lit(2)))
+    return counts.select("kind", "canonical", F.when(F.col("kind").startswith("NAME"), form).otherwise(F.col("kind")).alias("form"))
+
+
+def _cased(x: Column, v: Column) -> Column:
+    """``v`` in the letter case of ``x``."""
+    return F.when(x == F.lower(x), v).when((x == F.upper(x)) & (F.length(x) > 1), F.upper(v)).otherwise(F.concat(F.upper(v.substr(1, 1)), v.substr(F.lit(2), F.length(v))))
 
 
 def _rewritten(e: Column, kind: Column, values: Column) -> Column:
@@ -190,30 +220,25 @@ def _rewritten(e: Column, kind: Column, values: Column) -> Column:
     upper = e == F.upper(e)
     title = F.regexp_extract(e, rf"^{_TITLE}\ ", 0)
     names = F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
-
-    def cased(v: Column, i: Column) -> Column:
-        x = names[i]
-        return F.when(x == F.lower(x), v).when((x == F.upper(x)) & (F.length(x) > 1), F.upper(v)).otherwise(F.concat(F.upper(v.substr(1, 1)), v.substr(F.lit(2), F.length(v))))
-
     spaced = F.regexp_replace(value, "(.{4})(?=.)", "$1 ")
     return (
         F.when(kind == "EMAIL", F.when(upper, F.upper(value)).otherwise(value))
         .when(kind == "IBAN", F.when(F.contains(e, F.lit(" ")), spaced).otherwise(value))
-        .when(kind == "IP", value).when(kind == "NAME", F.concat(title, F.array_join(F.transform(values, cased), " ")))
+        .when(kind == "IP", value).when(kind == "NAME", F.concat(title, F.array_join(F.transform(values, lambda v, i: _cased(names[i], v)), " ")))
         .when(kind == "PHONE", _refill(e, number)).otherwise(_refill(e, value))
     )
 
 
 def _table(parts: DataFrame, key: str) -> DataFrame:
     """``kind``, ``canonical`` and ``value`` of every entity; no value is shared or is an entity itself."""
-    entities = written(parts.select("kind", "canonical").distinct(), "entities")
+    entities = written(_forms(parts), "entities")
     sort = F.regexp_extract("kind", "^[A-Z]+", 0)
     taken = entities.select(sort.alias("sort"), F.col("canonical").alias("value")).distinct()
     table = entities.withColumn("attempt", F.lit(0))
     for _ in range(ROUNDS):
-        drawn = table.select("kind", "canonical", "attempt", _draw(key, F.col("kind"), F.col("canonical"), F.col("attempt").cast("string")).alias("h"), _draw(key, "DOMAIN", F.split_part("canonical", F.lit("@"), F.lit(2))).alias("d"))
-        value = _surrogate(F.col("h"), F.col("d"), F.col("kind"), F.col("canonical"), F.col("attempt"))
-        table = written(drawn.select("kind", "canonical", "attempt", value.alias("value"), sort.alias("sort")), "surrogates")
+        drawn = table.select("kind", "canonical", "form", "attempt", _draw(key, F.col("kind"), F.col("canonical"), F.col("attempt").cast("string")).alias("h"), _draw(key, "DOMAIN", F.split_part("canonical", F.lit("@"), F.lit(2))).alias("d"))
+        value = _surrogate(F.col("h"), F.col("d"), F.col("form"), F.col("canonical"), F.col("attempt"))
+        table = written(drawn.select("kind", "canonical", "form", "attempt", value.alias("value"), sort.alias("sort")), "surrogates")
         # one holder keeps a value: the one that drew it first, then the first by name
         keeper = table.groupBy("sort", "value").agg(F.min(F.struct("attempt", "canonical", "kind")).alias("keeper"), F.count("*").alias("holders"))
         again = keeper.join(taken.withColumn("real", F.lit(True)), ["sort", "value"], "left").where("holders > 1 OR real")
@@ -221,7 +246,7 @@ def _table(parts: DataFrame, key: str) -> DataFrame:
             return table
         marked = table.join(again, ["sort", "value"], "left")
         lost = F.coalesce(F.col("real"), F.lit(False)) | (F.col("keeper").isNotNull() & ~((F.col("keeper.canonical") == F.col("canonical")) & (F.col("keeper.kind") == F.col("kind"))))
-        table = marked.select("kind", "canonical", (F.col("attempt") + F.when(lost, 1).otherwise(0)).alias("attempt"))
+        table = marked.select("kind", "canonical", "form", (F.col("attempt") + F.when(lost, 1).otherwise(0)).alias("attempt"))
     raise RuntimeError("no distinct surrogates were found: the key space of a type is exhausted")
 
 
@@ -236,21 +261,39 @@ def replace_entities(docs: DataFrame, *, key: str = KEY, id_col: str = "doc_id",
     lists = written(docs.where(_in(text, _HINT)).select(mark.alias("_mark"), found.alias("found")), "found")
     hits = lists.where(F.size("found") > 0).select("_mark", with_kind.alias("mentions")).select("_mark", F.posexplode("mentions").alias("at", "m")).select("_mark", "at", "m.entity", "m.kind")
     hits = written(hits, "mentions")
-    parts = hits.select("_mark", "at", F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("part", "p")).select("_mark", "at", "part", "p.kind", "p.canonical")
+    parts = hits.select("_mark", "at", F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("part", "p")).select("_mark", "at", "part", "p.*")
     parts = written(parts, "parts")
     values = parts.join(_table(parts, key).select("kind", "canonical", "value"), ["kind", "canonical"])
+    word = F.when(F.col("kind").startswith("NAME"), F.col("canonical"))
     # at most three parts to a mention; rows that repeat give equal structs, which collect_set joins
-    values = values.groupBy("_mark", "at").agg(F.collect_set(F.struct("part", "value")).alias("values"))
-    mentions = hits.distinct().join(values, ["_mark", "at"]).select("_mark", "at", "kind", _rewritten(F.col("entity"), F.col("kind"), F.transform(F.array_sort("values"), lambda v: v["value"])).alias("new"))
+    values = values.groupBy("_mark", "at").agg(F.collect_set(F.struct("part", word.alias("word"), "value")).alias("values"))
+    mentions = hits.distinct().join(values, ["_mark", "at"]).select("_mark", "at", "kind", _rewritten(F.col("entity"), F.col("kind"), F.transform(F.array_sort("values"), lambda v: v["value"])).alias("new"), F.filter("values", lambda v: v["word"].isNotNull()).alias("names"))
     # the mentions of one text go back into that text
-    lists = mentions.groupBy("_mark").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "new"))).alias("_new"))
+    lists = mentions.groupBy("_mark").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "new", "names"))).alias("_new"))
     changed = docs.where(has).withColumn("_mark", mark).join(lists, "_mark")
     new = F.transform("_new", lambda x: x["new"])
-    rest = F.split(text, FOUND, -1)
+    # beside the mentions, words of the text's names that stand alone
+    words = F.array_distinct(F.flatten(F.transform("_new", lambda x: F.transform(x["names"], lambda v: F.struct(v["word"].alias("word"), v["value"].alias("value"))))))
+    changed = changed.withColumns({"_rest": F.split(text, FOUND, -1), "_words": words})
+    standing = F.transform(F.flatten(F.transform("_rest", lambda x: F.regexp_extract_all(x, F.lit(rf"{_ALONE_START}\p{{L}}+{_ALONE_END}"), F.lit(0)))), lambda x: F.lower(x))
+    # names of several parts are always looked for, others where their letters occur: each text is compared with few
+    own = F.transform("_words", lambda v: v["word"])
+    standing = F.array_union(F.array_intersect(own, standing), F.filter(own, lambda w: _in(w, "['’-]")))
+    changed = changed.withColumn("_names", F.when(F.size("_words") > 0, standing).otherwise(F.array().cast("array<string>")))
+    alone = F.concat(F.lit(_ALONE_START + "(?iu:"), F.array_join(F.reverse(F.array_sort("_names")), "|"), F.lit(")" + _ALONE_END))
+    changed = changed.withColumns({"_alone": alone, "_values": F.map_from_entries(F.filter("_words", lambda v: F.array_contains("_names", v["word"])))})
+
+    def without(x: Column) -> Column:
+        standing = F.transform(F.regexp_extract_all(x, F.col("_alone"), F.lit(0)), lambda w: F.coalesce(_cased(w, F.element_at("_values", F.lower(w))), w))
+        return F.array_join(F.zip_with(F.split(x, F.col("_alone"), -1), F.array_append(standing, F.lit("")), lambda a, b: F.concat(a, b)), "")
+
+    some = F.size("_names") > 0
+    n_alone = F.when(some, F.aggregate("_rest", F.lit(0), lambda n, x: n + F.regexp_count(x, F.col("_alone")))).otherwise(0)
+    rest = F.when(some, F.transform("_rest", without)).otherwise(F.col("_rest"))
     joined = F.array_join(F.zip_with(rest, F.array_append(new, F.lit("")), lambda a, b: F.concat(a, b)), "")
     kinds = F.array_sort(F.array_distinct(F.transform("_new", lambda x: x["kind"])))
     keep = [c for c in docs.columns if c not in (text_col, "n_entities", "entity_kinds")]
     order = [*(c for c in docs.columns if c not in ("n_entities", "entity_kinds")), "n_entities", "entity_kinds"]
-    changed = changed.select(*keep, joined.alias(text_col), F.size("_new").alias("n_entities"), kinds.alias("entity_kinds")).select(*order)
+    changed = changed.select(*keep, joined.alias(text_col), (F.size("_new") + n_alone).alias("n_entities"), kinds.alias("entity_kinds")).select(*order)
     same = docs.where(~has).withColumns({"n_entities": F.lit(0), "entity_kinds": F.array().cast("array<string>")}).select(*order)
     return changed.unionAll(same)

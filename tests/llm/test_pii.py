@@ -93,3 +93,26 @@ def test_clean_words_around_stay(spark, kind):
     words.insert(7, kind)
     (_, new, n, _), *_ = run(spark, [(1, " ".join(words), 0)])
     assert n == 1 and new.split(" ")[:7] == words[:7] and new.split(" ")[-22:] == words[-22:] and kind not in new
+
+
+NAMES = [
+    (1, "Mr John Smith came. My name is John Smith. Dr John Smith left. Mr John slept. JOHN and Smith's dog, Smithson; a john.", 0),
+    (2, "Dr Mary Jones and Mme Mary Jones", 0), (3, "Prof Lena Brown", 0), (4, "John and Mary stay: no name was found here", 0),
+    (5, "Dr Иван Петров, господин Иван Петров. Петров", 0), (6, "الدكتور محمد حسن ثم حسن", 0), (7, "Dr Smith-Lee and Smith-Lee's Lee", 0),
+]
+
+
+def test_a_word_of_a_name_has_one_surrogate(spark):
+    got = {r[0]: r for r in run(spark, NAMES)}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. My name is (\w+) (\w+)\. Dr (\w+) (\w+) left\. Mr (\w+) slept\. (\w+) and (\w+)'s dog, Smithson; a john\.", got[1][1])
+    john, smith = m[1], m[2]
+    assert {m[3], m[5], m[7]} == {john} and m[8] == john.upper() and {m[4], m[6], m[9]} == {smith} and "John" != john != smith != "Smith" and got[1][2] == 6
+    m = re.fullmatch(r"Dr (\w+) (\w+) and Mme (\w+) (\w+)", got[2][1])
+    assert m[1] == m[3] and m[2] == m[4] and m[1][-1] == "a"  # the gendered title decides
+    assert re.fullmatch(r"Prof \w+a \w+", got[3][1]) and got[4][1:3] == (NAMES[3][1], 0)
+    m = re.fullmatch(r"Dr (\w+н) (\w+в), господин (\w+) (\w+)\. (\w+)", got[5][1])
+    assert m[1] == m[3] != "Иван" and m[2] == m[4] == m[5] != "Петров"
+    m = re.fullmatch(r"الدكتور (\w+) (\w+) ثم (\w+)", got[6][1])
+    assert m[2] == m[3] != "حسن"
+    m = re.fullmatch(r"Dr (\w+) and (\w+)'s Lee", got[7][1])
+    assert m[1] == m[2] and "Smith" not in got[7][1]
