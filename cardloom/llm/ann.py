@@ -2,19 +2,23 @@
 
 Fitting: on a sample of at most ``SAMPLE`` vectors, k-means gives the coarse centroids, and
 k-means in each subspace of the residuals the codebooks. How many lists a query visits is
-calibrated there too: as many as held ``TARGET`` of the true neighbours of sampled queries.
+calibrated there too: as many as held ``TARGET`` of the true neighbours of sampled queries, every
+list within the distance of the best that ``TARGET`` of these queries needed for theirs (a query
+far from all centroids visits more), and further ones until they hold more than k entries.
 
 Indexing: every vector goes to the list of its nearest centroid, with the codes of its residual.
 Equal vectors are one entry, which keeps the ``k + 1`` smallest of their ids: no answer of k
 needs more of them. Searching: each query visits the lists whose centroids have the largest
 inner products with it. Lists and their queries are dealt in blocks of bounded size; in a block
-asymmetric distance tables rank the codes, the best ``RERANK`` are measured exactly on the
-original vectors in double precision, and the best k + 1 go on to the merge.
+asymmetric distance tables rank the codes, and the exact scores of the best ``RERANK`` bound the
+rest: every entry whose rough score plus the largest error of its code reaches them is measured
+exactly, on the original vectors in double precision, so that a block's best k + 1 are the true
+ones. Where the codes rule out few entries, products of whole blocks take their place.
 
 Defined results: vectors that are null, empty, zero, not of the commonest length, or that hold
 null or non-finite components take no part; ties go to the smaller id; rows with a query's id
 are its own and no candidates; rows that repeat a vector under other ids are candidates each;
-fewer candidates than k are all returned if their lists are visited.
+fewer candidates than k are all returned.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ SUBSPACES = 16
 TARGET = 0.98
 RERANK = 96
 BLOCK = 8192
+#: Exact scores computed at a time; the share of entries from which whole products are cheaper.
+PAIRS, DENSE = 65_536, 0.02
 
 
 @dataclass
@@ -44,6 +50,7 @@ class Index:
     books: list[np.ndarray]  # of each subspace: code, dimension
     cuts: np.ndarray  # bounds of the subspaces
     probes: int
+    gap: float  # to the best centroid's inner product, for a query of length 1
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, r: np.random.Generator) -> np.ndarray:
@@ -79,10 +86,13 @@ def train(x: np.ndarray, lists: int, k: int, *, target: float = TARGET, seed: in
     inner = x[q] @ x.T
     inner[np.arange(len(q)), q] = -np.inf
     best = np.argsort(-inner, axis=1)[:, : min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(-(x[q] @ c.T), axis=1), axis=1)
-    needed = place[np.arange(len(q))[:, None], near[best]].ravel()
+    to_lists, of = x[q] @ c.T, np.arange(len(q))[:, None]
+    place = np.argsort(np.argsort(-to_lists, axis=1), axis=1)
+    needed = place[of, near[best]].ravel()
     probes = int(np.quantile(needed, target)) + 1 if len(needed) else 1
-    return Index(c, books, cuts, min(len(c), probes))
+    gaps = (to_lists.max(1, keepdims=True) - to_lists[of, near[best]]) / np.linalg.norm(x[q], axis=1)[:, None]
+    gap = float(np.quantile(np.quantile(gaps, target, axis=1), target)) if gaps.size else 0.0
+    return Index(c, books, cuts, min(len(c), probes), gap)
 
 
 def encode(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +105,42 @@ def encode(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
 
 def scan(index: Index, number: int, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, keep: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, exact score) of the best ``keep`` entries of a block for each query."""
-    tables = [queries[:, a:b] @ book.T for a, b, book in zip(index.cuts, index.cuts[1:], index.books, strict=False)]
+    parts = list(zip(index.cuts, index.cuts[1:], index.books, strict=False))
+    tables = [queries[:, a:b] @ book.T for a, b, book in parts]
     rows, found, scores = [], [], []
-    base = queries @ index.centroids[number]
+    center = index.centroids[number]
+    base = queries @ center
+    keep = min(keep, len(ids))
     most = min(max(rerank, 2 * keep), len(ids))
+    # a rough score is off by the length of a query times that of what the codes leave out, and by rounding
+    left_out = np.linalg.norm(vectors - center - np.concatenate([book[codes[:, m]] for m, (_, _, book) in enumerate(parts)], axis=1), axis=1)
+    lengths, longest = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1).max()
+    left_out = (left_out + 4e-6 * (np.linalg.norm(center) + sum(np.linalg.norm(book, axis=1).max() for _, _, book in parts))).astype(np.float32)
+    slack = 8 * vectors.shape[1] * np.finfo(np.float64).eps * lengths * longest
+    dense = most == len(ids)
     for lo in range(0, len(queries), 256):
         p = slice(lo, lo + 256)
-        rough = np.repeat(base[p, None].astype(np.float32), len(ids), axis=1)
-        for m, table in enumerate(tables):
-            rough += table[p].astype(np.float32)[:, codes[:, m]]
-        some = np.argpartition(-rough, most - 1, axis=1)[:, :most] if most < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
-        exact = np.einsum("qd,qcd->qc", queries[p], vectors[some])
-        order = np.lexsort((ids[some], -exact), axis=1)[:, :keep]
-        at = np.arange(len(order))[:, None]
-        rows.append(np.repeat(np.arange(lo, lo + len(order)), order.shape[1]))
-        found.append(ids[some[at, order]].ravel())
-        scores.append(exact[at, order].ravel())
+        if not dense:
+            rough = np.repeat(base[p, None].astype(np.float32), len(ids), axis=1)
+            for m, table in enumerate(tables):
+                rough += table[p].astype(np.float32)[:, codes[:, m]]
+            some = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+            least = np.partition(np.einsum("qd,qcd->qc", queries[p], vectors[some]), most - keep, axis=1)[:, most - keep]
+            rough += lengths[p, None].astype(np.float32) * left_out
+            near = rough >= (least - slack[p])[:, None]
+            dense = near.mean() > DENSE
+        if dense:
+            rough = queries[p] @ vectors.T
+            least = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
+            near = rough >= (least - slack[p])[:, None]
+        of, at = np.nonzero(near)
+        exact = np.concatenate([np.einsum("pd,pd->p", queries[p][of[i : i + PAIRS]], vectors[at[i : i + PAIRS]]) for i in range(0, len(of), PAIRS)])
+        order = np.lexsort((ids[at], -exact, of))
+        starts = np.searchsorted(of, np.arange(len(near)))
+        order = order[np.arange(len(of)) - starts[of] < keep]
+        rows.append(lo + of[order])
+        found.append(ids[at[order]])
+        scores.append(exact[order])
     return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
 
 
@@ -149,7 +179,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str
     held = spark.sparkContext.broadcast(index)
     cells = written(entries.select("rep", "entry", "v").mapInArrow(_listed(held), "list int, rep bigint, entry bigint, vec binary, code binary"), "cells")
     asked = usable(queries, id_col, vector_col).where(F.size("v") == index.centroids.shape[1]).select("vec_id", F.xxhash64("v").alias("entry"), "v").distinct()
-    visits = written(asked.mapInArrow(_visited(held), "list int, rep bigint, entry bigint, vec binary"), "visits")
+    sizes = np.zeros(len(index.centroids), dtype=np.int64)
+    for number, n in cells.groupBy("list").count().collect():
+        sizes[number] = n
+    visits = written(asked.mapInArrow(_visited(held, sizes, k), "list int, rep bigint, entry bigint, vec binary"), "visits")
     # at most LISTS rows each
     blocks = cells.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     chunks = visits.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
@@ -180,15 +213,20 @@ def _listed(held):
     return run
 
 
-def _visited(held):
+def _visited(held, sizes: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
                 b = whole.slice(lo, 128)
                 x = _matrix(b.column("v"))
-                lists = np.argsort(-(x @ index.centroids.T), axis=1)[:, : index.probes].ravel()
-                of = pa.array(np.repeat(np.arange(b.num_rows), index.probes))
+                inner = x @ index.centroids.T
+                order = np.argsort(-inner, axis=1)
+                close = (inner >= inner.max(1, keepdims=True) - index.gap * np.linalg.norm(x, axis=1)[:, None]).sum(1)
+                # one entry may be the query itself
+                short = (np.cumsum(sizes[order], axis=1) <= k).sum(1) + 1
+                visited = np.arange(order.shape[1]) < np.maximum(np.maximum(close, short), index.probes)[:, None]
+                lists, of = order[visited], pa.array(np.nonzero(visited)[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lists.astype(np.int32)), b.column("vec_id").take(of), b.column("entry").take(of), pa.array([r.tobytes() for r in x], pa.binary()).take(of)], names=["list", "rep", "entry", "vec"]
                 )

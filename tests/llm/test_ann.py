@@ -64,3 +64,27 @@ def test_codes_are_nearest_in_each_subspace():
         for m, book in enumerate(index.books):
             part = r[index.cuts[m] : index.cuts[m + 1]]
             assert np.isclose(((book[codes[i, m]] - part) ** 2).sum(), ((book - part) ** 2).sum(1).min())
+
+
+@pytest.mark.parametrize("spread", [1e-6, 1e-2])
+def test_near_copies_that_share_their_codes(spread):
+    """A tight cluster outside the sample: its entries' rough scores are equal, their true scores are not."""
+    r = np.random.default_rng(5)
+    index = ann.train(r.normal(size=(4000, 32)), 8, 20)
+    near = r.normal(size=32) + spread * r.normal(size=(3000, 32))
+    number, codes = ann.encode(near, index)
+    of = number == np.bincount(number).argmax()
+    x, codes, asked = near[of], codes[of], near[:300] + spread * r.normal(size=(300, 32))
+    ids = r.permutation(len(x))
+    rows, found, scores = ann.scan(index, int(np.bincount(number).argmax()), asked, ids, x, codes, 21)
+    exact = asked @ x.T
+    for q in range(len(asked)):
+        best = np.lexsort((ids, -exact[q]))[:21]
+        assert found[rows == q].tolist() == ids[best].tolist() and np.allclose(scores[rows == q], exact[q, best], rtol=0, atol=1e-10)
+
+
+def test_short_lists_are_made_up_for(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    got = answers(ann.nearest(df, df, k=40, target=0.0))
+    assert len(got) == 60 and all(len(v) == 40 for v in got.values())
