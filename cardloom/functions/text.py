@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -95,13 +98,22 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * _common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def _bound(a: str, b: str) -> float:
+    """No similarity is above that of the letters in any order."""
+    return 200.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+
+
+@lru_cache(1 << 16)
 def suggest(token: str, kind: str, threshold: float) -> str:
     """The only entry of a lexicon that is close enough, and clearly closer than the next."""
     entries = refdata.LEXICONS.get(kind, ())
     if len(token) < refdata.MIN_CORRECTED or not entries or token in entries:
         return token
-    best = sorted(((similarity(token, e), -k) for k, e in enumerate(entries)), reverse=True)[:2]
-    if best[0][0] < threshold or (len(best) > 1 and best[0][0] - best[1][0] < refdata.AMBIGUITY_MARGIN):
+    # others are neither close enough nor in the way of the closest
+    least = threshold - refdata.AMBIGUITY_MARGIN
+    near = ((e, -k) for k, e in enumerate(entries) if 200.0 * min(len(e), len(token)) >= least * (len(e) + len(token)))
+    best = sorted(((similarity(token, e), k) for e, k in near if _bound(token, e) >= least), reverse=True)[:2]
+    if not best or best[0][0] < threshold or (len(best) > 1 and best[0][0] - best[1][0] < refdata.AMBIGUITY_MARGIN):
         return token
     return entries[-best[0][1]]
 

@@ -463,12 +463,12 @@ def normalize_arabic(spark, sf_dir):
 
 @query()
 def fuzzy_correct(spark, sf_dir):
-    """Words of a misspelt lexicon entry beside each document, corrected."""
+    """Every word of each document, and of a misspelt lexicon entry behind it, corrected."""
     entries = F.array(*map(F.lit, refdata.COMMON_NAMES + refdata.ADDRESS_TERMS))
     word = F.element_at(entries, (F.col("doc_id") % len(refdata.COMMON_NAMES + refdata.ADDRESS_TERMS) + 1).cast("int"))
     hurt = F.concat(word.substr(F.lit(1), F.length(word) - 1), F.when(F.col("doc_id") % 3 == 0, "ف").otherwise(word.substr(F.length(word), F.lit(1))))
     kind = F.when(F.col("doc_id") % (len(refdata.COMMON_NAMES + refdata.ADDRESS_TERMS)) < len(refdata.COMMON_NAMES), "name").otherwise("address")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", hurt.alias("text"), kind.alias("kind"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws(" ", "text", hurt).alias("text"), kind.alias("kind"))
     return rows.select("doc_id", "text", text.correct_text(F.col("text"), F.col("kind"), 85.0).alias("corrected"))
 
 

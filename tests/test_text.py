@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cardloom import refdata
 from cardloom.functions import text
+from cardloom.plans import catalogue
 
 
 def one(spark, value, f):
@@ -36,3 +38,29 @@ def test_corrected_text_keeps_its_words(spark):
     df = spark.createDataFrame([("الزقازيف شارع xyz", "address"), (None, "name"), ("", "name")], "t string, k string")
     got = [r[0] for r in df.select(text.correct_text(F.col("t"), F.col("k"), 85.0)).collect()]
     assert got == ["الزقازيق شارع xyz", None, ""]
+
+
+def test_suggestions_equal_a_look_at_every_entry():
+    def plainly(token, kind, threshold):
+        entries = refdata.LEXICONS[kind]
+        if len(token) < refdata.MIN_CORRECTED or token in entries:
+            return token
+        a, b = sorted(((text.similarity(token, e), -k) for k, e in enumerate(entries)), reverse=True)[:2]
+        return token if a[0] < threshold or a[0] - b[0] < refdata.AMBIGUITY_MARGIN else entries[-a[1]]
+
+    for kind, entries in refdata.LEXICONS.items():
+        for k, e in enumerate(entries):
+            for word in (e, e[:-1] + "ف", e[1:], e + "ة", e[::-1], "abcd", e[:2] + entries[k - 1][2:]):
+                for threshold in (50, 85, 92):
+                    assert text.suggest(word, kind, threshold) == plainly(word, kind, threshold)
+
+
+def test_every_word_of_a_document_is_corrected(spark, tmp_path):
+    rows = [(116, "word " * 3000 + "الزقازيف end الزقازيف", "ar"), (117, None, "ar"), (118, "", "ar")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalogue.queries()["fuzzy_correct"](spark, str(tmp_path)).collect()}
+    assert got[116].text.startswith(rows[0][1])
+    size = len(refdata.COMMON_NAMES + refdata.ADDRESS_TERMS)
+    wanted = "الزقازيق" if 116 % size >= len(refdata.COMMON_NAMES) else "الزقازيف"
+    assert wanted == "الزقازيق" and got[116].corrected.split()[:3003] == ["word"] * 3000 + [wanted, "end", wanted]
+    assert got[117].text and got[118].text
