@@ -119,6 +119,17 @@ def validate_report(spark, sf_dir):
     return rows.select("row_id", "validation.valid", F.col("decoded").isNotNull().alias("decodes"), F.date_format("decoded.birth_date", "yyyy-MM-dd").alias("birth_date"))
 
 
+@query(
+    f"""WITH {_D} SELECT row_id, number AS input, d AS digits, coalesce(valid, false) AS valid, coalesce(valid, false) AS decodes, CASE WHEN valid THEN strftime(bd, '%Y-%m-%d') END AS birth_date, CASE WHEN valid THEN governorate END AS governorate,
+  CASE WHEN valid THEN substr(d, 8, 2) END AS governorate_code, CASE WHEN valid THEN CASE WHEN TRY_CAST(substr(d, 13, 1) AS INT) % 2 = 1 THEN 'male' ELSE 'female' END END AS gender FROM f"""
+)
+def validate_report_all(spark, sf_dir):
+    """The validation report of every number, with what the digits of a valid one say."""
+    said = [F.col(f"decoded.{c}") for c in ("governorate", "governorate_code", "gender")]
+    date = F.date_format("decoded.birth_date", "yyyy-MM-dd").alias("birth_date")
+    return _decoded(spark, sf_dir).select("row_id", F.col("number").alias("input"), "digits", "validation.valid", F.col("decoded").isNotNull().alias("decodes"), date, *said)
+
+
 # ------------------------------------------------------------------------- detections
 _ALIASED = f"""bx AS ({inputs.DUCK_BOX}),
 fx AS (SELECT bx.*, lower(trim(raw_class)) LIKE 'invalid\\_%' ESCAPE '\\' AS flagged, regexp_replace(lower(trim(raw_class)), '^invalid_', '') AS stem FROM bx),
