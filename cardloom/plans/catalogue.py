@@ -421,23 +421,23 @@ def noise_clean(spark, sf_dir):
 
 
 @query(f"WITH {_TX} SELECT doc_id, regexp_matches(text, '[{refdata.ARABIC_CHARS}]') AS arabic FROM tx")
-def contains_arabic(spark, sf_dir):
-    return inputs.text_rows(spark, sf_dir).select("doc_id", text.contains_arabic(F.col("text")).alias("arabic"))
+def contains_arabic(spark, sf_dir, read=inputs.text_rows):
+    return read(spark, sf_dir).select("doc_id", text.contains_arabic(F.col("text")).alias("arabic"))
 
 
 @query(f"WITH {_TX} SELECT doc_id, regexp_replace(text, '[{refdata.DIACRITICS}{refdata.TATWEEL}]', '', 'g') AS plain FROM tx")
-def strip_diacritics(spark, sf_dir):
-    return inputs.text_rows(spark, sf_dir).select("doc_id", text.strip_diacritics(F.col("text")).alias("plain"))
+def strip_diacritics(spark, sf_dir, read=inputs.text_rows):
+    return read(spark, sf_dir).select("doc_id", text.strip_diacritics(F.col("text")).alias("plain"))
 
 
 @query(f"WITH {_TX} SELECT doc_id, translate(text, '{_ARABIC_DIGITS}', '01234567890123456789') AS western FROM tx")
-def western_digits(spark, sf_dir):
-    return inputs.text_rows(spark, sf_dir).select("doc_id", text.western_digits(F.col("text")).alias("western"))
+def western_digits(spark, sf_dir, read=inputs.text_rows):
+    return read(spark, sf_dir).select("doc_id", text.western_digits(F.col("text")).alias("western"))
 
 
 @query(rf"WITH {_TX} SELECT doc_id, regexp_replace(text, '(^|{_WS})ال{_WS}+([ء-ي])', '\1ال\2', 'g') AS merged FROM tx")
-def merge_article(spark, sf_dir):
-    return inputs.text_rows(spark, sf_dir).select("doc_id", text.merge_article(F.col("text")).alias("merged"))
+def merge_article(spark, sf_dir, read=inputs.text_rows):
+    return read(spark, sf_dir).select("doc_id", text.merge_article(F.col("text")).alias("merged"))
 
 
 _WORDS = f"w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_WS}+'), lambda x: length(x) > 0) AS words FROM tx)"
@@ -447,31 +447,44 @@ _WORDS = f"w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_WS}+'),
     rf"""WITH {_TX}, {_WORDS} SELECT doc_id, array_to_string(list_transform(words, lambda x: CASE WHEN x LIKE '%ه' AND length(x) >= 4 AND x NOT IN ({", ".join(f"'{x}'" for x in refdata.TA_MARBUTA_EXCEPTIONS)}) AND NOT regexp_matches(x, '\p{{Nd}}')
   AND x NOT LIKE '%الله' AND x NOT LIKE '%لله' THEN substr(x, 1, length(x) - 1) || 'ة' ELSE x END), ' ') AS fixed FROM w"""
 )
-def ta_marbuta(spark, sf_dir):
+def ta_marbuta(spark, sf_dir, read=inputs.text_rows):
     fixed = F.transform(text.tokens(F.col("text")), text.fix_ta_marbuta)
-    return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(fixed, " ").alias("fixed"))
+    return read(spark, sf_dir).select("doc_id", F.array_join(fixed, " ").alias("fixed"))
 
 
 _FIXES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in refdata.ORTHOGRAPHIC_FIXES.items()) + "}"
 
 
 @query(f"WITH {_TX}, {_WORDS} SELECT doc_id, array_to_string(list_transform(words, lambda x: coalesce({_FIXES}[x], x)), ' ') AS fixed FROM w")
-def orthographic(spark, sf_dir):
-    return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(F.transform(text.tokens(F.col("text")), text.orthographic), " ").alias("fixed"))
+def orthographic(spark, sf_dir, read=inputs.text_rows):
+    return read(spark, sf_dir).select("doc_id", F.array_join(F.transform(text.tokens(F.col("text")), text.orthographic), " ").alias("fixed"))
 
 
 @query(rf"WITH {_TX}, {_WORDS} SELECT doc_id, array_to_string(list_filter(words, lambda x: NOT regexp_matches(x, '^(?:[A-Za-z]|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|\p{{Nd}})+$')), ' ') AS kept FROM w")
-def drop_latin(spark, sf_dir):
+def drop_latin(spark, sf_dir, read=inputs.text_rows):
     kept = F.filter(text.tokens(F.col("text")), lambda w: ~text.is_latin_only(w))
-    return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("kept"))
+    return read(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
 @query()
-def normalize_arabic(spark, sf_dir):
-    rows = inputs.text_rows(spark, sf_dir)
+def normalize_arabic(spark, sf_dir, read=inputs.whole_text_rows):
+    rows = read(spark, sf_dir)
     return rows.select("doc_id", text.normalize_arabic(F.col("text"), F.col("doc_id") % 2 == 0).alias("normal"))
 
 
+def _on_whole_texts(f) -> None:
+    """Register a query of short texts once more, on whole documents."""
+    def whole(spark, sf_dir):
+        return f(spark, sf_dir, inputs.whole_text_rows)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    query(_ORACLES[f.__name__].replace(inputs.DUCK_TEXT, inputs.DUCK_WHOLE_TEXT))(whole)
+
+
+for _f in (contains_arabic, strip_diacritics, western_digits, merge_article, ta_marbuta, orthographic, drop_latin):
+    _on_whole_texts(_f)
+
+
 @query()
 def fuzzy_correct(spark, sf_dir):
     """Every word of each document, and of a misspelt lexicon entry behind it, corrected."""

@@ -53,6 +53,9 @@ SELECT doc_id, piece, CASE doc_id % 12 WHEN 0 THEN 'مُحَمَّد علي' WHE
 FROM (SELECT doc_id, text AS piece FROM {documents}) a
 """
 
+#: The same texts behind the whole of each document.
+WHOLE_TEXT = TEXT.replace("CASE doc_id % 12", "concat_ws(' ', piece, CASE doc_id % 12").replace("ELSE piece END", "END)")
+
 
 def nid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written first: the text of a number is long SQL, which plans above it would repeat."""
@@ -71,8 +74,13 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TEXT, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def whole_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(WHOLE_TEXT, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 #: The same inputs for DuckDB.
 DUCK_NID = NID.format(orders="orders")
 DUCK_BOX = BOX.format(lineitem="lineitem")
 DUCK_READING = READING.format(box=DUCK_BOX)
 DUCK_TEXT = TEXT.format(documents="documents")
+DUCK_WHOLE_TEXT = WHOLE_TEXT.format(documents="documents")

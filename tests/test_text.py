@@ -64,3 +64,16 @@ def test_every_word_of_a_document_is_corrected(spark, tmp_path):
     wanted = "الزقازيق" if 116 % size >= len(refdata.COMMON_NAMES) else "الزقازيف"
     assert wanted == "الزقازيق" and got[116].corrected.split()[:3003] == ["word"] * 3000 + [wanted, "end", wanted]
     assert got[117].text and got[118].text
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    long = "word " * 3000 + "[مُحَمَّد] ال قاهرة احمد مدرسه ١٢ end"
+    spark.createDataFrame([(k, long, "ar") for k in range(12)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {
+        "contains_arabic_whole": (True, 12), "strip_diacritics_whole": ("[محمد]", 12), "western_digits_whole": (" 12 end", 12), "merge_article_whole": ("القاهرة", 12),
+        "ta_marbuta_whole": ("مدرسة", 12), "orthographic_whole": (" أحمد ", 12), "drop_latin_whole": (" احمد ", 12), "normalize_arabic": (" القاهرة أحمد مدرسة ", 12),
+    }
+    for name, (part, n) in wanted.items():
+        got = [[v for k, v in r.asDict().items() if k != "doc_id"][0] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()]
+        assert sum(v is True if part is True else part in v for v in got) == n, name
+        assert part is True or all((v.count("word") == 3000) for v in got if name not in ("drop_latin_whole", "normalize_arabic")), name
