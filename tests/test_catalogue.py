@@ -45,12 +45,17 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_corpus_operators_are_optional(tmp_path):
-    """Without cardloom/llm and corpus_pipeline.py the rest imports and registers its queries."""
-    subprocess.run(["cp", "-r", str(REPO / "cardloom"), str(REPO / "__spark_entry__.py"), str(tmp_path)], check=True)
-    if (tmp_path / "cardloom" / "llm").exists():
-        (tmp_path / "cardloom" / "llm").rename(tmp_path / "gone")
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 30 and not any(k.startswith('op') for k in q), q; e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1", "HOME": "/tmp"}, check=True)
-    if importlib.util.find_spec("cardloom.llm"):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_corpus_operators_are_optional(tmp_path, pipeline):
+    """Without cardloom/llm and tests/llm the rest imports and registers its queries, with or without corpus_pipeline.py."""
+    names = ["cardloom", "tests", "__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])]
+    subprocess.run(["cp", "-r", *(str(REPO / n) for n in names if (REPO / n).exists()), str(tmp_path)], check=True)
+    for k, folder in enumerate((tmp_path / "cardloom" / "llm", tmp_path / "tests" / "llm")):
+        if folder.exists():
+            folder.rename(tmp_path / f"gone{k}")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 30 and not any(k.startswith('op') for k in q), q; assert 'pipeline' not in q; e.oracle_sql()"
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1", "HOME": "/tmp"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "-p", "no:cacheprovider", "tests"], cwd=tmp_path, env=env, check=True, stdout=subprocess.DEVNULL)
+    if importlib.util.find_spec("cardloom.llm") and importlib.util.find_spec("corpus_pipeline"):
         assert "pipeline" in __spark_entry__.queries()
