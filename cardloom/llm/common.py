@@ -114,6 +114,20 @@ def put_file(uri: str, parts: Iterator[bytes]) -> None:
     fs.move(aside, path)
 
 
+def exists(uri: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    from pyarrow import fs
+
+    system, path = _place(uri)
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
+def open_file(uri: str) -> pa.NativeFile:
+    """A file to be read from any place."""
+    system, path = _place(uri)
+    return system.open_input_file(path)
+
+
 def _place(uri: str):
     from pyarrow import fs
 

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import pathlib
 
+import pyarrow as pa
 import pytest
 
 from cardloom.llm import queries, warc
@@ -15,10 +16,11 @@ def rows_of(df):
     return sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in df.collect()], key=str)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_round_trip(spark, few):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string, digest int").repartition(3)
     for rows in (PAGES, []):
-        found = warc.read_warc(spark, warc.write_warc(df if rows else df.limit(0), file_rows=3))
+        found = warc.read_warc(spark, warc.write_warc(df if rows else df.limit(0), file_bytes=300, holders=few))
         assert found.where("problem IS NOT NULL").count() == 0
         want = []
         for i, _, html, _ in rows:
@@ -33,8 +35,8 @@ def test_round_trip(spark):
 def archive(spark, n=12):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 50) for i in range(n)], "page_id long, url string, html string").coalesce(1)
     folder = warc.write_warc(df)
-    (file,) = pathlib.Path(folder.removeprefix("file://")).glob("part-*")
-    return file.read_bytes()
+    (file,) = pathlib.Path(folder.removeprefix("file://")).glob("*.warc.gz")
+    return gzip.decompress(file.read_bytes())
 
 
 def covered(data, found):
@@ -82,9 +84,41 @@ def test_salvage_of_gzip_members(spark):
     assert (gaps[0].offset, gaps[0].length) == (sum(map(len, hurt[:3])), len(hurt[3])) and gaps[1].length == 4
 
 
-@pytest.mark.parametrize("rows", [1, 100_000])
-def test_pages(spark, rows):
+@pytest.mark.parametrize("size", [1, 1 << 30])
+def test_pages(spark, size):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    found = warc.read_warc(spark, warc.write_warc(pages, file_rows=rows))
+    folder = warc.write_warc(pages, file_bytes=size)
+    found = warc.read_warc(spark, folder)
     assert rows_of(found) == rows_of(queries.op4_warc(spark, sf)) and found.count() == pages.count()
+    assert len(list(pathlib.Path(folder.removeprefix("file://")).glob("*.warc.gz"))) == (pages.count() if size == 1 else pages.rdd.getNumPartitions())
+
+
+def test_files_of_failed_attempts_and_of_others(spark):
+    """The manifest says what counts; a folder without one is read whole."""
+    pages = spark.createDataFrame([(i, "u", f"{i}" * 2000) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    folder = warc.write_warc(pages)
+    place = pathlib.Path(folder.removeprefix("file://"))
+    (file,) = place.glob("*.warc.gz")
+    (place / "pages-000000-0000-of-a-lost-attempt.warc.gz").write_bytes(file.read_bytes())
+    assert warc.read_warc(spark, folder).count() == 6
+    (place / "manifest").rename(place.parent / "elsewhere")
+    assert warc.read_warc(spark, folder).count() == 12
+
+
+def test_long_pages_and_long_files(spark, tmp_path):
+    """A page of 50 MB; a plain archive much longer than what is read ahead, hurt in the middle of a long record."""
+    df = spark.createDataFrame([(1, "u", 2), (2, "v", 3)], "page_id long, url string, digit int").selectExpr("page_id", "url", "repeat(digit, 50000000) AS html")
+    found = warc.read_warc(spark, warc.write_warc(df)).selectExpr("page_id", "payload_bytes", "length(payload) AS n", "problem").orderBy("page_id").collect()
+    assert [tuple(r) for r in found] == [(1, 50_000_000, 50_000_000, None), (2, 50_000_000, 50_000_000, None)]
+    data = archive(spark)
+    first = next(iter(warc.salvage(data)))
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 1_000_000
+    long = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nX-Page-ID: 99\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    hurt = data[: first.length] + long + long[:-500_000] + data[first.length :]
+    (tmp_path / "a.warc").write_bytes(hurt)
+    with open(tmp_path / "a.warc", "rb") as f:
+        found = list(warc.salvage(pa.PythonFile(f)))
+    covered(hurt, found)
+    assert [f.headers["x-page-id"] for f in found if not f.problem].count("99") == 1 and sum(f.problem is None for f in found) == 13
+    assert [(f.offset, f.length) for f in found if f.problem] == [(first.length + len(long), len(long) - 500_000)]
