@@ -1,7 +1,8 @@
 """Packing of token sequences: first-fit decreasing with a tournament tree of bin capacities.
 
-Documents are dealt at random into groups of about ``group_docs``; each group is packed on its
-own. A document is cut into pieces of a full sequence and a remainder; the remainders go, the
+Documents are dealt at random into groups of about ``group_docs`` documents and ``GROUP_BYTES`` of
+text; each group is packed on its own, in an order that a hash of its texts fixes. A document of
+more than ``LONG_BYTES`` is a group by itself, so that no task holds several of them. A document is cut into pieces of a full sequence and a remainder; the remainders go, the
 longest first, each to the first sequence that still has room, which a tournament tree over the
 sequences' free places finds in logarithmic time. Last, the emptiest sequences are poured into
 the gaps of the others, the widest gaps first, which cuts a few remainders once more and leaves
@@ -25,6 +26,8 @@ from cardloom.llm.tokens import encoder
 
 LENGTH = 1024
 GROUP_DOCS = 2048
+#: Bytes of text of a group, on average; bytes from which a text is a group by itself.
+GROUP_BYTES, LONG_BYTES = 16 << 20, 4 << 20
 SEED = 20240607
 
 #: (item, start in its document, length, bin, offset in the bin)
@@ -113,10 +116,14 @@ def pack_documents(
     and ``ids`` (unsigned 32-bit, little-endian)."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    number = max(1, -(-texts.count() // group_docs))
-    dealt = texts.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(number)))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    rows, held = texts.agg(F.count("*"), F.coalesce(F.sum(F.when(size <= LONG_BYTES, size.cast("bigint"))), F.lit(0))).first()
+    number = max(1, -(-rows // group_docs), -(-held // GROUP_BYTES))
+    draw = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    group = F.when(size > LONG_BYTES, F.lit(number) + F.pmod(draw, F.lit(1 << 30))).otherwise(F.pmod(draw, F.lit(number)))
+    dealt = texts.withColumns({"group": group, "mark": F.xxhash64("text", F.lit(seed))})
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(
+    return dealt.repartition("group").sortWithinPartitions("group", "mark", "doc_id").mapInArrow(
         _packer(vocabulary, end_id, length),
         f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary",
     )

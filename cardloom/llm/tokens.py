@@ -2,10 +2,11 @@
 
 The library encodes each distinct piece of text once in a worker: its result for a text is the
 concatenation of its results for the text's pieces wherever the pieces meet at boundaries that
-the vocabulary's own pre-tokenizer also makes. For the two vocabularies here those are single
-white space characters, and full stops and commas behind a letter, digit or white space
-(``tests/llm/test_tokens.py`` compares with whole texts); a text with longer runs of white
-space or with stops and commas behind other marks is encoded whole.
+the vocabulary's own pre-tokenizer also makes. For the two kinds of vocabulary in ``SHARED``
+those are single white space characters, and full stops and commas behind a letter, digit or
+white space (``tests/llm/test_tokens.py`` compares with whole texts); a text with longer runs of
+white space, with stops and commas behind other marks, or with one of the vocabulary's own
+special tokens is encoded whole. Under any other vocabulary every text is.
 """
 
 from __future__ import annotations
@@ -22,6 +23,21 @@ import numpy as np
 REMEMBERED = 600_000
 _SPACE = re.compile(r"\s")
 
+# --- fixed values: the settings of vocabulary files under which pieces can be shared ---------
+#: (normalizer, pre-tokenizer), and whether spaces are part of the ids.
+SHARED = [
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, True),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+        False,
+    ),
+]
+# --- end of fixed values -------------------------------------------------------------------
+
 
 class _Growing:
     """An array that is added to without copying it every time."""
@@ -46,8 +62,12 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced = json.loads(self.tokenizer.to_str())["normalizer"] is None  # spaces are part of the ids
+        about = json.loads(self.tokenizer.to_str())
+        kinds = [spaced for normal, cut, spaced in SHARED if (about["normalizer"], about["pre_tokenizer"]) == (normal, cut)]
+        plain = about["model"]["type"] == "BPE" and not about["model"].get("dropout") and not about["post_processor"] and not about["truncation"] and not about["padding"]
+        self.shares = bool(kinds) and plain
+        self.spaced = bool(kinds and kinds[0])
+        self.special = [t["content"] for t in about["added_tokens"]]
         self.forget()
 
     def forget(self) -> None:
@@ -83,6 +103,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin; one more at the end)."""
+        if not self.shares:
+            own = self.whole(texts)
+            return np.concatenate([np.zeros(0, np.uint32), *own]), np.cumsum([0, *map(len, own)])
         split = [self._split(t) for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
         pieces = list(chain.from_iterable(split))
@@ -97,11 +120,12 @@ class Encoder:
             self._remember(new)
             index[missing] = np.fromiter((self.known[pieces[i]] for i in missing.tolist()), np.int64, len(missing))
         del pieces
-        mark, of = self.mark.held[index], np.repeat(np.arange(len(texts)), count)
+        marks, of = self.mark.held[index], np.repeat(np.arange(len(texts)), count)
         odd = np.zeros(len(texts), dtype=bool)
-        odd[of[(mark & 1) > 0]] = True
-        odd[of[1:][((mark[:-1] & 2) > 0) & ((mark[1:] & 4) > 0) & (of[1:] == of[:-1])]] = True
-        odd |= np.fromiter(("\x00" in t for t in texts), bool, len(texts))
+        odd[of[(marks & 1) > 0]] = True
+        odd[of[1:][((marks[:-1] & 2) > 0) & ((marks[1:] & 4) > 0) & (of[1:] == of[:-1])]] = True
+        for mark in ("\x00", *self.special):
+            odd |= np.fromiter((mark in t for t in texts), bool, len(texts))
         size = self.size.held[index]
         place = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat.held[np.repeat(self.start.held[index] - place[:-1], size) + np.arange(place[-1])]

@@ -10,12 +10,11 @@ from cardloom.llm import packing, queries, token_files
 from cardloom.llm.perfect_hash import PerfectHash
 
 SF = "/root/testdata/sf0.01"
-EDGES = [(3, None, 1), (1, "", 1), (7, "a b c " * 30_000, 2), (7, "a b c " * 30_000, 2), (7, "other text, same id", 3), (-5, "minus", 4), (None, "no id", 5), (2**62, "large id", 6)]
+EDGES = [(3, None, 1), (1, "", 1), (7, "a b c " * 30_000, 2), (7, "a b c " * 30_000, 2), (7, "other text, same id", 3), (-5, "minus", 4), (None, "no id", 5), (2**62, "large id", 6), (8, "a <|endoftext|> b", 7)]
 
 
 def library(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -63,6 +62,21 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(df.limit(0), vocabulary=queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_is_the_same_in_any_order_of_arrival(spark, monkeypatch):
+    """The pieces of a group don't depend on how its rows come; long texts are packed by themselves."""
+    monkeypatch.setattr(packing, "LONG_BYTES", 2000)
+    rows = [(i, f"word {i} " * (1 + 37 * i % 400), 0) for i in range(300)]
+    pieces = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, n int").repartition(7)
+        found = packing.pack_documents(df, vocabulary=queries.vocabulary("byte_bpe_50k.json"), group_docs=10_000)
+        pieces.append(sorted(tuple(r) for r in found.where("sequence_id < 4294967296").select("doc_id", "start", "length", "sequence_id", "offset").collect()))
+        long = found.where("sequence_id >= 4294967296")
+        assert {r.doc_id for r in long.collect()} == {i for i, t, _ in rows if len(t) > 2000}
+        assert long.groupBy("sequence_id").agg({"doc_id": "count"}).where("`count(doc_id)` > 1").count() == 0
+    assert pieces[0] == pieces[1] and pieces[0]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_first_fit_decreasing(seed):
     r = random.Random(seed)
