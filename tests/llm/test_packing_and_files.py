@@ -119,6 +119,30 @@ def test_files_of_odd_rows(spark):
         check_files(got, rows)
 
 
+@pytest.mark.parametrize("shard_bytes", [1, 3000, 1 << 30])
+def test_keyed_access_over_a_folder(spark, shard_bytes):
+    """Every key, present, absent, repeated and straddling shards, against the library."""
+    rows = [*EDGES, *((100 + 3 * i, f"text of {i} " * (i % 50)) for i in range(200)), *((500, "the same row again") for _ in range(40))]
+    rows = [(r[0], r[1]) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = token_files.write_tokens(df, vocabulary=queries.vocabulary("word_bpe_49k.json"), shard_bytes=shard_bytes)
+    own = {}
+    for (key, _), ids in zip(rows, library("word_bpe_49k.json", [t for _, t in rows], 1), strict=True):
+        own.setdefault(key, []).append(ids.tobytes())
+    asked = spark.createDataFrame([(k,) for k in (-5, 3, 1, 7, 8, 2**62, 100, 101, 697, 698, 500, 500, 10**15, -(2**60), None)], "doc_id long")
+    got = {r.doc_id: r for r in token_files.lookup(spark, folder, asked).collect()}
+    assert len(got) == 14
+    for key, r in got.items():
+        if key is None or key not in own:
+            assert r.ids is None and r.n_tokens is None
+        else:
+            assert bytes(r.ids) in own[key] and r.n_tokens * 4 == len(r.ids)
+    shards = spark.read.parquet(f"{folder}/manifest").count()
+    assert shards == 1 if shard_bytes == 1 << 30 else shards > 100
+    empty = token_files.write_tokens(df.limit(0), vocabulary=queries.vocabulary("word_bpe_49k.json"))
+    assert token_files.lookup(spark, empty, asked).where("ids IS NOT NULL").count() == 0
+
+
 def test_keyed_access_and_damage():
     keys, nulls = np.array([0, -4, -4, 9, 30]), np.array([True, False, False, False, False])
     ids = [np.array([5, 1]), np.array([6, 1, 1]), np.array([7, 7, 1, 1])]
