@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of one Arrow batch on its way to Python: long texts make larger batches dangerous.
 BATCH_ROWS = 1000
 
+#: Most rows of a few numbers each that are sent to every task.
+BROADCAST_ROWS = 250_000
+
 #: Bytes of text worked on at a time inside a task.
 SLICE_BYTES = 1 << 20
 
@@ -98,6 +101,30 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, some at a time, from batches that are sorted by integer keys."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        key = np.stack([table[c].to_numpy() for c in keys], axis=1)
+        last = int(np.flatnonzero((key != key[-1]).any(1)).max(initial=-1)) + 1  # the last group may go on
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None:
+        yield held
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def make_folder(uri: str) -> None:
     """Create a folder on any file system that pyarrow knows."""
     fs, path = _place(uri)
