@@ -125,6 +125,11 @@ def unused(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
+def quoted(column: str) -> str:
+    """The name of a top-level column, whatever is in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def make_folder(uri: str) -> None:
     """Create a folder on any file system that pyarrow knows."""
     fs, path = _place(uri)

@@ -1,13 +1,15 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 E-mail addresses, bank account numbers, payment cards, social security numbers, telephone
-numbers, IP addresses and names behind a title or a phrase of introduction are found by one
+numbers, IP addresses (of both versions) and names behind a title or a phrase of introduction are found by one
 regular expression. Each distinct entity of the corpus (an address in lower case, the last ten
 digits of a telephone number, the digits of a card, each word of a name) gets one surrogate,
 drawn from a keyed hash, wherever and however it is written: what refers to one person goes on
 doing so. A surrogate has the type of its entity, and keeps its shape: separators, country
-codes, top-level domains, letter case, script (Latin, Arabic, Cyrillic), the gender of a given
-name, the first digit and the validity of a card's checksum, and valid account check digits.
+codes, top-level domains, letter case, script (Latin, Greek, Cyrillic, Arabic; capitalised words
+of other scripts get Latin ones, and words of scripts without capitals are not found), the gender
+of a given name, the first digit and the validity of a card's checksum, and valid account check
+digits.
 
 A word of a name is one entity, whatever stands around it. Whether its surrogate is a given or a
 family name, and of which gender, is settled once over the whole corpus: by its places in names
@@ -18,11 +20,15 @@ Arabic: as a whole word), even where they happen to be an ordinary word there.
 
 Distinctness: a surrogate that another entity of its type already has, or that is itself an
 entity of the corpus, is drawn again, until none is left; the drawing is a function of the
-entities alone, so that a repeated run gives the same text.
-
-Everything is DataFrame operations. Texts without entities are not moved; only those with some
-are joined with their replacements. Defined results: null stays null, empty stays empty; rows
-that repeat are each replaced, alike; other columns are kept as they are.
+entities alone, so that a repeated run gives the same text. A type whose shapes are used up
+(after ``RESERVE`` draws) goes on with tokens of ``x`` and 24 hexadecimal digits.
+
+Everything is DataFrame operations. The long expression looks at each text once: the texts are
+written with what it found, cut at the finds. Texts without entities are not shuffled; of those
+with some, the pieces are joined with the replacements, by 128 bits of hashes of id and text.
+Defined results: null stays null, empty stays empty; rows that repeat are each replaced, alike;
+other columns are kept as they are, whatever their names: where one is called ``n_entities`` or
+``entity_kinds``, the result's own column of that name gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -32,26 +38,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import written
+from cardloom.llm.common import quoted, written
 
 KEY = "change this key for every corpus"
-ROUNDS = 40
+ROUNDS, RESERVE = 60, 20
 
-_MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "السيد", "господин", "г-н")
-_FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "السيدة", "الآنسة", "госпожа", "г-жа")
+_MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "السيد", "господин", "г-н", "Κύριος", "κύριος", "Κος")
+_FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "السيدة", "الآنسة", "госпожа", "г-жа", "Κυρία", "κυρία", "Κα")
 _NEUTRAL = ("Dr", "Prof", "الدكتور", "доктор")
-_CUES = ("[Mm]y name is", "[Nn]amed", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]e llamo", "اسمي", "[Мм]еня зовут")
+_CUES = ("[Mm]y name is", "[Nn]amed", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]e llamo", "اسمي", "[Мм]еня зовут", "[Μμ]ε λένε")
 
 _TITLE = rf"(?:(?:{'|'.join(sorted(_MALE + _FEMALE + _NEUTRAL, key=len, reverse=True))})\.?|{'|'.join(_CUES)})"
 _CAPITAL, _ARABIC = r"\p{Lu}[\p{Ll}\p{Lu}'’-]+", r"[ء-ي]{2,}"
 #: The first letters of titles and cues: one look at a letter, then one behind it, before any longer comparison.
-_START = r"(?=[DFHIJMNPSijmnاسгдмМ])(?<![\p{L}\p{N}])"
+_START = r"(?=[DFHIJMNPSijmnاسгдмМΚκΜμ])(?<![\p{L}\p{N}])"
 _NAME = rf"{_START}{_TITLE}\ (?:{_CAPITAL}(?:\ {_CAPITAL}){{0,2}}|{_ARABIC}(?:\ {_ARABIC})?)"
 #: Around a word with a capital, or an Arabic one, that may be a name mentioned without a title.
 _ALONE_START, _ALONE_END = r"(?<![\p{L}\p{N}])(?=[\p{Lu}ء-ي])", r"(?![\p{L}\p{N}])"
 _PATTERNS = {
     "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "IPV6": r"(?<![\w:.])(?=[0-9A-Fa-f:]{6})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "CARD": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){3}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "SSN": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "IP": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
@@ -60,10 +67,10 @@ _PATTERNS = {
 }
 FOUND = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: What every entity has: a quick look at a text before the long expression.
-_HINT = rf"@|[0-9][0-9][0-9]|\+[0-9]|[0-9]\.[0-9]|{_START}{_TITLE}\ "
+_HINT = rf"@|[0-9A-Fa-f]::|(?:[0-9A-Fa-f]:[0-9A-Fa-f]{{1,4}}){{3}}|[0-9][0-9][0-9]|\+[0-9]|[0-9]\.[0-9]|{_START}{_TITLE}\ "
 
 _LATIN = ("bcdfglmnprstv", "aeiou")
-_SCRIPTS = {"arabic": ("بتجدرسشعفقكلمنهي", "اوي"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
+_SCRIPTS = {"greek": ("βγδκλμνπρστφ", "αειου"), "arabic": ("بتجدرسشعفقكلمنهي", "اوي"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
 
 
 def _in(c: Column, pattern: str) -> Column:
@@ -96,6 +103,14 @@ def _like(h: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), swap), "")
 
 
+def _hex_like(h: Column, s: Column) -> Column:
+    """Decimal digits for decimal digits and a to f for a to f; the rest stays."""
+    def swap(x: Column, i: Column) -> Column:
+        return F.when(_in(x, "[0-9]"), _number(h, i, 10).cast("string")).when(_in(x, "[a-f]"), F.chr(_number(h, i, 6) + 97)).otherwise(x)
+
+    return F.array_join(F.transform(F.split(s, ""), swap), "")
+
+
 def _refill(s: Column, digits: Column) -> Column:
     """``s`` with its digits replaced, in order, by those of ``digits``."""
     def swap(x: Column, i: Column) -> Column:
@@ -151,15 +166,18 @@ def _word(h: Column, kind: Column, attempt: Column) -> Column:
     latin = made(_LATIN, {"SURNAME": one_of("n", "r", "s", "l", "ck"), "GIVEN-f": one_of("a", "na", "ia"), "GIVEN-m": one_of("n", "k", "rd", "s"), "GIVEN": one_of("l", "x")})
     arabic = made(_SCRIPTS["arabic"], {"GIVEN-f": F.lit("ة"), "SURNAME": one_of("ي", "ن")})
     cyrillic = made(_SCRIPTS["cyrillic"], {"SURNAME-f": F.lit("ва"), "SURNAME": F.lit("в"), "GIVEN-f": F.lit("на"), "GIVEN-m": F.lit("н")})
-    return F.when(kind.endswith("arabic"), arabic).when(kind.endswith("cyrillic"), cyrillic).otherwise(latin)
+    greek = made(_SCRIPTS["greek"], {"SURNAME-f": F.lit("λη"), "SURNAME": F.lit("δης"), "GIVEN-f": F.lit("να"), "GIVEN-m": F.lit("ς")})
+    return F.when(kind.endswith("greek"), greek).when(kind.endswith("arabic"), arabic).when(kind.endswith("cyrillic"), cyrillic).otherwise(latin)
 
 
 def _surrogate(h: Column, domain_hash: Column, kind: Column, s: Column, attempt: Column) -> Column:
     tens = F.concat((_number(h, 0, 8) + 2).cast("string"), _digits(h, F.length(s) - 1))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (1 + _number(h, i, 254)).cast("string")), ".")
     social = F.concat(*(F.lpad((1 + _number(h, k, n)).cast("string"), w, "0") for k, n, w in ((1, 665, 3), (2, 99, 2), (3, 9999, 4))))
+    numbers = kind.isin("IBAN", "CARD", "SSN", "IP", "IPV6", "PHONE")
     return (
-        F.when(kind == "EMAIL", _email(h, domain_hash, s, attempt))
+        F.when(numbers & (attempt >= RESERVE), F.concat(F.lit("x"), h.substr(1, 24)))
+        .when(kind == "EMAIL", _email(h, domain_hash, s, attempt)).when(kind == "IPV6", _hex_like(h, s))
         .when(kind == "IBAN", _iban(h, s)).when(kind == "CARD", _card(h, s)).when(kind == "SSN", social)
         .when(kind == "IP", octets).when(kind == "PHONE", tens).otherwise(_word(h, kind, attempt))
     )
@@ -168,21 +186,21 @@ def _surrogate(h: Column, domain_hash: Column, kind: Column, s: Column, attempt:
 def _kind(e: Column) -> Column:
     whole = {k: rf"^(?:{p})$" for k, p in _PATTERNS.items() if k not in ("NAME", "PHONE")}
     # the text around an entity is gone: its own shape tells its type
-    shape = {"EMAIL": "@", "IBAN": r"^[A-Z]{2}\d{2}", "SSN": r"^\d{3}-\d{2}-\d{4}$", "IP": whole["IP"], "CARD": r"^(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})$", "PHONE": r"^[+(\d]"}
+    shape = {"EMAIL": "@", "IPV6": "^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$", "IBAN": r"^[A-Z]{2}\d{2}", "SSN": r"^\d{3}-\d{2}-\d{4}$", "IP": whole["IP"], "CARD": r"^(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})$", "PHONE": r"^[+(\d]"}
     return reduce(lambda c, k: c.when(_in(e, shape[k]), k), list(shape)[1:], F.when(_in(e, shape["EMAIL"]), "EMAIL")).otherwise("NAME")
 
 
 def _parts(e: Column, kind: Column) -> Column:
     """The entities that a mention is made of: (type, canonical form)."""
     digits = F.regexp_replace(e, "[^0-9]", "")
-    canonical = F.when(kind == "EMAIL", F.lower(e)).when(kind == "IBAN", F.replace(e, F.lit(" "))).when(kind.isin("CARD", "SSN"), digits).when(kind == "PHONE", F.substring(digits, -10, 10)).otherwise(e)
+    canonical = F.when(kind.isin("EMAIL", "IPV6"), F.lower(e)).when(kind == "IBAN", F.replace(e, F.lit(" "))).when(kind.isin("CARD", "SSN"), digits).when(kind == "PHONE", F.substring(digits, -10, 10)).otherwise(e)
     title = F.regexp_extract(e, f"^{_TITLE}", 0)
     plain = F.regexp_replace(title, r"\.$", "")
     gender = F.when(plain.isin(*_MALE), "m").when(plain.isin(*_FEMALE), "f").otherwise("u")
     names = F.split(F.regexp_replace(e, rf"^{_TITLE}\ ", ""), " ")
 
     def part(x: Column, i: Column) -> Column:
-        script = F.when(_in(x, r"[؀-ۿ]"), "arabic").when(_in(x, r"[Ѐ-ӿ]"), "cyrillic").otherwise("latin")
+        script = F.when(_in(x, r"[Ͱ-Ͽἀ-῿]"), "greek").when(_in(x, r"[؀-ۿ]"), "arabic").when(_in(x, r"[Ѐ-ӿ]"), "cyrillic").otherwise("latin")
         alone = F.when(plain.isin(*_MALE, *_FEMALE, *_NEUTRAL), "titled").otherwise("introduced")
         place = F.when(F.size(names) == 1, alone).when(i == F.size(names) - 1, "family").otherwise("given")
         return F.struct(F.concat(F.lit("NAME-"), script).alias("kind"), F.lower(x).alias("canonical"), place.alias("place"), gender.alias("gender"))
@@ -202,7 +220,7 @@ def _forms(parts: DataFrame) -> DataFrame:
     counts = parts.groupBy("kind", "canonical").agg(*(times(c).alias(k) for k, c in seen.items()))
     given = (F.col("given") >= F.col("family")) & (F.col("given") + F.col("introduced") > 0)
     more = F.when(given, F.col("m1") - F.col("f1")).otherwise(F.col("m2") - F.col("f2"))
-    sex = F.when(more > 0, "m").when(more < 0, "f").when(_in(F.col("canonical"), "(?:a|ة|اء|а|я)$"), "f").otherwise("m")
+    sex = F.when(more > 0, "m").when(more < 0, "f").when(_in(F.col("canonical"), "(?:a|ة|اء|а|я|α|η)$"), "f").otherwise("m")
     form = F.concat_ws("-", F.when(given, "GIVEN").otherwise("SURNAME"), sex, F.split_part("kind", F.lit("-"), F.lit(2)))
     return counts.select("kind", "canonical", F.when(F.col("kind").startswith("NAME"), form).otherwise(F.col("kind")).alias("form"))
 
@@ -222,7 +240,8 @@ def _rewritten(e: Column, kind: Column, values: Column) -> Column:
     names = F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
     spaced = F.regexp_replace(value, "(.{4})(?=.)", "$1 ")
     return (
-        F.when(kind == "EMAIL", F.when(upper, F.upper(value)).otherwise(value))
+        F.when(_in(value, "^x[0-9a-f]{24}$") & (kind != "NAME"), value)
+        .when(kind.isin("EMAIL", "IPV6"), F.when(upper, F.upper(value)).otherwise(value))
         .when(kind == "IBAN", F.when(F.contains(e, F.lit(" ")), spaced).otherwise(value))
         .when(kind == "IP", value).when(kind == "NAME", F.concat(title, F.array_join(F.transform(values, lambda v, i: _cased(names[i], v)), " ")))
         .when(kind == "PHONE", _refill(e, number)).otherwise(_refill(e, value))
@@ -252,48 +271,52 @@ def _table(parts: DataFrame, key: str) -> DataFrame:
 
 def replace_entities(docs: DataFrame, *, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in the text, and ``n_entities`` and ``entity_kinds`` of each row."""
-    text = F.col(text_col)
-    has = F.coalesce(_in(text, _HINT) & _in(text, FOUND), F.lit(False))
-    mark = F.xxhash64(F.col(id_col), text)
-    found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
+    others = [c for c in docs.columns if c != text_col]
+    text = F.col("text")
+    looked = docs.select(F.struct(*(F.col(quoted(c)) for c in others)).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    nothing = F.array().cast("array<string>")
+    looked = looked.withColumn("found", F.coalesce(F.when(_in(text, _HINT), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))), nothing))
+    some = F.size("found") > 0
+    mark = F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64(F.lit(7), "text", "id").alias("b"))
+    looked = looked.select("row", "found", F.when(some, F.split(text, FOUND, -1)).alias("rest"), F.when(some, mark).alias("mark"), F.when(~some, text).alias("text"))
+    # written: the long expression runs once for each text
+    looked = written(looked, "found")
+    lists = looked.where("mark IS NOT NULL")
     with_kind = F.transform("found", lambda e: F.struct(e.alias("entity"), _kind(e).alias("kind")))
-    # written before anything reads the array twice: the long expression runs once for each text
-    lists = written(docs.where(_in(text, _HINT)).select(mark.alias("_mark"), found.alias("found")), "found")
-    hits = lists.where(F.size("found") > 0).select("_mark", with_kind.alias("mentions")).select("_mark", F.posexplode("mentions").alias("at", "m")).select("_mark", "at", "m.entity", "m.kind")
+    hits = lists.select("mark", with_kind.alias("mentions")).select("mark", F.posexplode("mentions").alias("at", "m")).select("mark", "at", "m.entity", "m.kind")
     hits = written(hits, "mentions")
-    parts = hits.select("_mark", "at", F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("part", "p")).select("_mark", "at", "part", "p.*")
+    parts = hits.select("mark", "at", F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("part", "p")).select("mark", "at", "part", "p.*")
     parts = written(parts, "parts")
     values = parts.join(_table(parts, key).select("kind", "canonical", "value"), ["kind", "canonical"])
     word = F.when(F.col("kind").startswith("NAME"), F.col("canonical"))
     # at most three parts to a mention; rows that repeat give equal structs, which collect_set joins
-    values = values.groupBy("_mark", "at").agg(F.collect_set(F.struct("part", word.alias("word"), "value")).alias("values"))
-    mentions = hits.distinct().join(values, ["_mark", "at"]).select("_mark", "at", "kind", _rewritten(F.col("entity"), F.col("kind"), F.transform(F.array_sort("values"), lambda v: v["value"])).alias("new"), F.filter("values", lambda v: v["word"].isNotNull()).alias("names"))
+    values = values.groupBy("mark", "at").agg(F.collect_set(F.struct("part", word.alias("word"), "value")).alias("values"))
+    mentions = hits.distinct().join(values, ["mark", "at"]).select("mark", "at", "kind", _rewritten(F.col("entity"), F.col("kind"), F.transform(F.array_sort("values"), lambda v: v["value"])).alias("made"), F.filter("values", lambda v: v["word"].isNotNull()).alias("names"))
     # the mentions of one text go back into that text
-    lists = mentions.groupBy("_mark").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "new", "names"))).alias("_new"))
-    changed = docs.where(has).withColumn("_mark", mark).join(lists, "_mark")
-    new = F.transform("_new", lambda x: x["new"])
+    made = mentions.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "made", "names"))).alias("made"))
+    changed = lists.select("row", "rest", "mark").join(made, "mark")
     # beside the mentions, words of the text's names that stand alone
-    words = F.array_distinct(F.flatten(F.transform("_new", lambda x: F.transform(x["names"], lambda v: F.struct(v["word"].alias("word"), v["value"].alias("value"))))))
-    changed = changed.withColumns({"_rest": F.split(text, FOUND, -1), "_words": words})
-    standing = F.transform(F.flatten(F.transform("_rest", lambda x: F.regexp_extract_all(x, F.lit(rf"{_ALONE_START}\p{{L}}+{_ALONE_END}"), F.lit(0)))), lambda x: F.lower(x))
+    words = F.array_distinct(F.flatten(F.transform("made", lambda x: F.transform(x["names"], lambda v: F.struct(v["word"].alias("word"), v["value"].alias("value"))))))
+    changed = changed.withColumn("words", words)
+    standing = F.transform(F.flatten(F.transform("rest", lambda x: F.regexp_extract_all(x, F.lit(rf"{_ALONE_START}\p{{L}}+{_ALONE_END}"), F.lit(0)))), lambda x: F.lower(x))
     # names of several parts are always looked for, others where their letters occur: each text is compared with few
-    own = F.transform("_words", lambda v: v["word"])
+    own = F.transform("words", lambda v: v["word"])
     standing = F.array_union(F.array_intersect(own, standing), F.filter(own, lambda w: _in(w, "['’-]")))
-    changed = changed.withColumn("_names", F.when(F.size("_words") > 0, standing).otherwise(F.array().cast("array<string>")))
-    alone = F.concat(F.lit(_ALONE_START + "(?iu:"), F.array_join(F.reverse(F.array_sort("_names")), "|"), F.lit(")" + _ALONE_END))
-    changed = changed.withColumns({"_alone": alone, "_values": F.map_from_entries(F.filter("_words", lambda v: F.array_contains("_names", v["word"])))})
+    changed = changed.withColumn("names", F.when(F.size("words") > 0, standing).otherwise(nothing))
+    alone = F.concat(F.lit(_ALONE_START + "(?iu:"), F.array_join(F.reverse(F.array_sort("names")), "|"), F.lit(")" + _ALONE_END))
+    changed = changed.withColumns({"alone": alone, "values": F.map_from_entries(F.filter("words", lambda v: F.array_contains("names", v["word"])))})
 
     def without(x: Column) -> Column:
-        standing = F.transform(F.regexp_extract_all(x, F.col("_alone"), F.lit(0)), lambda w: F.coalesce(_cased(w, F.element_at("_values", F.lower(w))), w))
-        return F.array_join(F.zip_with(F.split(x, F.col("_alone"), -1), F.array_append(standing, F.lit("")), lambda a, b: F.concat(a, b)), "")
-
-    some = F.size("_names") > 0
-    n_alone = F.when(some, F.aggregate("_rest", F.lit(0), lambda n, x: n + F.regexp_count(x, F.col("_alone")))).otherwise(0)
-    rest = F.when(some, F.transform("_rest", without)).otherwise(F.col("_rest"))
-    joined = F.array_join(F.zip_with(rest, F.array_append(new, F.lit("")), lambda a, b: F.concat(a, b)), "")
-    kinds = F.array_sort(F.array_distinct(F.transform("_new", lambda x: x["kind"])))
-    keep = [c for c in docs.columns if c not in (text_col, "n_entities", "entity_kinds")]
-    order = [*(c for c in docs.columns if c not in ("n_entities", "entity_kinds")), "n_entities", "entity_kinds"]
-    changed = changed.select(*keep, joined.alias(text_col), (F.size("_new") + n_alone).alias("n_entities"), kinds.alias("entity_kinds")).select(*order)
-    same = docs.where(~has).withColumns({"n_entities": F.lit(0), "entity_kinds": F.array().cast("array<string>")}).select(*order)
-    return changed.unionAll(same)
+        standing = F.transform(F.regexp_extract_all(x, F.col("alone"), F.lit(0)), lambda w: F.coalesce(_cased(w, F.element_at("values", F.lower(w))), w))
+        return F.array_join(F.zip_with(F.split(x, F.col("alone"), -1), F.array_append(standing, F.lit("")), lambda a, b: F.concat(a, b)), "")
+
+    named = F.size("names") > 0
+    n_alone = F.when(named, F.aggregate("rest", F.lit(0), lambda n, x: n + F.regexp_count(x, F.col("alone")))).otherwise(0)
+    rest = F.when(named, F.transform("rest", without)).otherwise(F.col("rest"))
+    joined = F.array_join(F.zip_with(rest, F.array_append(F.transform("made", lambda x: x["made"]), F.lit("")), lambda a, b: F.concat(a, b)), "")
+    kinds = F.array_sort(F.array_distinct(F.transform("made", lambda x: x["kind"])))
+    changed = changed.select("row", joined.alias("text"), (F.size("made") + n_alone).alias("n"), kinds.alias("kinds"))
+    same = looked.where("mark IS NULL").select("row", "text", F.lit(0).alias("n"), nothing.alias("kinds"))
+    n, kinds = ("_" * sum(c.lower().lstrip("_") == name for c in docs.columns) + name for name in ("n_entities", "entity_kinds"))
+    columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return changed.unionAll(same).select(*columns, F.col("n").alias(n), F.col("kinds").alias(kinds))

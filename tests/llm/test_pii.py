@@ -17,10 +17,70 @@ def luhn(s):
 
 
 def run(spark, rows, **how):
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_entities int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").select("doc_id", "text")
     return [tuple(r) for r in pii.replace_entities(df, **how).select("doc_id", "text", "n_entities", "entity_kinds").collect()]
 
 
+def test_columns_of_any_names(spark):
+    rows = [(1, "m", 7, "f", "k", "r", "Mr John Smith, a@b.org", 2.5), (2, "m", 8, "g", "k", "r", "clean", 3.5)]
+    names = ["doc_id", "mark", "n_entities", "found", "entity_kinds", "row", "text", "a.b"]
+    got = pii.replace_entities(spark.createDataFrame(rows, names))
+    assert got.columns == [*names, "_n_entities", "_entity_kinds"]
+    for old, new in zip(rows, sorted(map(tuple, got.collect())), strict=True):
+        assert new[:6] + new[7:8] == old[:6] + old[7:8] and new[8] == (2 if old[0] == 1 else 0)
+    got = pii.replace_entities(spark.createDataFrame([(r[6], r[0]) for r in rows], ["body", "key"]), id_col="key", text_col="body")
+    assert got.columns == ["body", "key", "n_entities", "entity_kinds"] and got.where("n_entities = 0").first().body == "clean"
+
+
+def made_up(r):
+    """Random mentions of a few entities, each written in one of its ways, and (type, entity, way) of each."""
+    people = [("Mr", "Paul", "Weller"), ("Frau", "Erika", "Weller"), ("Κύριος", "Γιώργος", "Ανδρέου"), ("госпожа", "Анна", "Белова"), ("Dr", "Paul", "Kern")]
+    k = r.randrange(30)
+    v6 = f"2001:db8:{k:x}0a:1:2:3:4:{k + 16:x}"
+    ways = {
+        "EMAIL": (f"u{k}@mail.org", [f"u{k}@mail.org", f"U{k}@MAIL.ORG"]), "CARD": (f"4000 1234 5678 {1000 + k}", [f"4000 1234 5678 {1000 + k}", f"400012345678{1000 + k}", f"4000-1234-5678-{1000 + k}"]),
+        "PHONE": (f"(212) 555-{1000 + k}", [f"(212) 555-{1000 + k}", f"+1 212 555 {1000 + k}"]), "IP": (f"10.1.2.{k}", [f"10.1.2.{k}"]), "SSN": (f"123-45-{6000 + k}", [f"123-45-{6000 + k}"]),
+        "IPV6": (v6, [v6, v6.upper(), ]), "NAME": (people[k % 5], None),
+    }
+    kind = r.choice(list(ways))
+    entity, forms = ways[kind]
+    return kind, entity, (" ".join(entity) if forms is None else r.choice(forms))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_texts_against_their_plan(spark, seed):
+    """Texts are planned mention by mention; each mention's surrogate is read off between known words."""
+    r = random.Random(seed)
+    plans = {i: [made_up(r) for _ in range(r.randrange(1, 9))] for i in range(150)}
+    rows = [(i, " §; ".join(["start", *(m[2] for m in plan), "end"]), 0) for i, plan in plans.items()]
+    words, values = {}, {}
+    for i, new, n, kinds in run(spark, rows):
+        pieces = new.split(" §; ")
+        assert pieces[0] == "start" and pieces[-1] == "end" and len(pieces) == len(plans[i]) + 2
+        assert n == len(plans[i]) and kinds == sorted({m[0] for m in plans[i]})
+        for (kind, entity, way), piece in zip(plans[i], pieces[1:-1], strict=True):
+            if kind == "NAME":
+                title, *own = piece.split(" ")
+                assert title == entity[0] and len(own) == 2
+                for old, one in zip(entity[1:], own, strict=True):
+                    assert words.setdefault(old, one) == one != old
+            else:
+                plain = re.sub(r"[ ()+-]", "", piece.lower())[-10 if kind == "PHONE" else 0 :]
+                assert values.setdefault((kind, entity), plain) == plain and (kind == "IP" or re.sub(r"\w", "w", piece) == re.sub(r"\w", "w", way))
+                assert piece.isupper() == way.isupper()
+    assert len(set(words.values())) == len(words) and len(set(values.values())) == len(values)
+    assert not set(words) & set(words.values())
+    assert all(re.fullmatch("[Ͱ-Ͽ]+", words[w]) for w in ("Γιώργος", "Ανδρέου") if w in words) and all(re.fullmatch("[А-я]+", words[w]) for w in ("Анна", "Белова") if w in words)
+
+
+def test_used_up_shapes_go_on(spark, monkeypatch):
+    """Far more entities than their shape has values: the rest gets tokens, all distinct."""
+    monkeypatch.setattr(pii, "RESERVE", 2)
+    rows = [(i, f"fe80::{i % 10}{'abcdef'[i // 10]}", 0) for i in range(60)]
+    got = [x[1] for x in run(spark, rows)]
+    assert len(set(got)) == 60 and not set(got) & {x[1] for x in rows} and all(re.fullmatch(r"[a-f0-9:]+|x[0-9a-f]{24}", g) for g in got)
+
+
 def test_documents(spark):
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     after = {r.doc_id: r.text for r in queries.op1_surrogates(spark, SF).collect()}
