@@ -301,35 +301,36 @@ def _ties(sets: DataFrame, threshold: float, tolerance: float, block: int) -> Da
     posted = sets.select("node", F.explode("keys").alias("key"))
     blocks = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     blocks = written(blocks, "buckets")
-    shared = posted.join(blocks.select("key"), "key", "left_semi").join(sets.select("node", "n", "sketch"), "node")
+    shared = _probably(posted, "key", blocks.select("key"), blocks.count()).join(blocks.select("key"), "key", "left_semi")
+    shared = shared.join(sets.select("node", "n", "sketch"), "node")
     return _blocked(shared, blocks, "key", ["node", "n", "sketch"]).mapInArrow(_neighbours(threshold, tolerance), "a bigint, b bigint")
 
 
 def _links(texts: DataFrame, sets: DataFrame, place: DataFrame, shingle: int, threshold: float, tolerance: float, block: int) -> DataFrame:
     """Link counts of nodes, and edges of spanning forests, of every pair of blocks."""
-    members = written(place.join(sets.select("node", "pick", "copies", "n"), "node"), "members")
+    members = written(place.join(sets.select("node", "pick", "copies", "n", "sketch"), "node"), "members")
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    full = _chosen(texts, members.select("pick"), members.count()).mapInArrow(_shingled(shingle), "node bigint, shingles binary")
-    rows = members.select("component", "node", "copies").join(sets.select("node", "sketch"), "node").join(full.dropDuplicates(["node"]), "node")
+    full = _probably(texts, "pick", members.select("pick"), members.count()).select("text").mapInArrow(_shingled(shingle), "node bigint, shingles binary")
+    rows = members.select("component", "node", "copies", "sketch").join(full.dropDuplicates(["node"]), "node")
     return _blocked(rows, blocks, "component", ["node", "copies", "sketch", "shingles"]).mapInArrow(_verified(threshold, tolerance), "node bigint, other bigint, links bigint")
 
 
-def _chosen(texts: DataFrame, chosen: DataFrame, number: int) -> DataFrame:
-    """The texts whose ``pick`` is chosen, and perhaps a few more, without moving texts.
+def _probably(df: DataFrame, key: str, chosen: DataFrame, number: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among the ``number`` chosen ones, and perhaps a few more, without moving them.
 
     A bitmap of hashes, of at most ``BITMAP_BITS`` bits whatever the input, goes to every
-    task in rows of 4 KB. For so many that it would pass most texts, a semi-join is used.
+    task in rows of 4 KB. For so many that it would pass most rows, a semi-join is used.
     """
     if number > BITMAP_BITS // 4:
-        return texts.join(chosen.distinct(), "pick", "left_semi").select("text")
+        return df.join(chosen.distinct(), key, "left_semi")
     bits = 1 << 20
     while bits < min(16 * number, BITMAP_BITS):
         bits *= 2
-    place = F.pmod(F.xxhash64("pick"), F.lit(bits)) + 1
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     rows = chosen.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    held = texts.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(rows), "bucket")
+    held = df.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(rows), "bucket")
     octet = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)), 16, 10) as int)")
-    return held.withColumn("octet", octet).where("getbit(octet, cast(bitmap_bit_position(place) % 8 as int)) = 1").select("text")
+    return held.withColumn("octet", octet).where("getbit(octet, cast(bitmap_bit_position(place) % 8 as int)) = 1").select(*df.columns)
 
 
 #: A character of a word.

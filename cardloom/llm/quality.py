@@ -6,8 +6,8 @@ Gated attention gives each passage of a bag its weight: a softmax over w . (tanh
 The weighted sum of the passages' codes is the text's representation, and a logistic output on
 it is learned from the labels of whole texts alone.
 
-Fitting reads at most ``max_rows`` labelled texts, chosen by a hash of the id; scoring encodes
-every passage of every text. Defined results: null and empty texts are one empty passage;
+Fitting reads at most ``max_rows`` labelled texts and ``max_bytes`` of them, chosen by a hash of
+the id (one text of an id that repeats); scoring encodes every passage of every text. Defined results: null and empty texts are one empty passage;
 without labels of both classes every score is the share of good labels (0.5 without any); rows
 that repeat are each scored; a document labelled twice is as good as its worst label.
 """
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm import bytewords
-from cardloom.llm.common import bounded_batches, slices, text_buffer
+from cardloom.llm.common import bounded_batches, labelled_texts, slices, text_buffer
 
 PASSAGE = 512
-MAX_ROWS = 6000
+MAX_ROWS, MAX_BYTES = 6000, 64 << 20
 HIDDEN, GATE = 32, 16
 _WORD_BUCKETS = 64
 
@@ -161,12 +161,10 @@ def train(rows: list[tuple[int, str | None, int]], *, passes: int = 12, rate: fl
     return Model(mean, deviation, w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Train on at most ``max_rows`` of the labelled texts."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Train on at most ``max_rows`` of the labelled texts, and at most ``max_bytes`` of text."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
-    sample = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
-    return train([(r.doc_id, r.text, r.label) for r in texts.toLocalIterator()])
+    return train(labelled_texts(docs, marks, max_rows, max_bytes, id_col, text_col))
 
 
 def score_quality(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

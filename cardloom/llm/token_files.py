@@ -114,7 +114,8 @@ def write_tokens(docs: DataFrame, *, vocabulary: str, end_id: int = 1, id_col: s
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"), salt.alias("salt"))
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     order = ["doc_id", "mark", "salt"]
-    parts = texts.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order).mapInArrow(
+    tasks = max(1, -(-size // shard_bytes), min(spark.sparkContext.defaultParallelism, size >> 20))
+    parts = texts.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(
         _writer(vocabulary, end_id, folder, run, shard_bytes), "part int, file string, first bigint, last bigint, docs bigint, ids bigint"
     )
     parts.write.parquet(f"{folder}/parts-{run}")

@@ -1,17 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one that adds the passages
-in which toxic texts differ from ordinary ones. Each text is cut into overlapping windows; a
-window is compressed with either dictionary, and the bytes that the toxic one saves are its
+Two zstandard dictionaries are trained, on passages of the labelled texts of either class. The
+ordinary one has pieces of all ordinary texts. The toxic one has the passages in which toxic
+texts differ, those around words (or their beginnings) that have far more different neighbours
+in toxic than in ordinary texts, and behind them the ordinary content, so that the two differ in
+nothing else. (Trained on all text of its class alone, the toxic dictionary holds what is common
+to both, and tells them badly: README has the figures.) Each text is cut into overlapping windows;
+a window is compressed with either dictionary, and the bytes that the toxic one saves are its
 distance. Thresholds on that distance are calibrated on ordinary windows, and a logistic
 curve, fitted on labelled texts that took no part in the dictionaries, turns a text's windows
 into a score.
 
 Fitting reads at most ``max_per_class`` labelled texts of each class (chosen by a hash of the
-id); scoring reads every window of every text. Defined results: null and empty texts have one
-empty window and get the score of a text without toxic windows; without labels of both
-classes the score is the share of toxic labels (0 without any); rows that repeat are each
-scored; a document labelled twice counts as toxic if any label says so.
+id, and one text of an id that repeats) and ``max_bytes`` of them; scoring reads every window of
+every text. Defined results: null and empty texts have one empty window and get the score of a
+text without toxic windows; without labels of both classes the score is the share of toxic labels
+(0 without any); rows that repeat are each scored; a document labelled twice counts as toxic if
+any label says so. A to Z count as a to z.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ from pyspark.sql import functions as F
 
 from cardloom.llm import bytewords
 from cardloom.llm.bytewords import LOWER
-from cardloom.llm.common import bounded_batches, slices, text_buffer
+from cardloom.llm.common import bounded_batches, labelled_texts, slices, text_buffer
 
 WINDOW, STEP = 48, 36
 LEVEL = 9
 ORDINARY_BYTES, TOXIC_BYTES = 40_000, 4096
-MAX_PER_CLASS = {1: 2000, 0: 4000}
+MAX_PER_CLASS, MAX_BYTES = {1: 2000, 0: 4000}, 64 << 20
+#: Most samples that a dictionary is trained on, drawn evenly from all of them.
+SAMPLES = 60_000
 FEATURES = 17
 STEMS = (4, 6)
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -134,8 +141,9 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
 
 
 def _trained(samples: list[bytes], size: int, k: int) -> bytes:
-    """Content that zstandard picks from the samples; the samples themselves if they are too few."""
-    samples = samples[:60_000]
+    """Content that zstandard picks from the samples; the last of these themselves where it finds them too few to train on."""
+    if len(samples) > SAMPLES:
+        samples = [samples[k] for k in np.sort(np.random.default_rng(3).choice(len(samples), SAMPLES, replace=False))]
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=6 if k < 64 else 8, level=3).as_bytes()[-size:]
     except zstandard.ZstdError:
@@ -144,7 +152,8 @@ def _trained(samples: list[bytes], size: int, k: int) -> bytes:
 
 def train(rows: list[tuple[int, str | None, int]]) -> Model:
     """The model for labelled (id, text, toxic) rows."""
-    rows = sorted(((i, (t or "").lower(), y) for i, t, y in rows), key=lambda r: (r[0] is None, r[0], r[1]))
+    # A to Z only, as in scoring
+    rows = sorted(((i, (t or "").encode().lower().decode(), y) for i, t, y in rows), key=lambda r: (r[0] is None, r[0], r[1]))
     y = np.array([r[2] for r in rows], dtype=float)
     rate = float(y.mean()) if len(y) else 0.0
     flat = (np.zeros(FEATURES), np.ones(FEATURES))
@@ -170,14 +179,10 @@ def train(rows: list[tuple[int, str | None, int]]) -> Model:
     return Model(base, extra, threshold, w, (mean, deviation))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: dict[int, int] | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: dict[int, int] | None = None, max_bytes: int = MAX_BYTES) -> Model:
     """Train on a sample of the labelled texts, of a size that doesn't grow with the tables."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    most = max_per_class or MAX_PER_CLASS
-    parts = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in most.items()]
-    sample = F.broadcast(parts[0].unionAll(parts[1]))  # at most the sum of max_per_class rows
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
-    return train([(r.doc_id, r.text, r.label) for r in texts.toLocalIterator()])
+    return train(labelled_texts(docs, marks, max_per_class or MAX_PER_CLASS, max_bytes, id_col, text_col))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

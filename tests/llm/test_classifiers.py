@@ -3,8 +3,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
-from cardloom.llm import quality, queries, toxicity
+from cardloom.llm import common, quality, queries, toxicity
 from cardloom.llm.bytewords import LOWER
 from cardloom.llm.common import text_buffer
 
@@ -48,6 +49,25 @@ def test_odd_texts_and_labels(spark, module, run):
     assert run(docs.limit(0), model).count() == 0
 
 
+def test_the_sample_is_bounded(spark):
+    """Repeated ids give one text, labels a bounded number of ids each, and texts a bounded number of bytes."""
+    docs = spark.createDataFrame([*((1, f"copy {k}") for k in range(500)), *((i, "x" * 1000) for i in range(2, 40)), (50, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    rows = common.labelled_texts(docs, marks, {1: 10, 0: 7}, 1 << 20, "doc_id", "text")
+    assert len({r[0] for r in rows}) == len(rows) <= 17 and sum(r[2] for r in rows) <= 10
+    rows = common.labelled_texts(docs, marks, 60, 5000, "doc_id", "text")
+    assert 0 < sum(len(r[1] or "") for r in rows) <= 5000 and all(r[1] in (None, "copy 0", "x" * 1000) for r in rows)
+    assert common.labelled_texts(docs.limit(0), marks, 60, 5000, "doc_id", "text") == []
+
+
+def test_samples_of_a_dictionary_come_from_everywhere(monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLES", 400)
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples, **how: seen.extend(samples) or (_ for _ in ()).throw(zstandard.ZstdError("too few")))
+    held = toxicity._trained([b"first"] * 5000 + [b"second"] * 5000, 50, 24)
+    assert len(seen) == 400 and 120 < seen.count(b"first") < 280 and len(held) == 50
+
+
 def test_windows_cover_every_byte():
     texts = ["", "ab", "c" * 48, "d" * 49, "e" * 1000]
     raw, offsets = text_buffer(pa.array(texts))

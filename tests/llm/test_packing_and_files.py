@@ -138,7 +138,7 @@ def test_keyed_access_over_a_folder(spark, shard_bytes):
         else:
             assert bytes(r.ids) in own[key] and r.n_tokens * 4 == len(r.ids)
     shards = spark.read.parquet(f"{folder}/manifest").count()
-    assert shards == 1 if shard_bytes == 1 << 30 else shards > 100
+    assert shards < 5 if shard_bytes == 1 << 30 else shards > 100
     empty = token_files.write_tokens(df.limit(0), vocabulary=queries.vocabulary("word_bpe_49k.json"))
     assert token_files.lookup(spark, empty, asked).where("ids IS NOT NULL").count() == 0
 
