@@ -3,30 +3,34 @@
 A page is a sequence of blocks; one LSTM reads their vectors from the first to the last and
 another from the last to the first, so that each block is judged with the whole page before and
 behind it. The text of the blocks labelled main, in page order, is the result. The labeller is
-trained on generated pages once in a session (``PAGES`` of them; about ten seconds).
+trained on generated pages (``PAGES`` of them; about ten seconds), once for a shared folder: its
+weights are kept there, under a name that the settings and the generator determine.
 
 Defined results: null, empty and textless pages give an empty text; rows that repeat are each
-extracted; nothing is cut, however long (sequences of more than ``WINDOW`` blocks are read in
-overlapping windows of that many). Other columns are ignored.
+extracted; nothing is cut, however long: both LSTMs carry their states from one run of ``CHUNK``
+blocks to the next, so that labels don't depend on it. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import io
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import html_training
-from cardloom.llm.common import bounded_batches, slices
+from cardloom.llm import html_blocks, html_training
+from cardloom.llm.common import bounded_batches, exists, open_file, put_file, shared_dir, slices
 from cardloom.llm.html_blocks import FEATURES, Block, blocks, vectors
 
 HIDDEN = 24
 PAGES, PASSES, BATCH = 2000, 5, 16
-WINDOW, CONTEXT = 2000, 200
+CHUNK = 2000
 Weights = dict[str, np.ndarray]
 
 
@@ -34,10 +38,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _lstm(x: np.ndarray, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """States of a layer whose inputs (time, page, 4 * hidden) are already projected."""
+State = tuple[np.ndarray, np.ndarray]
+
+
+def _lstm(x: np.ndarray, u: np.ndarray, mask: np.ndarray, state: State | None = None, keep: bool = True) -> tuple[np.ndarray, list[tuple], State]:
+    """States of a layer whose inputs (time, page, 4 * hidden) are already projected, what its gradients need, and the last state."""
     steps, n, _ = x.shape
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
     out, kept = np.empty((steps, n, HIDDEN), np.float32), []
     for t in range(steps):
         z = x[t] + h @ u
@@ -47,11 +54,12 @@ def _lstm(x: np.ndarray, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, l
         c_new = f * c + i * g
         tc = np.tanh(c_new)
         m = mask[t][:, None]
-        kept.append((h, c, i, f, o, g, tc, m))
+        if keep:
+            kept.append((h, c, i, f, o, g, tc, m))
         c = m * c_new + (1 - m) * c
         h = m * o * tc + (1 - m) * h
         out[t] = h
-    return out, kept
+    return out, kept, (h, c)
 
 
 def _lstm_back(dout: np.ndarray, u: np.ndarray, kept: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +90,8 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _forward(w: Weights, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
     steps, n, _ = x.shape
     flat = x.reshape(steps * n, -1)
-    a, ka = _lstm((flat @ w["Wf"] + w["bf"]).reshape(steps, n, -1), w["Uf"], mask)
-    b, kb = _lstm((flat @ w["Wb"] + w["bb"]).reshape(steps, n, -1)[::-1], w["Ub"], mask[::-1])
+    a, ka, _ = _lstm((flat @ w["Wf"] + w["bf"]).reshape(steps, n, -1), w["Uf"], mask)
+    b, kb, _ = _lstm((flat @ w["Wb"] + w["bb"]).reshape(steps, n, -1)[::-1], w["Ub"], mask[::-1])
     h = np.concatenate([a, b[::-1]], axis=2)
     return _sigmoid(h @ w["c"] + x @ w["s"] + w["d"]), (flat, ka, kb, h)
 
@@ -147,24 +155,42 @@ def trained(pages: int = PAGES, passes: int = PASSES, rate: float = 0.006) -> We
     return w
 
 
+def weights(spark: SparkSession) -> Weights:
+    """The labeller's weights from the shared folder, where they are put if they are not there."""
+    about = "".join(inspect.getsource(m) for m in (html_training, html_blocks)) + repr((PAGES, PASSES, BATCH, HIDDEN, inspect.getsource(trained)))
+    place = f"{shared_dir(spark)}/html-labeller-{hashlib.sha1(about.encode()).hexdigest()}.npz"
+    if not exists(place):
+        data = io.BytesIO()
+        np.savez(data, **trained())
+        put_file(place, iter([data.getvalue()]))
+    with open_file(place) as f, np.load(io.BytesIO(f.read())) as held:
+        return dict(held)
+
+
+def _carried(x: np.ndarray, w: np.ndarray, b: np.ndarray, u: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The states of a layer, with its inputs projected a chunk at a time."""
+    out, state = np.empty((*mask.shape, HIDDEN), np.float32), None
+    for lo in range(0, len(x), CHUNK):
+        p = slice(lo, lo + CHUNK)
+        out[p], _, state = _lstm(x[p] @ w + b, u, mask[p], state, keep=False)
+    return out
+
+
 def label(w: Weights, parts: list[np.ndarray]) -> list[np.ndarray]:
     """For each page the probability of each of its blocks to be main text."""
-    cut: list[tuple[int, int, int]] = []  # page, from, to
-    for k, p in enumerate(parts):
-        for lo in range(0, len(p), WINDOW - 2 * CONTEXT) if len(p) > WINDOW else ((0,) if len(p) else ()):
-            cut.append((k, lo, min(lo + WINDOW, len(p))))
     out = [np.zeros(len(p), np.float32) for p in parts]
-    cut.sort(key=lambda c: c[2] - c[1])
+    order = sorted((k for k, p in enumerate(parts) if len(p)), key=lambda k: len(parts[k]))
     at = 0
-    while at < len(cut):
-        n = max(1, min(64, 20_000 // max(1, cut[min(at + 63, len(cut) - 1)][2] - cut[min(at + 63, len(cut) - 1)][1])))
-        some = cut[at : at + n]
+    while at < len(order):
+        n = max(1, min(64, 20_000 // len(parts[order[min(at + 63, len(order) - 1)]])))
+        some = order[at : at + n]
         at += n
-        x, mask = _padded([parts[k][lo:hi] for k, lo, hi in some])
-        p = _forward(w, x, mask)[0]
-        for j, (k, lo, hi) in enumerate(some):
-            skip = CONTEXT if lo else 0
-            out[k][lo + skip : hi] = p[skip : hi - lo, j]
+        x, mask = _padded([parts[k] for k in some])
+        ahead = _carried(x, w["Wf"], w["bf"], w["Uf"], mask)
+        back = _carried(x[::-1], w["Wb"], w["bb"], w["Ub"], mask[::-1])[::-1]
+        p = _sigmoid(ahead @ w["c"][:HIDDEN] + back @ w["c"][HIDDEN:] + x @ w["s"] + w["d"])
+        for j, k in enumerate(some):
+            out[k] = p[: len(parts[k]), j]
     return out
 
 
@@ -175,7 +201,7 @@ def main_text(found: list[Block], main: np.ndarray) -> str:
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5) -> DataFrame:
     """``page_id``, ``url`` and the main ``text``, with the numbers of blocks and of those kept."""
     bounded_batches(pages.sparkSession)
-    held = pages.sparkSession.sparkContext.broadcast(trained())
+    held = pages.sparkSession.sparkContext.broadcast(weights(pages.sparkSession))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

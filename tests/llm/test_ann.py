@@ -88,3 +88,16 @@ def test_short_lists_are_made_up_for(spark):
     df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
     got = answers(ann.nearest(df, df, k=40, target=0.0))
     assert len(got) == 60 and all(len(v) == 40 for v in got.values())
+
+
+def test_queries_in_small_clusters_get_all_their_neighbours(spark):
+    """Six clusters of 200 and two of 6: the lists first visited may hold fewer than k; every answer is exact but a few."""
+    r = np.random.default_rng(11)
+    centers = 10 * r.normal(size=(8, 12))
+    rows = [(i, (centers[c] + 0.1 * r.normal(size=12)).tolist()) for i, c in enumerate(np.repeat(np.arange(8), [200] * 6 + [6] * 2).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = answers(ann.nearest(df, df, k=20))
+    want = exact(rows, rows, 20)
+    assert len(got) == len(rows) and all([f[0] for f in v] == list(range(1, 21)) for v in got.values())
+    hits = [len({f[1] for f in got[q]} & {w[0] for w in want[q]}) / 20 for q in got]
+    assert np.mean(hits) > 0.95

@@ -1,3 +1,6 @@
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -42,7 +45,7 @@ def test_known_page():
 @pytest.mark.parametrize("page, text", [
     ("", []), ("plain", ["plain"]), ("a < b <p>c", ["a < b", "c"]), ("<p>a<br>b<!-- <p>x --> c</p>", ["a b c"]), ("<script>never closed <p>x", []), ("<p a='1>2' b=\"</p>\">t</p>", ["t"]),
     ("<p a='>x</p>", ["x"]), ("<ul><li>1<ul><li>2</ul><li>3</ul>", ["1", "2", "3"]), ("&eacute;&#x41;&#66; &copy", ["éAB ©"]), ("<p>x</div></p>y", ["x", "y"]), ("<noscript><p>n</p></noscript>m", ["m"]),
-    ("</p></p><p>", []), ("<", ["<"]), ("<p", ["<p"]), ("<!doctype html><?xml?>z", ["z"]),
+    ("</p></p><p>", []), ("<", ["<"]), ("<p", ["<p"]), ("<script>x</script foo='1'>after", ["after"]), ("<noscript>open <p>in", ["open", "in"]), ("<template>open", ["open"]), ("a<!-- never <p>b", ["a"]), ("<b><p>x</b></p>y", ["x", "y"]), ("<!doctype html><?xml?>z", ["z"]),
 ])
 def test_blocks(page, text):
     assert [b.text for b in blocks(page)] == text
@@ -57,11 +60,47 @@ def test_odd_pages(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_padding_and_windows_change_nothing(monkeypatch):
+def test_padding_and_chunks_change_nothing(monkeypatch):
     w = html_text.trained()
     xs, _ = html_text.examples(range(700_000, 700_030))
+    xs.append(np.concatenate(xs * 6)[:4500])
     alone = [html_text.label(w, [x])[0] for x in xs]
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(alone, html_text.label(w, xs), strict=True))
+    x, mask = html_text._padded(xs[-1:])
+    assert np.allclose(html_text._forward(w, x, mask)[0][:, 0], alone[-1], atol=1e-4)
+    monkeypatch.setattr(html_text, "CHUNK", 7)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(alone, html_text.label(w, xs), strict=True))
+
+
+def test_a_long_page_is_judged_as_a_whole():
+    """The head of 10,000 blocks of one article and its tail are labelled alike, and as main text."""
+    body = "".join(f"<p>Sentence number {i} of a very long story, told without haste.</p>" for i in range(10_000))
+    page = f"<html><body><nav><ul><li><a href='/'>Home</a></ul></nav><article><h1>Long</h1>{body}</article><footer>&copy; 2024</footer></body></html>"
+    found = blocks(page)
+    p = html_text.label(html_text.trained(), [vectors([found])])[0] >= 0.5
+    assert len(found) == 10_003 and p[1:-1].mean() > 0.999 and not p[-1]
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<b>x<p>", "<div>x</span>", "<b><div>y</b>", "<svg>z", "<li>i<div>", "<a '", "<td>c<table>", "<div class='n%d m%d'>x"])
+def test_unclosed_elements_take_linear_time(piece):
+    def took(n):
+        page = "".join(piece % (k, k) if "%" in piece else piece for k in range(n))
+        tracemalloc.start()
+        began = time.process_time()
+        found = blocks(page)
+        spent, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return spent, peak, len(found)
+
+    few, many = took(5_000), took(50_000)
+    assert many[0] < 30 * few[0] + 0.5 and many[1] < 20 * few[1] + (1 << 20)
+
+
+def test_weights_are_kept_in_the_shared_folder(spark, monkeypatch):
+    first = html_text.weights(spark)
+    monkeypatch.setattr(html_text.np, "savez", None)
+    again = html_text.weights(spark)
+    assert first.keys() == again.keys() and all(np.array_equal(first[k], again[k]) for k in first)
 
 
 def test_gradients_match_differences():

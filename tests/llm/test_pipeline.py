@@ -49,6 +49,18 @@ def test_stages_of_odd_documents(spark):
         assert {r.doc_id for r in docs.collect()} == ({1, 2, 3, None} if some else set())
 
 
+def test_columns_with_clashing_names_go_through(spark):
+    text = "Mr John Smith wrote to ann@b.org from the old town hall about nothing in particular"
+    rows = [(k, text if k < 3 else " ".join([*(f"w{k}{i}" for i in range(30)), text]), k, "m", 7, "k", 9, 1.5, "r") for k in range(1, 6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "_id", "_mark", "n_entities", "entity_kinds", "node", "score", "row"])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "_id", "_mark", "n_entities", "entity_kinds", "node", "score", "row"]
+    assert {tuple(r)[2:] for r in docs.collect()} == {(k, "m", 7, "k", 9, 1.5, "r") for k in (1, 3, 4, 5)}
+    assert docs.where("text LIKE '%Smith%' OR text LIKE '%ann@%'").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 4
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and importlib.util.find_spec("cardloom.llm")
