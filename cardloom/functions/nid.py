@@ -85,8 +85,23 @@ def decoded(d: Column, valid: Column) -> Column:
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used: a lambda's variable is not an expression to repeat."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def read_number(number: Column, as_of: Column) -> Column:
+    """Struct of ``digits``, ``validation`` and ``decoded`` of a number."""
+    def checked(d: Column) -> Column:
+        return F.struct(d.alias("digits"), validation(d, as_of).alias("validation"))
+
+    def said(x: Column) -> Column:
+        return F.struct(x["digits"].alias("digits"), x["validation"].alias("validation"), decoded(x["digits"], x["validation"]["valid"]).alias("decoded"))
+
+    return _once(_once(normalize_digits(number), checked), said)
+
+
 def with_decoded(df: DataFrame, number: str, as_of: Column) -> DataFrame:
-    """``df`` with ``digits``, ``validation`` and ``decoded`` of a column, each computed from the one before."""
-    df = df.withColumn("digits", normalize_digits(F.col(number)))
-    df = df.withColumn("validation", validation(F.col("digits"), as_of))
-    return df.withColumn("decoded", decoded(F.col("digits"), F.col("validation.valid")))
+    """``df`` with ``digits``, ``validation`` and ``decoded`` of a column."""
+    df = df.withColumn("_number", read_number(F.col(number), as_of))
+    return df.withColumns({c: F.col(f"_number.{c}") for c in ("digits", "validation", "decoded")}).drop("_number")

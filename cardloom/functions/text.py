@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -118,18 +119,20 @@ def suggest(token: str, kind: str, threshold: float) -> str:
     return entries[-best[0][1]]
 
 
+#: A word with a letter of the lexicons' script; no other word is near an entry.
+_ARABIC_WORD = re.compile(rf"\S*[{refdata.ARABIC_CHARS}]\S*")
+
+
 def correct_text(c: Column, kind: Column, threshold: float = 92.0) -> Column:
-    """Every word replaced by its suggestion; each distinct word of a batch is compared once."""
+    """Every word replaced by its suggestion, with one space between words.
+
+    Words without Arabic letters stay in the JVM's hands but for being passed over; texts without any
+    such word don't go to Python.
+    """
 
     @F.pandas_udf("string")
     def run(text, kinds):
-        seen: dict[tuple[str, str], str] = {}
-
-        def one(t, k):
-            if t is None:
-                return None
-            return " ".join(seen.setdefault((w, k), suggest(w, k, threshold)) if (w, k) not in seen else seen[w, k] for w in t.split())
-
-        return text.combine(kinds, one)
+        return text.combine(kinds, lambda t, k: None if t is None else _ARABIC_WORD.sub(lambda m: suggest(m[0], k, threshold), t))
 
-    return run(c, kind)
+    spaced = F.array_join(tokens(c), " ")
+    return F.coalesce(run(F.when(contains_arabic(c), spaced), kind), spaced)

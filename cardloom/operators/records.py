@@ -95,7 +95,7 @@ def assemble(df: DataFrame, settings: Settings, as_of: Column) -> DataFrame:
         F.array(
             F.when(~F.col("validation.checksum_ok"), "The National ID check digit does not match. The official algorithm is unpublished, so this is advisory -- but it often indicates a misread digit."),
             F.when(F.col("decoded").isNull() & (F.length(number) > 0), "Birth date, governorate and gender were not derived because the National ID did not pass validation."),
-            F.when(is_empty(F.col("first_name"), F.col("last_name"), F.col("address"), F.col("national_id")), "No field could be read from this image."),
+            F.when(is_empty(F.col("first_name"), F.col("last_name"), F.col("address"), F.col("national_id")), "A card was detected but no field could be read."),
         )
     )
     return df.withColumns(

@@ -112,18 +112,11 @@ def gov_lookup_en(spark, sf_dir):
     return rows.select("o_orderkey", "code", nid.governorate(F.col("code")).alias("governorate"), nid.governorate(F.col("code"), english=True).alias("governorate_en"))
 
 
-@query(f"WITH {_D} SELECT row_id, valid, valid IS NOT NULL AND valid AS decodes, CASE WHEN valid THEN strftime(bd, '%Y-%m-%d') END AS birth_date FROM f WHERE number IS NULL OR length(number) > 14")
-def validate_report(spark, sf_dir):
-    """The row of a number's validation report."""
-    rows = _decoded(spark, sf_dir).where("number IS NULL OR length(number) > 14")
-    return rows.select("row_id", "validation.valid", F.col("decoded").isNotNull().alias("decodes"), F.date_format("decoded.birth_date", "yyyy-MM-dd").alias("birth_date"))
-
-
 @query(
     f"""WITH {_D} SELECT row_id, number AS input, d AS digits, coalesce(valid, false) AS valid, coalesce(valid, false) AS decodes, CASE WHEN valid THEN strftime(bd, '%Y-%m-%d') END AS birth_date, CASE WHEN valid THEN governorate END AS governorate,
   CASE WHEN valid THEN substr(d, 8, 2) END AS governorate_code, CASE WHEN valid THEN CASE WHEN TRY_CAST(substr(d, 13, 1) AS INT) % 2 = 1 THEN 'male' ELSE 'female' END END AS gender FROM f"""
 )
-def validate_report_all(spark, sf_dir):
+def validate_report(spark, sf_dir):
     """The validation report of every number, with what the digits of a valid one say."""
     said = [F.col(f"decoded.{c}") for c in ("governorate", "governorate_code", "gender")]
     date = F.date_format("decoded.birth_date", "yyyy-MM-dd").alias("birth_date")
@@ -348,7 +341,7 @@ def record_empty(spark, sf_dir):
   WHEN length(d) <> 14 THEN 'Read ' || length(d) || ' of 14 National ID digits; the number is incomplete and has not been completed by inference.' END,
   CASE WHEN c4 IS NOT NULL AND NOT checksum_ok THEN 'The National ID check digit does not match. The official algorithm is unpublished, so this is advisory -- but it often indicates a misread digit.' END,
   CASE WHEN national_id IS NOT NULL AND NOT valid THEN 'Birth date, governorate and gender were not derived because the National ID did not pass validation.' END,
-  CASE WHEN first_name IS NULL AND last_name IS NULL AND address IS NULL AND national_id IS NULL THEN 'No field could be read from this image.' END) AS warnings FROM rec"""
+  CASE WHEN first_name IS NULL AND last_name IS NULL AND address IS NULL AND national_id IS NULL THEN 'A card was detected but no field could be read.' END) AS warnings FROM rec"""
 )
 def warnings_dedup(spark, sf_dir):
     return _record_rows(spark, sf_dir).select("crop", F.array_join("warnings", " / ").alias("warnings"))
@@ -421,23 +414,23 @@ def noise_clean(spark, sf_dir):
 
 
 @query(f"WITH {_TX} SELECT doc_id, regexp_matches(text, '[{refdata.ARABIC_CHARS}]') AS arabic FROM tx")
-def contains_arabic(spark, sf_dir, read=inputs.text_rows):
-    return read(spark, sf_dir).select("doc_id", text.contains_arabic(F.col("text")).alias("arabic"))
+def contains_arabic(spark, sf_dir):
+    return inputs.text_rows(spark, sf_dir).select("doc_id", text.contains_arabic(F.col("text")).alias("arabic"))
 
 
 @query(f"WITH {_TX} SELECT doc_id, regexp_replace(text, '[{refdata.DIACRITICS}{refdata.TATWEEL}]', '', 'g') AS plain FROM tx")
-def strip_diacritics(spark, sf_dir, read=inputs.text_rows):
-    return read(spark, sf_dir).select("doc_id", text.strip_diacritics(F.col("text")).alias("plain"))
+def strip_diacritics(spark, sf_dir):
+    return inputs.text_rows(spark, sf_dir).select("doc_id", text.strip_diacritics(F.col("text")).alias("plain"))
 
 
 @query(f"WITH {_TX} SELECT doc_id, translate(text, '{_ARABIC_DIGITS}', '01234567890123456789') AS western FROM tx")
-def western_digits(spark, sf_dir, read=inputs.text_rows):
-    return read(spark, sf_dir).select("doc_id", text.western_digits(F.col("text")).alias("western"))
+def western_digits(spark, sf_dir):
+    return inputs.text_rows(spark, sf_dir).select("doc_id", text.western_digits(F.col("text")).alias("western"))
 
 
 @query(rf"WITH {_TX} SELECT doc_id, regexp_replace(text, '(^|{_WS})ال{_WS}+([ء-ي])', '\1ال\2', 'g') AS merged FROM tx")
-def merge_article(spark, sf_dir, read=inputs.text_rows):
-    return read(spark, sf_dir).select("doc_id", text.merge_article(F.col("text")).alias("merged"))
+def merge_article(spark, sf_dir):
+    return inputs.text_rows(spark, sf_dir).select("doc_id", text.merge_article(F.col("text")).alias("merged"))
 
 
 _WORDS = f"w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_WS}+'), lambda x: length(x) > 0) AS words FROM tx)"
@@ -447,44 +440,31 @@ _WORDS = f"w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_WS}+'),
     rf"""WITH {_TX}, {_WORDS} SELECT doc_id, array_to_string(list_transform(words, lambda x: CASE WHEN x LIKE '%ه' AND length(x) >= 4 AND x NOT IN ({", ".join(f"'{x}'" for x in refdata.TA_MARBUTA_EXCEPTIONS)}) AND NOT regexp_matches(x, '\p{{Nd}}')
   AND x NOT LIKE '%الله' AND x NOT LIKE '%لله' THEN substr(x, 1, length(x) - 1) || 'ة' ELSE x END), ' ') AS fixed FROM w"""
 )
-def ta_marbuta(spark, sf_dir, read=inputs.text_rows):
+def ta_marbuta(spark, sf_dir):
     fixed = F.transform(text.tokens(F.col("text")), text.fix_ta_marbuta)
-    return read(spark, sf_dir).select("doc_id", F.array_join(fixed, " ").alias("fixed"))
+    return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(fixed, " ").alias("fixed"))
 
 
 _FIXES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in refdata.ORTHOGRAPHIC_FIXES.items()) + "}"
 
 
 @query(f"WITH {_TX}, {_WORDS} SELECT doc_id, array_to_string(list_transform(words, lambda x: coalesce({_FIXES}[x], x)), ' ') AS fixed FROM w")
-def orthographic(spark, sf_dir, read=inputs.text_rows):
-    return read(spark, sf_dir).select("doc_id", F.array_join(F.transform(text.tokens(F.col("text")), text.orthographic), " ").alias("fixed"))
+def orthographic(spark, sf_dir):
+    return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(F.transform(text.tokens(F.col("text")), text.orthographic), " ").alias("fixed"))
 
 
 @query(rf"WITH {_TX}, {_WORDS} SELECT doc_id, array_to_string(list_filter(words, lambda x: NOT regexp_matches(x, '^(?:[A-Za-z]|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|\p{{Nd}})+$')), ' ') AS kept FROM w")
-def drop_latin(spark, sf_dir, read=inputs.text_rows):
+def drop_latin(spark, sf_dir):
     kept = F.filter(text.tokens(F.col("text")), lambda w: ~text.is_latin_only(w))
-    return read(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("kept"))
+    return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
 @query()
-def normalize_arabic(spark, sf_dir, read=inputs.whole_text_rows):
-    rows = read(spark, sf_dir)
+def normalize_arabic(spark, sf_dir):
+    rows = inputs.text_rows(spark, sf_dir)
     return rows.select("doc_id", text.normalize_arabic(F.col("text"), F.col("doc_id") % 2 == 0).alias("normal"))
 
 
-def _on_whole_texts(f) -> None:
-    """Register a query of short texts once more, on whole documents."""
-    def whole(spark, sf_dir):
-        return f(spark, sf_dir, inputs.whole_text_rows)
-
-    whole.__name__ = f"{f.__name__}_whole"
-    query(_ORACLES[f.__name__].replace(inputs.DUCK_TEXT, inputs.DUCK_WHOLE_TEXT))(whole)
-
-
-for _f in (contains_arabic, strip_diacritics, western_digits, merge_article, ta_marbuta, orthographic, drop_latin):
-    _on_whole_texts(_f)
-
-
 @query()
 def fuzzy_correct(spark, sf_dir):
     """Every word of each document, and of a misspelt lexicon entry behind it, corrected."""

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.sources.tables import written
-
 AS_OF = "2026-01-01"
 
 _CHECK = " + ".join(f"CAST(substr(body, {k + 1}, 1) AS INT) * {w}" for k, w in enumerate((2, 7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)))
@@ -46,20 +44,16 @@ SELECT card AS crop, ord, CASE WHEN part % 3 = 0 THEN 'easyocr' WHEN part % 3 =
 FROM ({box}) q
 """
 
-#: Arabic and other texts beside a piece of each document.
+#: Each whole document, and Arabic and other texts behind it.
 TEXT = """
-SELECT doc_id, piece, CASE doc_id % 12 WHEN 0 THEN 'مُحَمَّد علي' WHEN 1 THEN 'محمــــد' WHEN 2 THEN '[ محمد ] | حسن' WHEN 3 THEN 'ال قاهرة' WHEN 4 THEN 'مدينة ال منصورة' WHEN 5 THEN 'احمد مصطفي فاطمه'
-  WHEN 6 THEN 'عبدالله الله له' WHEN 7 THEN 'محمد ABC' WHEN 8 THEN '١٢ شارع النيل' WHEN 9 THEN 'زغلولاوي منيره' WHEN 10 THEN 'café é Ünal' ELSE piece END AS text
+SELECT doc_id, piece, concat_ws(' ', piece, CASE doc_id % 12 WHEN 0 THEN 'مُحَمَّد علي' WHEN 1 THEN 'محمــــد' WHEN 2 THEN '[ محمد ] | حسن' WHEN 3 THEN 'ال قاهرة' WHEN 4 THEN 'مدينة ال منصورة' WHEN 5 THEN 'احمد مصطفي فاطمه'
+  WHEN 6 THEN 'عبدالله الله له' WHEN 7 THEN 'محمد ABC' WHEN 8 THEN '١٢ شارع النيل' WHEN 9 THEN 'زغلولاوي منيره' WHEN 10 THEN 'café é Ünal' END) AS text
 FROM (SELECT doc_id, text AS piece FROM {documents}) a
 """
 
-#: The same texts behind the whole of each document.
-WHOLE_TEXT = TEXT.replace("CASE doc_id % 12", "concat_ws(' ', piece, CASE doc_id % 12").replace("ELSE piece END", "END)")
-
 
 def nid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written first: the text of a number is long SQL, which plans above it would repeat."""
-    return written(spark.sql(NID, orders=spark.read.parquet(f"{sf_dir}/orders.parquet")), "numbers")
+    return spark.sql(NID, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
 def box_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +68,8 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TEXT, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def whole_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(WHOLE_TEXT, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
 #: The same inputs for DuckDB.
 DUCK_NID = NID.format(orders="orders")
 DUCK_BOX = BOX.format(lineitem="lineitem")
 DUCK_READING = READING.format(box=DUCK_BOX)
 DUCK_TEXT = TEXT.format(documents="documents")
-DUCK_WHOLE_TEXT = WHOLE_TEXT.format(documents="documents")

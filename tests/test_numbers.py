@@ -83,6 +83,6 @@ def test_every_number_is_reported(spark):
     from cardloom.plans import catalogue
 
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    got = catalogue.queries()["validate_report_all"](spark, "/root/testdata/sf0.001")
+    got = catalogue.queries()["validate_report"](spark, "/root/testdata/sf0.001")
     assert got.count() == orders.count() and got.where("valid AND (governorate IS NULL OR gender IS NULL OR birth_date IS NULL)").isEmpty()
     assert {r[0] for r in got.where("valid").selectExpr("row_id % 5").distinct().collect()} == {0, 1, 2, 3}
