@@ -109,13 +109,14 @@ def flat(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def nested_json(df: DataFrame, *keep: str) -> DataFrame:
-    """The record as JSON text, nulls kept, confidences to four places."""
+    """The record as JSON text, nulls kept, confidences to four places; what was found of the card first, where it is known."""
     def rounded(c: str) -> Column:
         return F.col(c).withField("confidence", F.round(F.col(f"{c}.confidence"), 4)).alias(c)
 
-    fields = F.struct(*(rounded(c) for c in ("full_name", "first_name", "last_name", "address", "national_id")))
+    fields = F.struct(*(rounded(c) for c in ("first_name", "last_name", "full_name", "address", "national_id")))
     derived = F.struct("birth_date", "governorate", "gender")
-    record = F.struct(fields.alias("fields"), derived.alias("derived"), "validation", "warnings")
+    place = [F.round(c, 4).alias(c) if c == "card_confidence" else F.col(c) for c in ("card_detected", "card_confidence", "rotation_applied", "side") if c in df.columns]
+    record = F.struct(*place, fields.alias("fields"), derived.alias("derived"), "validation", "warnings")
     return df.select(*keep, F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cardloom import refdata
 from cardloom.config import Settings
 from cardloom.functions import boxes, kernels, nid, text
-from cardloom.operators import detections, records
+from cardloom.operators import detections, extract, records
 from cardloom.plans import inputs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,6 +476,74 @@ def fuzzy_correct(spark, sf_dir):
     return rows.select("doc_id", "text", text.correct_text(F.col("text"), F.col("kind"), 85.0).alias("corrected"))
 
 
+# --------------------------------------------------------------------- whole records
+def _fixed_word(x: str) -> str:
+    """Final heh to ta marbuta, in DuckDB."""
+    kept = ", ".join(f"'{w}'" for w in refdata.TA_MARBUTA_EXCEPTIONS)
+    return rf"CASE WHEN {x} LIKE '%ه' AND length({x}) >= 4 AND {x} NOT IN ({kept}) AND NOT regexp_matches({x}, '\p{{Nd}}') AND {x} NOT LIKE '%الله' AND {x} NOT LIKE '%لله' THEN substr({x}, 1, length({x}) - 1) || 'ة' ELSE {x} END"
+
+
+_LATIN = r"'^(?:[A-Za-z]|[^\p{L}\p{M}\p{N}\p{Pc}]|\p{Nd})+$'"
+_PLAIN_TEXT = rf"regexp_replace(regexp_replace(regexp_replace(said, '[{refdata.DIACRITICS}{refdata.TATWEEL}]', '', 'g'), '[|\[\]{{}}<>_=+*^~\\/©®°¦¬]', ' ', 'g'), '{_WS}+', ' ', 'g')"
+_REQUIRED = ", ".join(f"('{f}')" for f in refdata.REQUIRED_FIELDS)
+_EXTRACT = rf"""
+WITH RECURSIVE {_D}, {_ALIASED},
+cards AS ({inputs.DUCK_CARD}), good AS (SELECT card FROM cards WHERE error IS NULL),
+grown AS (SELECT card, ord, class_name, confidence, {_grown('x1', 'x2', '1.04', 1000, '+')} - {_grown('x1', 'x2', '1.04', 1000, '-')} AS w, {_grown('y1', 'y2', '1.04', 630, '+')} - {_grown('y1', 'y2', '1.04', 630, '-')} AS h FROM bx WHERE confidence >= 0.25),
+picked AS (SELECT card, confidence, string_split(lower(class_name), '-') AS s FROM grown WHERE w >= 200 AND h >= 120 QUALIFY row_number() OVER (PARTITION BY card ORDER BY confidence DESC, ord) = 1),
+place AS (SELECT card, confidence, s, len(s) = 2 AND s[1] IN ('front', 'back') AND s[2] IN ('up', 'right', 'down', 'left') AS known FROM picked),
+prim AS (SELECT fb.* FROM fb JOIN good ON good.card = fb.card WHERE confidence >= 0.2),
+best AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY card, field ORDER BY confidence DESC, ord) AS rn FROM prim WHERE field <> '') r WHERE rn = 1),
+lack AS (SELECT DISTINCT g.card FROM good g, (VALUES {_REQUIRED}) r(field) WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.card = g.card AND best.field = r.field)),
+sec AS (SELECT bx.*, m.v AS field FROM bx JOIN lack ON lack.card = bx.card JOIN {_values({str(k): v for k, v in refdata.REGION_CLASSES.items()}, "m")} ON CAST(bx.cls AS VARCHAR) = m.k WHERE bx.confidence >= 0.2),
+secb AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY card, field ORDER BY confidence DESC, ord) AS rn FROM sec) r WHERE rn = 1),
+fnd AS (SELECT card, field, x1, y1, x2, y2 FROM best UNION ALL SELECT card, field, x1, y1, x2, y2 FROM secb WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.card = secb.card AND best.field = secb.field)),
+mar AS (SELECT fnd.*, CAST(m.w AS DOUBLE) AS sw, CAST(m.h AS DOUBLE) AS sh FROM fnd JOIN {_MARGIN} ON m.k = fnd.field),
+crops AS (SELECT card, field, {_grown('x1', 'x2', 'sw', 1000, '+')} > {_grown('x1', 'x2', 'sw', 1000, '-')} AND {_grown('y1', 'y2', 'sh', 630, '+')} > {_grown('y1', 'y2', 'sh', 630, '-')} AS cropped FROM mar),
+it AS (SELECT i.* FROM ({inputs.DUCK_ITEM}) i JOIN crops USING (card, field) WHERE cropped AND length(text) > 0 AND engine <> 'other'),
+e AS (SELECT *, row_number() OVER (PARTITION BY card, field, engine ORDER BY cy, ord) AS r, greatest(8.0, 200 * 0.45 / count(*) OVER (PARTITION BY card, field, engine)) AS tol FROM it),
+w(card, field, engine, r, line, y) AS (SELECT card, field, engine, r, 0, cy FROM e WHERE r = 1 UNION ALL SELECT e.card, e.field, e.engine, e.r, CASE WHEN abs(e.cy - w.y) > e.tol THEN w.line + 1 ELSE w.line END, CASE WHEN abs(e.cy - w.y) > e.tol THEN e.cy ELSE w.y END FROM w JOIN e ON e.card = w.card AND e.field = w.field AND e.engine = w.engine AND e.r = w.r + 1),
+txt AS (SELECT card, field, engine, regexp_replace(string_agg(e.text, ' ' ORDER BY w.line, -e.cx, w.r), '^{_WS}+|{_WS}+$', '', 'g') AS said, avg(e.confidence) AS sure FROM w JOIN e USING (card, field, engine, r) GROUP BY ALL),
+eng AS (SELECT * FROM txt WHERE said <> '' QUALIFY row_number() OVER (PARTITION BY card, field ORDER BY round(sure, 2) DESC, length(said) DESC, engine) = 1),
+nrm AS (SELECT *, regexp_replace({_PLAIN_TEXT}, '(^|{_WS})ال{_WS}+([ء-ي])', '\1ال\2', 'g') AS p FROM eng),
+wrd AS (SELECT *, list_filter(string_split_regex(p, '{_WS}+'), lambda x: length(x) > 0 AND NOT (field <> 'address' AND regexp_matches(x, {_LATIN}))) AS ws FROM nrm),
+fix AS (SELECT *, array_to_string(list_transform(list_transform(list_transform(ws, lambda x: coalesce({_FIXES}[x], x)), lambda x: {_fixed_word('x')}), lambda x: coalesce({_FIXES}[x], x)), ' ') AS normal FROM wrd),
+fld AS (SELECT c.card, c.field, c.cropped, said, nullif(normal, '') AS value, sure, CASE WHEN NOT c.cropped THEN 'not_found' WHEN said IS NULL OR normal = '' THEN 'unreadable' WHEN sure < 0.4 THEN 'low_confidence' ELSE 'ok' END AS status FROM crops c LEFT JOIN fix USING (card, field)),
+wide AS (SELECT card, {", ".join(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}, max(CASE WHEN field = '{f}' THEN status END) AS {f}_status, max(CASE WHEN field = '{f}' THEN sure END) AS {f}_sure" for f in ("first_name", "last_name", "address"))}, bool_or(CASE WHEN field = 'nid' THEN cropped END) AS nid FROM fld GROUP BY card),
+flg AS (SELECT card, 'The detector flagged these regions as atypical for a genuine card: ' || string_agg(DISTINCT field, ', ' ORDER BY field) || '. They were still read.' AS warning FROM prim WHERE flagged GROUP BY card),
+rec AS (SELECT c.card, error, error IS NULL AND place.card IS NOT NULL AS detected, place.confidence AS pc, turned, CASE WHEN known THEN s[1] END AS side, CASE WHEN known THEN CASE s[2] WHEN 'right' THEN 90 WHEN 'down' THEN 180 WHEN 'left' THEN 270 ELSE 0 END ELSE 0 END AS rotation,
+  first_name, last_name, address, coalesce(first_name_status, 'not_found') AS fs, coalesce(last_name_status, 'not_found') AS ls, coalesce(address_status, 'not_found') AS ads, first_name_sure AS f1, last_name_sure AS f2, nid, warning,
+  CASE WHEN nid THEN nullif(f.d, '') END AS number, coalesce(nid AND valid, false) AS valid, checksum_ok, bd, governorate, f.d AS d FROM cards c LEFT JOIN wide ON wide.card = c.card LEFT JOIN flg ON flg.card = c.card LEFT JOIN place ON place.card = c.card LEFT JOIN f ON f.row_id = c.card)
+SELECT card, error, detected AS card_detected, CASE WHEN detected THEN pc ELSE 0.0 END AS card_confidence, CAST(CASE WHEN detected THEN rotation ELSE turned END AS INT) AS rotation_applied, CASE WHEN detected THEN side END AS side,
+  first_name, last_name, address, number AS national_id, nullif(concat_ws(' ', first_name, last_name), '') AS full_name, fs AS first_name_status, ls AS last_name_status, ads AS address_status,
+  CASE WHEN nid IS NULL OR NOT nid THEN 'not_found' WHEN number IS NULL THEN 'unreadable' WHEN length(number) = 14 THEN 'ok' ELSE 'low_confidence' END AS national_id_status,
+  CASE WHEN first_name IS NULL AND last_name IS NULL THEN fs WHEN first_name IS NOT NULL AND last_name IS NOT NULL AND least(f1, f2) >= 0.4 THEN 'ok' ELSE 'low_confidence' END AS full_name_status,
+  CASE WHEN valid THEN strftime(bd, '%Y-%m-%d') END AS birth_date, CASE WHEN valid THEN governorate END AS governorate, CASE WHEN valid THEN CASE WHEN TRY_CAST(substr(d, 13, 1) AS INT) % 2 = 1 THEN 'male' ELSE 'female' END END AS gender, valid,
+  CASE WHEN error IS NOT NULL THEN '' ELSE concat_ws(' / ', CASE WHEN NOT detected THEN 'No ID card outline was detected; processing the image as if it were already cropped to the card.' END,
+    CASE WHEN detected AND pc < 0.45 THEN 'Card detected with low confidence (' || printf('%.2f', pc) || '); results may be unreliable.' END, CASE WHEN detected AND side = 'back' THEN 'The back of the card was detected. Name, address and the National ID are printed on the front.' END, warning,
+    CASE WHEN nid IS NULL THEN 'The National ID number region was not found on the card.' WHEN nid AND number IS NULL THEN 'No digits could be recognised in the National ID region.'
+      WHEN length(number) <> 14 THEN 'Read ' || length(number) || ' of 14 National ID digits; the number is incomplete and has not been completed by inference.' END,
+    CASE WHEN number IS NOT NULL AND NOT checksum_ok THEN 'The National ID check digit does not match. The official algorithm is unpublished, so this is advisory -- but it often indicates a misread digit.' END,
+    CASE WHEN number IS NOT NULL AND NOT valid THEN 'Birth date, governorate and gender were not derived because the National ID did not pass validation.' END,
+    CASE WHEN first_name IS NULL AND last_name IS NULL AND address IS NULL AND number IS NULL THEN 'A card was detected but no field could be read.' END) END AS warnings FROM rec
+"""
+
+
+@query(_EXTRACT)
+def extract_records(spark, sf_dir):
+    """Records of all cards from the boxes and readings that models reported, bad pictures among them."""
+    found = inputs.box_rows(spark, sf_dir)
+    located = detections.pick_card(found, SETTINGS, 1000, 630, image="card").select("card", "confidence", "parts.side", "parts.rotation")
+    got = extract.read_cards(
+        inputs.card_rows(spark, sf_dir).withColumn("notes", F.lit(None).cast("array<string>")), located, found, found, inputs.item_rows(spark, sf_dir), inputs.digit_rows(spark, sf_dir), SETTINGS, _as_of()
+    )
+    fields = ("first_name", "last_name", "address", "national_id", "full_name")
+    return got.select(
+        "card", "error", "card_detected", "card_confidence", "rotation_applied", "side", *(F.col(f"{f}.value").alias(f) for f in fields), *(F.col(f"{f}.status").alias(f"{f}_status") for f in fields),
+        "birth_date", "governorate", "gender", "validation.valid", F.array_join("warnings", " / ").alias("warnings"),
+    )
+
+
 # --------------------------------------------------------------------------- pictures
 def _picture(seed: int, size: int) -> np.ndarray:
     """Lines of blocks on a page, from a row's numbers."""
