@@ -210,6 +210,152 @@ def warp(picture: np.ndarray, corners: np.ndarray, width: int, height: int) -> n
     return np.clip(np.rint(_sample(picture.astype(np.float64), p[..., 0] / p[..., 2], p[..., 1] / p[..., 2], replicate=False)), 0, 255).astype(np.uint8)
 
 
+def _dilated(x: np.ndarray, r: int) -> np.ndarray:
+    p = np.pad(x, r)
+    rows = np.logical_or.reduce([p[k : k + x.shape[0]] for k in range(2 * r + 1)])
+    return np.logical_or.reduce([rows[:, k : k + x.shape[1]] for k in range(2 * r + 1)])
+
+
+def edges(g: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Thin edges: steepest across their direction, above ``low`` and joined to some above ``high``."""
+    x = g.astype(np.float64)
+    across = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+    dx, dy = convolve(x, across), convolve(x, across.T)
+    size = np.abs(dx) + np.abs(dy)
+    p = np.pad(size, 1)
+    h, w = g.shape
+
+    def at(j: int, i: int) -> np.ndarray:
+        return p[1 + j : 1 + j + h, 1 + i : 1 + i + w]
+
+    flat, steep = np.abs(dy) <= 0.4142 * np.abs(dx), np.abs(dy) >= 2.4142 * np.abs(dx)
+    falling = dx * dy > 0
+    ahead = np.where(flat, at(0, 1), np.where(steep, at(1, 0), np.where(falling, at(1, 1), at(1, -1))))
+    behind = np.where(flat, at(0, -1), np.where(steep, at(-1, 0), np.where(falling, at(-1, -1), at(-1, 1))))
+    thin = (size > behind) & (size >= ahead) & (size > low)
+    kept = thin & (size > high)
+    while True:
+        more = _dilated(kept, 1) & thin
+        if more.sum() == kept.sum():
+            return more
+        kept = more
+
+
+def parts(mask: np.ndarray) -> list[np.ndarray]:
+    """The (x, y) points of the connected parts of a mask, neighbours at corners included."""
+    ys, xs = np.nonzero(mask)
+    number = np.full(mask.shape, -1)
+    number[ys, xs] = np.arange(len(xs))
+    label = np.arange(len(xs))
+    p = np.pad(number, 1, constant_values=-1)
+    pairs = [(p[1 + ys + j, 1 + xs + i]) for j, i in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    a = np.concatenate([np.flatnonzero(q >= 0) for q in pairs])
+    b = np.concatenate([q[q >= 0] for q in pairs])
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+    points = np.stack([xs, ys], axis=1)
+    order = np.argsort(label, kind="stable")
+    return np.split(points[order], np.flatnonzero(np.diff(label[order])) + 1) if len(xs) else []
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull, in order around it."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return p.astype(np.float64)
+
+    def half(q: np.ndarray) -> list:
+        out: list = []
+        for x in q.tolist():
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (x[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x[0] - out[-2][0]):
+                out.pop()
+            out.append(x)
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]), dtype=np.float64)
+
+
+def polygon_area(p: np.ndarray) -> float:
+    x, y = p[:, 0], p[:, 1]
+    return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
+
+
+def simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """A closed polygon with the points that lie within ``tolerance`` of the sides left out."""
+    def between(q: np.ndarray) -> list[int]:
+        if len(q) < 3:
+            return []
+        side = q[-1] - q[0]
+        away = np.abs(side[0] * (q[1:-1, 1] - q[0, 1]) - side[1] * (q[1:-1, 0] - q[0, 0])) / max(float(np.hypot(*side)), 1e-9)
+        k = int(away.argmax()) + 1
+        return [*between(q[: k + 1]), k, *(k + x for x in between(q[k:]))] if away[k - 1] > tolerance else []
+
+    start = int(((p - p[0]) ** 2).sum(1).argmax())
+    q = np.roll(p, -start, axis=0)
+    far = int(((q - q[0]) ** 2).sum(1).argmax())
+    ring = np.vstack([q, q[:1]])
+    keep = [0, *between(ring[: far + 1]), far, *(far + k for k in between(ring[far:]))]
+    return q[keep]
+
+
+#: Widest picture in which an outline is looked for; share of the picture that a card fills at least.
+OUTLINE_WIDTH, LEAST_CARD = 800, 0.20
+
+
+def card_like(corners: np.ndarray) -> bool:
+    """Whether the sides of four ordered corners are as long as those of a card, lying or standing."""
+    top, right, bottom, left = (float(np.hypot(*(corners[a] - corners[b]))) for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)))
+    w, h = max(top, bottom), max(left, right)
+    return w > 1 and h > 1 and min(abs(w / h - 85.6 / 54), abs(h / w - 85.6 / 54)) <= 0.45
+
+
+def find_card(bgr: np.ndarray) -> np.ndarray | None:
+    """The corners of a card's outline from the top left clockwise, or null.
+
+    Edges, their small gaps closed, fall into parts; of the six whose hulls are largest, the first
+    that fills enough of the picture, has four corners, and whose sides it follows, is the card.
+    """
+    h, w = bgr.shape[:2]
+    if min(h, w) < 20:
+        return None
+    scale = min(1.0, OUTLINE_WIDTH / w)
+    g = grey(bgr)
+    if scale < 1:
+        g = shrink(g, round(w * scale), max(1, round(h * scale)))
+    g = bilateral(g, 9, 75.0, 75.0)
+    middle = float(np.median(g))
+    mask = _dilated(edges(g, int(max(0.0, 0.67 * middle)), int(min(255.0, 1.33 * middle))), 2)
+    mask = ~_dilated(~np.pad(mask, 2, constant_values=True), 2)[2:-2, 2:-2]
+    rings = sorted((hull(x) for x in parts(mask) if len(x) >= 50), key=polygon_area, reverse=True)[:6]
+    near = _dilated(mask, 2)
+    for ring in rings:
+        if polygon_area(ring) < LEAST_CARD * g.size:
+            return None
+        corners = simplified(ring, 0.02 * float(np.hypot(*(ring - np.roll(ring, -1, axis=0)).T).sum()))
+        if len(corners) != 4:
+            continue
+        along = np.concatenate([a + (b - a) * np.linspace(0, 1, 100)[:, None] for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True)])
+        x, y = np.rint(along).astype(int).T
+        corners = order_corners(corners)
+        frame = np.array([[0, 0], [g.shape[1] - 1, 0], [g.shape[1] - 1, g.shape[0] - 1], [0, g.shape[0] - 1]])
+        if np.abs(corners - frame).max() <= 4:  # the picture's own frame is no outline
+            continue
+        if near[np.clip(y, 0, g.shape[0] - 1), np.clip(x, 0, g.shape[1] - 1)].mean() > 0.75 and card_like(corners):
+            return corners / scale
+    return None
+
+
+def correct_perspective(bgr: np.ndarray, width: int = 1000, height: int = 630) -> tuple[np.ndarray, bool]:
+    """The card of a picture, straightened, and whether its outline was found; else the picture as it is."""
+    corners = find_card(bgr)
+    return (bgr, False) if corners is None else (warp(bgr, corners, width, height), True)
+
+
 #: Line height that recognisers like, and the largest enlargement towards it.
 LINE_HEIGHT, MOST_ENLARGED = 64, 4.0
 

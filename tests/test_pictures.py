@@ -87,3 +87,62 @@ def test_kernels_run_on_spark(spark):
 
     got = catalogue.skew_kernel(spark, "/root/testdata/sf0.001").where(F.abs("turned") >= 1).toPandas()
     assert ((got.found + got.turned).abs() < 0.6).mean() > 0.9
+
+
+def scene(corners, size=(900, 1300), noise=0):
+    """A card with lines of text, laid on a table by its corners."""
+    card = np.full((630, 1000, 3), 225, np.uint8)
+    for y in range(120, 560, 60):
+        card[y : y + 18, 380:900] = 60
+    card[150:480, 60:300] = 120
+    src, dst = np.array([[0, 0], [999, 0], [999, 629], [0, 629]], float), np.array(corners, float)
+    rows = []
+    for (x, y), (u, v) in zip(dst, src, strict=True):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+    m = np.append(np.linalg.solve(np.array(rows), src.ravel()), 1).reshape(3, 3)
+    y, x = np.mgrid[0 : size[0], 0 : size[1]]
+    p = np.stack([x, y, np.ones_like(x)], axis=-1) @ m.T
+    u, v = p[..., 0] / p[..., 2], p[..., 1] / p[..., 2]
+    out = np.full((*size, 3), 70, np.uint8)
+    inside = (u >= 0) & (u <= 999) & (v >= 0) & (v <= 629)
+    out[inside] = card[np.rint(v[inside]).astype(int), np.rint(u[inside]).astype(int)]
+    return np.clip(out + np.random.default_rng(7).normal(0, noise, out.shape), 0, 255).astype(np.uint8) if noise else out
+
+
+@pytest.mark.parametrize("corners, noise", [([(230, 120), (1120, 60), (1180, 760), (180, 690)], 0), ([(230, 120), (1120, 60), (1180, 760), (180, 690)], 6), ([(300, 150), (1000, 150), (1000, 590), (300, 590)], 0), ([(420, 60), (900, 90), (880, 850), (400, 830)], 3)])
+def test_a_cards_outline_is_found(corners, noise):
+    found = kernels.find_card(scene(corners, noise=noise))
+    assert found is not None and np.hypot(*(found - np.array(corners)).T).max() < 6
+    flat, done = kernels.correct_perspective(scene(corners, noise=noise))
+    assert done and flat.shape == (630, 1000, 3) and abs(int(flat[40, 500, 0]) - 225) < 40
+
+
+def test_no_outline_where_there_is_no_card():
+    for x in (np.full((480, 640, 3), 200, np.uint8), np.zeros((1, 1, 3), np.uint8), np.random.default_rng(0).integers(0, 255, (300, 400, 3)).astype(np.uint8), scene([(100, 100), (200, 100), (200, 160), (100, 160)])):
+        same, done = kernels.correct_perspective(x)
+        assert not done and same is x
+    assert not kernels.card_like(np.array([[0, 0], [100, 0], [100, 100], [0, 100]], float)) and kernels.card_like(np.array([[0, 0], [54, 0], [54, 86], [0, 86]], float))
+
+
+def test_levelled_text_stays_level():
+    for angle in (-6.0, 3.0):
+        flat, turned = kernels.deskew(kernels.rotate(_picture(3, 5), angle))
+        assert abs(turned + angle) < 0.6 and abs(kernels.skew(flat)) < 0.6
+    x = _picture(3, 5)
+    assert kernels.deskew(x)[1] == 0.0 and (kernels.rotate(x, 0.0) == x).all()
+
+
+def test_area_means():
+    x = np.arange(48, dtype=np.uint8).reshape(6, 8)
+    assert (kernels.shrink(x, 4, 3) == np.rint(x.reshape(3, 2, 4, 2).mean((1, 3)))).all() and (kernels.shrink(x, 8, 6) == x).all()
+    assert abs(kernels.shrink(x, 3, 5).mean() - x.mean()) < 0.6
+
+
+def test_hulls_and_parts():
+    r = np.random.default_rng(1)
+    p = r.integers(0, 50, (200, 2))
+    h = kernels.hull(np.vstack([p, [[0, 0], [60, 0], [60, 60], [0, 60]]]))
+    assert {tuple(x) for x in h.tolist()} == {(0, 0), (60, 0), (60, 60), (0, 60)} and kernels.polygon_area(h) == 3600
+    mask = np.zeros((20, 30), bool)
+    mask[2, 3:9] = mask[3, 9] = mask[10:15, 4] = mask[19, 29] = True
+    assert sorted(map(len, kernels.parts(mask))) == [1, 5, 7] and kernels.parts(np.zeros((4, 4), bool)) == []
