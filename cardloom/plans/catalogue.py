@@ -293,11 +293,12 @@ def status_matrix(spark, sf_dir):
 
 
 def _record_rows(spark, sf_dir):
-    """Cards with a reading for each field, and a number from the orders."""
-    rows = inputs.reading_rows(spark, sf_dir).where("ord <= 4")
+    """Cards with a reading for each field, the surest of all its boxes, and a number from the orders."""
+    rows = inputs.reading_rows(spark, sf_dir).withColumn("role", (F.col("ord") - 1) % 4 + 1)
+    rows = detections._first(rows, ["crop", "role"], F.desc("confidence"), F.asc("ord"))
 
     def of(k: int):
-        return F.max(F.when(F.col("ord") == k, F.struct("text", "confidence")))
+        return F.max(F.when(F.col("role") == k, F.struct("text", "confidence")))
 
     wide = rows.groupBy("crop").agg(*(of(k).alias(f"t{k}") for k in (1, 2, 3, 4)))
     numbers = inputs.nid_rows(spark, sf_dir).select(F.col("row_id").alias("crop"), nid.normalize_digits(F.col("number")).alias("digits"))
@@ -310,9 +311,10 @@ def _record_rows(spark, sf_dir):
     return records.assemble(wide, SETTINGS, _as_of())
 
 
-_RECORD = f"""{_D}, q AS ({inputs.DUCK_READING}), x AS (SELECT crop, max(CASE WHEN ord = 1 THEN text END) AS a, max(CASE WHEN ord = 1 THEN confidence END) AS ca, max(CASE WHEN ord = 2 THEN text END) AS b, max(CASE WHEN ord = 2 THEN confidence END) AS cb,
-  max(CASE WHEN ord = 3 THEN text END) AS c3, max(CASE WHEN ord = 4 THEN confidence END) AS c4 FROM q WHERE ord <= 4 GROUP BY crop),
-rec AS (SELECT crop, nullif(upper(trim(a)), '') AS first_name, ca, nullif(upper(trim(b)), '') AS last_name, cb, nullif(upper(trim(c3)), '') AS address, CASE WHEN c4 IS NOT NULL THEN nullif(d, '') END AS national_id, c4, a, b,
+_RECORD = f"""{_D}, q AS (SELECT *, (ord - 1) % 4 + 1 AS role FROM ({inputs.DUCK_READING}) z QUALIFY row_number() OVER (PARTITION BY crop, (ord - 1) % 4 ORDER BY confidence DESC, ord) = 1),
+x AS (SELECT crop, max(CASE WHEN role = 1 THEN text END) AS a, max(CASE WHEN role = 1 THEN confidence END) AS ca, max(CASE WHEN role = 2 THEN text END) AS b, max(CASE WHEN role = 2 THEN confidence END) AS cb,
+  max(CASE WHEN role = 3 THEN text END) AS c3, max(CASE WHEN role = 3 THEN confidence END) AS cc, max(CASE WHEN role = 4 THEN confidence END) AS c4 FROM q GROUP BY crop),
+rec AS (SELECT crop, nullif(upper(trim(a)), '') AS first_name, ca, nullif(upper(trim(b)), '') AS last_name, cb, nullif(upper(trim(c3)), '') AS address, CASE WHEN c4 IS NOT NULL THEN nullif(d, '') END AS national_id, c4, a, b, c3, cc, length_ok, date_ok, governorate_ok, century, bd, dt, f.governorate AS gov,
   CASE WHEN valid AND c4 IS NOT NULL THEN strftime(bd, '%Y-%m-%d') END AS birth_date, CASE WHEN valid AND c4 IS NOT NULL THEN governorate END AS governorate,
   CASE WHEN valid AND c4 IS NOT NULL THEN CASE WHEN TRY_CAST(substr(d, 13, 1) AS INT) % 2 = 1 THEN 'male' ELSE 'female' END END AS gender, valid, checksum_ok, d FROM x JOIN f ON f.row_id = x.crop)"""
 
@@ -336,23 +338,67 @@ def record_empty(spark, sf_dir):
     return _record_rows(spark, sf_dir).select("crop", e.alias("empty"))
 
 
-@query(
-    f"""WITH {_RECORD} SELECT crop, concat_ws(' / ', CASE WHEN c4 IS NULL THEN 'The National ID number region was not found on the card.' WHEN d = '' THEN 'No digits could be recognised in the National ID region.'
+_WARNINGS = f"""concat_ws(' / ', CASE WHEN c4 IS NULL THEN 'The National ID number region was not found on the card.' WHEN d = '' THEN 'No digits could be recognised in the National ID region.'
   WHEN length(d) <> 14 THEN 'Read ' || length(d) || ' of 14 National ID digits; the number is incomplete and has not been completed by inference.' END,
   CASE WHEN c4 IS NOT NULL AND NOT checksum_ok THEN 'The National ID check digit does not match. The official algorithm is unpublished, so this is advisory -- but it often indicates a misread digit.' END,
   CASE WHEN national_id IS NOT NULL AND NOT valid THEN 'Birth date, governorate and gender were not derived because the National ID did not pass validation.' END,
-  CASE WHEN first_name IS NULL AND last_name IS NULL AND address IS NULL AND national_id IS NULL THEN 'A card was detected but no field could be read.' END) AS warnings FROM rec"""
+  CASE WHEN first_name IS NULL AND last_name IS NULL AND address IS NULL AND national_id IS NULL THEN 'A card was detected but no field could be read.' END)"""
+
+
+@query(
+    f"WITH {_RECORD} SELECT crop, {_WARNINGS} AS warnings FROM rec"
 )
 def warnings_dedup(spark, sf_dir):
     return _record_rows(spark, sf_dir).select("crop", F.array_join("warnings", " / ").alias("warnings"))
 
 
-@query()
+def _text_parts(text: str, sure: str) -> dict[str, str]:
+    """What is known of a text field, in DuckDB."""
+    read = f"({sure} IS NOT NULL AND trim({text}) <> '')"
+    status = f"CASE WHEN {sure} IS NULL THEN 'not_found' WHEN trim({text}) = '' THEN 'unreadable' WHEN {sure} < 0.4 THEN 'low_confidence' ELSE 'ok' END"
+    return {"value": f"CASE WHEN {read} THEN upper(trim({text})) END", "raw": f"CASE WHEN {read} THEN {text} END", "confidence": f"CASE WHEN {read} THEN {sure} ELSE 0.0 END", "status": status}
+
+
+_ID_PARTS = {
+    "value": "national_id", "raw": "national_id", "confidence": "CASE WHEN national_id IS NOT NULL THEN c4 ELSE 0.0 END",
+    "status": "CASE WHEN c4 IS NULL THEN 'not_found' WHEN national_id IS NULL THEN 'unreadable' WHEN length(d) = 14 AND c4 >= 0.4 THEN 'ok' ELSE 'low_confidence' END",
+}
+_FIRST, _LAST = _text_parts("a", "ca"), _text_parts("b", "cb")
+_BOTH_SURE = "coalesce(least(CASE WHEN first_name IS NOT NULL THEN ca END, CASE WHEN last_name IS NOT NULL THEN cb END), 0.0)"
+_FULL_PARTS = {
+    "value": "nullif(concat_ws(' ', first_name, last_name), '')", "raw": f"CASE WHEN first_name IS NOT NULL OR last_name IS NOT NULL THEN nullif(trim(concat_ws(' ', {_FIRST['raw']}, {_LAST['raw']})), '') END", "confidence": _BOTH_SURE,
+    "status": f"CASE WHEN first_name IS NULL AND last_name IS NULL THEN {_FIRST['status']} WHEN first_name IS NOT NULL AND last_name IS NOT NULL AND {_BOTH_SURE} >= 0.4 THEN 'ok' ELSE 'low_confidence' END",
+}
+_PARTS = {"first_name": _FIRST, "last_name": _LAST, "full_name": _FULL_PARTS, "address": _text_parts("c3", "cc"), "national_id": _ID_PARTS}
+_ERRORS = f"""CASE WHEN national_id IS NULL THEN ['no_digits'] WHEN NOT length_ok THEN ['expected 14 digits, found ' || length(d)] ELSE list_filter([
+  CASE WHEN century IS NULL THEN 'invalid century digit ''' || substr(d, 1, 1) || ''' (expected 2 or 3)' WHEN bd IS NULL THEN 'impossible birth date ' || dt WHEN bd > DATE '{inputs.AS_OF}' THEN 'birth date is in the future' END,
+  CASE WHEN gov IS NULL THEN 'unknown governorate code ''' || substr(d, 8, 2) || '''' END, CASE WHEN NOT checksum_ok THEN 'check_digit_mismatch (advisory)' END], lambda e: e IS NOT NULL) END"""
+_GOOD = "(national_id IS NOT NULL AND coalesce(valid, false))"
+_VALIDATION = f"""{{'valid': {_GOOD}, 'length_ok': national_id IS NOT NULL AND length_ok, 'checksum_ok': CASE WHEN national_id IS NOT NULL THEN checksum_ok END,
+  'date_ok': national_id IS NOT NULL AND date_ok, 'governorate_ok': national_id IS NOT NULL AND governorate_ok, 'errors': {_ERRORS}}}"""
+_JSON_FIELDS = ", ".join(f"'{f}': {{'value': {x['value']}, 'raw': {x['raw']}, 'confidence': round({x['confidence']}, 4), 'status': {x['status']}}}" for f, x in _PARTS.items())
+_NOTES = f"CASE WHEN {_WARNINGS} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({_WARNINGS}, ' / ') END"
+
+
+@query(f"""WITH {_RECORD} SELECT crop, CAST(to_json({{'fields': {{{_JSON_FIELDS}}}, 'derived': {{'birth_date': birth_date, 'governorate': governorate, 'gender': gender}}, 'validation': {_VALIDATION}, 'warnings': {_NOTES}}}) AS VARCHAR) AS json FROM rec""")
 def record_json(spark, sf_dir):
     return records.nested_json(_record_rows(spark, sf_dir), "crop")
 
 
-@query()
+def _line(name: str, label: str) -> str:
+    """A field's line, in DuckDB."""
+    x = _PARTS[name]
+    mark, sure = f"CASE WHEN {x['status']} = 'low_confidence' THEN ' ~' ELSE '  ' END", f"CAST(CAST(round_even({x['confidence']} * 100, 0) AS INT) AS VARCHAR)"
+    return f"CASE WHEN {x['value']} IS NOT NULL THEN '  {label:<12}' || {mark} || ' ' || {x['value']} || '   [' || {sure} || '%]' ELSE '  {label:<12}   — (' || {x['status']} || ')' END"
+
+
+_LINES = ", ".join(_line(f, label) for f, label in (("full_name", "Full name"), ("first_name", "First name"), ("last_name", "Last name"), ("address", "Address"), ("national_id", "National ID")))
+_DERIVED = ", ".join(f"CASE WHEN birth_date IS NOT NULL THEN '  {label:<12}   ' || coalesce({c}, 'None') END" for c, label in (("birth_date", "Birth date"), ("governorate", "Governorate"), ("gender", "Gender")))
+_VALID_LINE = f"'  {'ID valid':<12}   ' || CASE WHEN {_GOOD} THEN 'yes' ELSE 'no' END || CASE WHEN len({_ERRORS}) > 0 THEN ' (' || array_to_string({_ERRORS}, '; ') || ')' ELSE '' END"
+_NOTE_LINES = f"CASE WHEN {_WARNINGS} <> '' THEN chr(10) || '  Warnings:' || chr(10) || '    · ' || replace({_WARNINGS}, ' / ', chr(10) || '    · ') END"
+
+
+@query(f"WITH {_RECORD} SELECT crop, concat_ws(chr(10), {_LINES}, {_DERIVED}, {_VALID_LINE}, {_NOTE_LINES}) AS text FROM rec")
 def record_text(spark, sf_dir):
     return records.human_text(_record_rows(spark, sf_dir), "crop")
 
