@@ -22,7 +22,7 @@ SLICE_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch so that a batch of long texts fits a small worker."""
+    """Lower the rows of the session's Arrow batches, where they are more, so that one of long texts fits a small worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -31,18 +31,16 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Where the cluster names none, as in tests on one machine, a fresh folder under the
-    warehouse is set for the session.
+    Where the session names none, on one machine only, as in tests, it is a folder under the
+    warehouse; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         folder = own.get()
     if not folder:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        folder = f"{warehouse.rstrip('/')}/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return folder.rstrip("/")
 
 

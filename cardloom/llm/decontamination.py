@@ -183,8 +183,8 @@ def find_benchmark(
     """``docs`` (id and text) with ``n_words``, ``spans`` (hit words, end exclusive) and ``items``.
 
     The tables of at most about ``table_windows`` windows go to every task; a larger benchmark
-    is cut into groups of items and the texts are passed through one search after the other,
-    without a shuffle. A single item is never cut.
+    is cut into groups of items, and long items into parts that overlap, and the texts are passed
+    through one search after the other, without a shuffle.
     """
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).selectExpr(
         "doc_id", "text", "0L AS n_words", f"CAST(array() AS {FOUND.split(', ')[0][6:]}) AS spans", "CAST(array() AS array<bigint>) AS items"
@@ -217,13 +217,16 @@ def _tables(benchmark: DataFrame, item_col: str, item_text_col: str, window: int
     """Broadcast search tables of one group of items after the other."""
     spark = benchmark.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text"))
-    number = F.greatest(F.lit(1), F.regexp_count("text", F.lit(f"(?i){_WORD}")) - (window - 1))
-    total = items.agg(F.sum(number)).first()[0] or 0
+    low = F.translate(F.col(item_text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    # parts of an item overlap so that each of its windows lies in one
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(table_windows))
+    items = items.select("item", F.transform(starts, lambda at: F.slice("words", at + 1, F.lit(table_windows + window - 1))).alias("parts")).select("item", F.explode("parts").alias("words"))
+    total = items.agg(F.sum(F.greatest(F.lit(1), F.size("words") - (window - 1)))).first()[0] or 0
     groups = max(1, -(-int(total) // table_windows))
     for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g)
-        yield spark.sparkContext.broadcast(search_tables([(r.item, r.text) for r in part.toLocalIterator()], window))
+        part = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(groups)) == g)
+        yield spark.sparkContext.broadcast(search_tables([(r.item, " ".join(r.words)) for r in part.toLocalIterator()], window))
 
 
 def _searcher(tables):

@@ -36,9 +36,9 @@ PASSAGE = "One two THREE four five six seven eight nine ten eleven twelve"
 DOCS = [
     (1, "before " + PASSAGE.lower().replace(" ", ", ") + " after"), (2, None), (3, ""), (4, "one two three four five six seven eight nine zehn"),
     (5, "a ÉTÉ été b"), (5, "a ÉTÉ été b"), (6, (PASSAGE + " ") * 3), (7, "x " * 5000 + PASSAGE + " y" * 600), (8, "eleven twelve"), (None, PASSAGE),
-    (9, "one two three four five six seven eight nine ten"), (10, "one two three four five six seven eight nine ten one two three four five six seven eight nine ten"),
+    (9, "one two three four five six seven eight nine ten"), (11, " ".join(f"long{i}" for i in range(41, 50)) + " long0 long1"), (10, "one two three four five six seven eight nine ten one two three four five six seven eight nine ten"),
 ]
-ITEMS = [(3, PASSAGE), (11, "été"), (12, None), (13, "?!"), (3, "eleven twelve"), (None, "a ÉTÉ"), (20, PASSAGE), (21, "ten " * 12)]
+ITEMS = [(3, PASSAGE), (11, "été"), (12, None), (13, "?!"), (3, "eleven twelve"), (None, "a ÉTÉ"), (20, PASSAGE), (21, "ten " * 12), (22, " ".join(f"Long{i % 50}" for i in range(90)) + " x y x y x")]
 
 
 @pytest.mark.parametrize("table_windows", [decontamination.TABLE_WINDOWS, 3])
