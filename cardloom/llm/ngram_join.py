@@ -346,9 +346,11 @@ def one_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", te
     """
     rows = found.where("node <> 0").groupBy("component", "class_id", "doc_id", "mark").agg(F.count("*").alias("rows"))
     rows = written(rows, "rows-of-classes")
-    least = F.struct(~F.col("doc_id").eqNullSafe(F.col("class_id")), "mark")
-    first = rows.groupBy("component").agg(F.min(least).alias("least"))
-    first = rows.join(first, "component").withColumn("stays", least == F.col("least"))
+    least = F.struct((~F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("other"), "mark", "doc_id")
+    first = rows.groupBy("component").agg(F.min(least).alias("x")).select("component", "x.mark", "x.doc_id", F.lit(True).alias("first"))
+    # joined by all of a row's keys: no class is a hot one
+    same_row = (rows["component"] == first["component"]) & (rows["mark"] == first["mark"]) & rows["doc_id"].eqNullSafe(first["doc_id"])
+    first = rows.join(first, same_row, "left").select(rows["doc_id"], rows["mark"], rows["rows"], F.coalesce("first", F.lit(False)).alias("stays"))
     own, mark = unused(docs, "id"), unused(docs, "mark")
     text = F.col(text_col)
     wordless = ~F.coalesce(text.rlike(_WORD_CHARACTER), F.lit(False))

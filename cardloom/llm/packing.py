@@ -28,8 +28,8 @@ LENGTH = 1024
 GROUP_DOCS = 2048
 #: Bytes of text of a group, on average; bytes from which a text is a group by itself.
 GROUP_BYTES, LONG_BYTES = 16 << 20, 4 << 20
-#: Bytes of text of a task.
-TASK_BYTES = 32 << 20
+#: Most tasks; below, there are as many as groups.
+MOST_TASKS = 20_000
 SEED = 20240607
 
 #: (item, start in its document, length, bin, offset in the bin)
@@ -119,14 +119,13 @@ def pack_documents(
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = F.octet_length(F.coalesce("text", F.lit("")))
-    short = F.when(size <= LONG_BYTES, size.cast("bigint"))
-    rows, held, total = texts.agg(F.count("*"), F.coalesce(F.sum(short), F.lit(0)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    rows, held = texts.agg(F.count("*"), F.coalesce(F.sum(F.when(size <= LONG_BYTES, size.cast("bigint"))), F.lit(0))).first()
     number = max(1, -(-rows // group_docs), -(-held // GROUP_BYTES))
     draw = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
     group = F.when(size > LONG_BYTES, F.lit(number) + F.pmod(draw, F.lit(1 << 30))).otherwise(F.pmod(draw, F.lit(number)))
     dealt = texts.withColumns({"group": group, "mark": F.xxhash64("text", F.lit(seed))})
     kind = texts.schema["doc_id"].dataType.simpleString()
-    tasks = max(1, -(-total // TASK_BYTES), min(number, docs.sparkSession.sparkContext.defaultParallelism))
+    tasks = min(number, MOST_TASKS)
     return dealt.repartition(tasks, "group").sortWithinPartitions("group", "mark", "doc_id").mapInArrow(
         _packer(vocabulary, end_id, length),
         f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary",
