@@ -289,8 +289,13 @@ def near_duplicates(
 
 
 def _blocked(rows: DataFrame, blocks: DataFrame, group: str, keep: list[str]) -> DataFrame:
-    """Each row once for every pair (``i``, ``j``) of its group's blocks that its own belongs to, dealt by pair."""
-    rows = rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Each row once for every pair (``i``, ``j``) of its group's blocks that its own belongs to, dealt by pair.
+
+    ``blocks``: the groups of several blocks. Each has more than ``BLOCK`` rows, so that they are few.
+    """
+    blocks = written(blocks, "blocks")
+    rows = rows.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select(group, "block", *keep, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *keep)
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "node")
@@ -299,17 +304,18 @@ def _blocked(rows: DataFrame, blocks: DataFrame, group: str, keep: list[str]) ->
 def _ties(sets: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
     """Forests (a, b) of the likely pairs of all buckets."""
     posted = sets.select("node", F.explode("keys").alias("key"))
-    blocks = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    blocks = written(blocks, "buckets")
-    shared = _probably(posted, "key", blocks.select("key"), blocks.count()).join(blocks.select("key"), "key", "left_semi")
+    buckets = written(posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    # an inner join: a semi-join would be moved in front of the filter
+    shared = _probably(posted, "key", buckets.select("key"), buckets.count()).join(buckets.select("key"), "key")
     shared = shared.join(sets.select("node", "n", "sketch"), "node")
+    blocks = buckets.select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")).where("blocks > 1")
     return _blocked(shared, blocks, "key", ["node", "n", "sketch"]).mapInArrow(_neighbours(threshold, tolerance), "a bigint, b bigint")
 
 
 def _links(texts: DataFrame, sets: DataFrame, place: DataFrame, shingle: int, threshold: float, tolerance: float, block: int) -> DataFrame:
     """Link counts of nodes, and edges of spanning forests, of every pair of blocks."""
     members = written(place.join(sets.select("node", "pick", "copies", "n", "sketch"), "node"), "members")
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
     full = _probably(texts, "pick", members.select("pick"), members.count()).select("text").mapInArrow(_shingled(shingle), "node bigint, shingles binary")
     rows = members.select("component", "node", "copies", "sketch").join(full.dropDuplicates(["node"]), "node")
     return _blocked(rows, blocks, "component", ["node", "copies", "sketch", "shingles"]).mapInArrow(_verified(threshold, tolerance), "node bigint, other bigint, links bigint")
