@@ -92,3 +92,14 @@ def aspect_is_card_like(width: Column, height: Column) -> Column:
     ratio = width / F.nullif(height, F.lit(0.0))
     card = 85.6 / 54
     return F.coalesce((width > 1) & (height > 1) & ((F.abs(ratio - card) <= 0.45) | (F.abs(1 / F.nullif(ratio, F.lit(0.0)) - card) <= 0.45)), F.lit(False))
+
+
+def order_corners(points: Column) -> Column:
+    """Four points (structs of x and y) as corners: ``tl``, ``tr``, ``br``, ``bl``; the first of equals."""
+    def first(key) -> Column:
+        ranked = F.array_min(F.transform(points, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
+        return F.struct(ranked["x"].alias("x"), ranked["y"].alias("y"))
+
+    return F.struct(
+        first(lambda p: p["x"] + p["y"]).alias("tl"), first(lambda p: p["y"] - p["x"]).alias("tr"), first(lambda p: -(p["x"] + p["y"])).alias("br"), first(lambda p: p["x"] - p["y"]).alias("bl")
+    )

@@ -449,6 +449,26 @@ def aspect_gate(spark, sf_dir):
     return inputs.box_rows(spark, sf_dir).select("card", "ord", ok.alias("card_like"))
 
 
+_QUAD = [("x1 + part % 13", "y1 + supp % 11"), ("x2", "y1 - part % 5"), ("x1 - supp % 7", "y2 + part % 9"), ("x2 - supp % 17", "y2")]
+
+
+def _corner(key: str) -> str:
+    """The point of least key, in DuckDB."""
+    return f"list_sort(list_transform(list_zip(p, [1, 2, 3, 4]), lambda z: {{'k': {key}, 'i': z[2], 'x': z[1].x, 'y': z[1].y}}))[1]"
+
+
+@query(
+    f"""WITH bx AS ({inputs.DUCK_BOX}), q AS (SELECT card, ord, [{", ".join(f"{{'x': {x}, 'y': {y}}}" for x, y in _QUAD)}] AS p FROM bx),
+c AS (SELECT card, ord, {_corner('z[1].x + z[1].y')} AS tl, {_corner('z[1].y - z[1].x')} AS tr, {_corner('-(z[1].x + z[1].y)')} AS br, {_corner('z[1].x - z[1].y')} AS bl FROM q)
+SELECT card, ord, {", ".join(f"{c}.{a} AS {c}_{a}" for c in ("tl", "tr", "br", "bl") for a in "xy")} FROM c"""
+)
+def corner_order(spark, sf_dir):
+    """Corners of leaning quadrilaterals, reported in any order."""
+    points = F.array(*(F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in _QUAD))
+    rows = inputs.box_rows(spark, sf_dir).select("card", "ord", boxes.order_corners(points).alias("c"))
+    return rows.select("card", "ord", *(F.col(f"c.{c}.{a}").alias(f"{c}_{a}") for c in ("tl", "tr", "br", "bl") for a in "xy"))
+
+
 # ------------------------------------------------------------------------------- text
 _TX = f"tx AS ({inputs.DUCK_TEXT})"
 _WS = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -531,6 +551,10 @@ def _fixed_word(x: str) -> str:
 
 _LATIN = r"'^(?:[A-Za-z]|[^\p{L}\p{M}\p{N}\p{Pc}]|\p{Nd})+$'"
 _PLAIN_TEXT = rf"regexp_replace(regexp_replace(regexp_replace(said, '[{refdata.DIACRITICS}{refdata.TATWEEL}]', '', 'g'), '[|\[\]{{}}<>_=+*^~\\/©®°¦¬]', ' ', 'g'), '{_WS}+', ' ', 'g')"
+#: The documents at hand have no compatibility forms, for which DuckDB has no composition; tests compare those with Python's.
+_ORACLES["normalize_arabic"] = rf"""WITH {_TX}, n AS (SELECT doc_id, nfc_normalize(text) AS said FROM tx), m AS (SELECT doc_id, regexp_replace({_PLAIN_TEXT}, '(^|{_WS})ال{_WS}+([ء-ي])', '\1ال\2', 'g') AS p FROM n),
+w AS (SELECT doc_id, list_filter(string_split_regex(p, '{_WS}+'), lambda x: length(x) > 0 AND NOT (doc_id % 2 = 0 AND regexp_matches(x, {_LATIN}))) AS ws FROM m)
+SELECT doc_id, array_to_string(list_transform(list_transform(list_transform(ws, lambda x: coalesce({_FIXES}[x], x)), lambda x: {_fixed_word('x')}), lambda x: coalesce({_FIXES}[x], x)), ' ') AS normal FROM w"""
 _REQUIRED = ", ".join(f"('{f}')" for f in refdata.REQUIRED_FIELDS)
 _EXTRACT = rf"""
 WITH RECURSIVE {_D}, {_ALIASED},

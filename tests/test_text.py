@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,12 @@ def test_whole_texts_are_read(spark, tmp_path):
         got = [[v for k, v in r.asDict().items() if k != "doc_id"][0] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()]
         assert sum(v is True if part is True else part in v for v in got) == n, name
         assert part is True or all((v.count("word") == 3000) for v in got if name not in ("drop_latin", "normalize_arabic")), name
+
+
+def test_compatibility_forms_are_composed(spark):
+    """Row by row against Python's own composition, then the same steps."""
+    texts = ["ﻻ ﷲ ﷺ", "ﺍﺣﻤﺪ ﻓﺎﻃﻤﻪ", "ﬁne ½ ™ Ⅷ", "a b c", "é é", None, "", "…", "１２３ ＡＢＣ", "ﺍﻝ ﻗﺎﻫﺮﻩ"]
+    rows = [(k, t, None if t is None else unicodedata.normalize("NFKC", t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, t string, c string")
+    got = df.select("k", text.normalize_arabic(F.col("t")).alias("a"), text.normalize_composed(F.col("c")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.k: r.a for r in got}[1] == "أحمد فاطمة" and {r.k: r.a for r in got}[9] == "القاهرة"
