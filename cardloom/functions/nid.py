@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom import refdata
+from cardloom.functions.columns import bound, unused
 from cardloom.functions.text import _map, western_digits
 
+#: The digit that each rest of the weighed sum asks for.
+_BY_REST = "00987654321"
+
 
 def normalize_digits(c: Column) -> Column:
     """ASCII digits of a number in any of the supported ranges; null: empty."""
@@ -38,8 +42,7 @@ def birth_date(d: Column) -> Column:
 def check_digit(d: Column) -> Column:
     """The digit that the first thirteen ask for."""
     total = sum((d.substr(k + 1, 1).try_cast("int") * w for k, w in enumerate(refdata.ID_WEIGHTS)), F.lit(0))
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
+    return F.lit(_BY_REST).substr(total % 11 + 1, F.lit(1)).cast("int")
 
 
 def checksum_ok(d: Column) -> Column:
@@ -58,16 +61,15 @@ def validation(d: Column, as_of: Column) -> Column:
     date, century = birth_date(d), _century(d)
     date_ok = length_ok & F.coalesce(date <= as_of, F.lit(False))
     known = length_ok & governorate(d.substr(8, 2)).isNotNull()
-    errors = F.array_compact(
-        F.array(
-            F.when(century.isNull(), F.concat(F.lit("invalid century digit '"), d.substr(1, 1), F.lit("' (expected 2 or 3)"))).when(
-                date.isNull(), F.concat(F.lit("impossible birth date "), _date_text(d))
-            ).when(date > as_of, "birth date is in the future"),
-            F.when(~known, F.concat(F.lit("unknown governorate code '"), d.substr(8, 2), F.lit("'"))),
-            F.when(~checksum_ok(d), "check_digit_mismatch (advisory)"),
-        )
+    none = F.array().cast("array<string>")  # arrays put together, as a filter over one would leave generated code
+    errors = F.concat(
+        F.when(century.isNull(), F.array(F.concat(F.lit("invalid century digit '"), d.substr(1, 1), F.lit("' (expected 2 or 3)")))).when(
+            date.isNull(), F.array(F.concat(F.lit("impossible birth date "), _date_text(d)))
+        ).when(date > as_of, F.array(F.lit("birth date is in the future"))).otherwise(none),
+        F.when(~known, F.array(F.concat(F.lit("unknown governorate code '"), d.substr(8, 2), F.lit("'")))).otherwise(none),
+        F.when(~checksum_ok(d), F.array(F.lit("check_digit_mismatch (advisory)"))).otherwise(none),
     )
-    errors = F.when(size == 0, F.array(F.lit("no_digits"))).when(~length_ok, F.array(F.format_string("expected 14 digits, found %d", size))).otherwise(errors)
+    errors = F.when(size == 0, F.array(F.lit("no_digits"))).when(~length_ok, F.array(F.concat(F.lit("expected 14 digits, found "), size.cast("string")))).otherwise(errors)
     return F.struct(
         (date_ok & known).alias("valid"), length_ok.alias("length_ok"), checksum_ok(d).alias("checksum_ok"), date_ok.alias("date_ok"), known.alias("governorate_ok"), errors.alias("errors")
     )
@@ -85,23 +87,19 @@ def decoded(d: Column, valid: Column) -> Column:
     )
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is used: a lambda's variable is not an expression to repeat."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def read_number(number: Column, as_of: Column) -> Column:
-    """Struct of ``digits``, ``validation`` and ``decoded`` of a number."""
-    def checked(d: Column) -> Column:
-        return F.struct(d.alias("digits"), validation(d, as_of).alias("validation"))
-
-    def said(x: Column) -> Column:
-        return F.struct(x["digits"].alias("digits"), x["validation"].alias("validation"), decoded(x["digits"], x["validation"]["valid"]).alias("decoded"))
-
-    return _once(_once(normalize_digits(number), checked), said)
+def decoded_columns(df: DataFrame, number: Column, as_of: Column, names: tuple[str, str, str]) -> DataFrame:
+    """``df`` with digits, validation and decoded of a number, under names that it does not have."""
+    digits, checks, said = names
+    df = bound(df, {digits: normalize_digits(number)}).withColumn(checks, validation(F.col(digits), as_of))
+    return df.withColumn(said, decoded(F.col(digits), F.col(checks)["valid"]))
 
 
 def with_decoded(df: DataFrame, number: str, as_of: Column) -> DataFrame:
-    """``df`` with ``digits``, ``validation`` and ``decoded`` of a column."""
-    df = df.withColumn("_number", read_number(F.col(number), as_of))
-    return df.withColumns({c: F.col(f"_number.{c}") for c in ("digits", "validation", "decoded")}).drop("_number")
+    """``df`` with ``digits``, ``validation`` and ``decoded`` of a column.
+
+    Columns of ``df`` that have such a name stay; the new one then gets underscores before its own.
+    """
+    names = []
+    for name in ("digits", "validation", "decoded"):
+        names.append(unused(df, name))
+    return decoded_columns(df, F.col(number), as_of, tuple(names))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.config import Settings
 from cardloom.functions import nid
+from cardloom.functions.columns import bound, unused
 
 OK, LOW, UNREADABLE, NOT_FOUND = "ok", "low_confidence", "unreadable", "not_found"
 FIELD = "struct<value:string,raw:string,confidence:double,status:string>"
@@ -87,20 +88,23 @@ def warnings(*lists: Column) -> Column:
 
 def assemble(df: DataFrame, settings: Settings, as_of: Column) -> DataFrame:
     """Records from rows with the fields ``first_name``, ``last_name``, ``address``, ``national_id``
-    (structs), ``notes`` (an array) and any other columns, which are kept."""
+    (structs), ``notes`` (an array) and any other columns, which are kept but for those of the
+    record's own names: ``full_name``, ``validation``, ``birth_date``, ``governorate``, ``gender``, ``warnings``."""
     number = F.col("national_id.value")
-    df = df.withColumn("full_name", full_name(F.col("first_name"), F.col("last_name"), settings))
-    df = nid.with_decoded(df, "national_id.value", as_of)
+    df = bound(df.drop("full_name"), {"full_name": full_name(F.col("first_name"), F.col("last_name"), settings)})
+    digits, said = unused(df, "digits"), unused(df, "decoded")
+    df = nid.decoded_columns(df.drop("validation"), number, as_of, (digits, "validation", said))
+    known = F.col(said)
     later = F.array_compact(
         F.array(
             F.when(~F.col("validation.checksum_ok"), "The National ID check digit does not match. The official algorithm is unpublished, so this is advisory -- but it often indicates a misread digit."),
-            F.when(F.col("decoded").isNull() & (F.length(number) > 0), "Birth date, governorate and gender were not derived because the National ID did not pass validation."),
+            F.when(known.isNull() & (F.length(number) > 0), "Birth date, governorate and gender were not derived because the National ID did not pass validation."),
             F.when(is_empty(F.col("first_name"), F.col("last_name"), F.col("address"), F.col("national_id")), "A card was detected but no field could be read."),
         )
     )
     return df.withColumns(
-        {"birth_date": F.date_format("decoded.birth_date", "yyyy-MM-dd"), "governorate": F.col("decoded.governorate"), "gender": F.col("decoded.gender"), "warnings": warnings(F.col("notes"), later)}
-    ).drop("notes", "decoded", "digits")
+        {"birth_date": F.date_format(known["birth_date"], "yyyy-MM-dd"), "governorate": known["governorate"], "gender": known["gender"], "warnings": warnings(F.col("notes"), later)}
+    ).drop("notes", said, digits)
 
 
 def flat(df: DataFrame, *keep: str) -> DataFrame:

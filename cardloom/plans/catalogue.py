@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cardloom import refdata
 from cardloom.config import Settings
 from cardloom.functions import boxes, kernels, nid, text
+from cardloom.functions.columns import bound
 from cardloom.operators import detections, extract, records
 from cardloom.plans import inputs
 
@@ -80,8 +81,8 @@ def nid_errors(spark, sf_dir):
 
 @query(f"WITH {_D} SELECT row_id, checksum_ok FROM f WHERE length_ok")
 def nid_checksum(spark, sf_dir):
-    ok = nid.checksum_ok(nid.normalize_digits(F.col("number")))
-    return inputs.nid_rows(spark, sf_dir).select("row_id", ok.alias("checksum_ok")).where("checksum_ok IS NOT NULL")
+    rows = bound(inputs.nid_rows(spark, sf_dir), {"d": nid.normalize_digits(F.col("number"))}).where(F.length("d") == refdata.ID_LENGTH)
+    return rows.select("row_id", nid.checksum_ok(F.col("d")).alias("checksum_ok"))
 
 
 @query(
@@ -292,8 +293,28 @@ def status_matrix(spark, sf_dir):
     return inputs.reading_rows(spark, sf_dir).select("crop", "ord", f.alias("f")).select("crop", "ord", "f.status", "f.value", "f.raw", "f.confidence")
 
 
+_WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+_FIXES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in refdata.ORTHOGRAPHIC_FIXES.items()) + "}"
+
+
+def _fixed_word(x: str) -> str:
+    """Final heh to ta marbuta, in DuckDB."""
+    kept = ", ".join(f"'{w}'" for w in refdata.TA_MARBUTA_EXCEPTIONS)
+    return rf"CASE WHEN {x} LIKE '%ه' AND length({x}) >= 4 AND {x} NOT IN ({kept}) AND NOT regexp_matches({x}, '\p{{Nd}}') AND {x} NOT LIKE '%الله' AND {x} NOT LIKE '%لله' THEN substr({x}, 1, length({x}) - 1) || 'ة' ELSE {x} END"
+
+
+_LATIN = r"'^(?:[A-Za-z]|[^\p{L}\p{M}\p{N}\p{Pc}]|\p{Nd})+$'"
+
+
+def _normal(said: str, drop: bool) -> str:
+    """Normalised text without compatibility forms, in DuckDB."""
+    plain = rf"regexp_replace(regexp_replace(regexp_replace({said}, '[{refdata.DIACRITICS}{refdata.TATWEEL}]', '', 'g'), '[|\[\]{{}}<>_=+*^~\\/©®°¦¬]', ' ', 'g'), '{_WS}+', ' ', 'g')"
+    words = rf"list_filter(string_split_regex(regexp_replace({plain}, '(^|{_WS})ال{_WS}+([ء-ي])', '\1ال\2', 'g'), '{_WS}+'), lambda x: length(x) > 0" + (f" AND NOT regexp_matches(x, {_LATIN}))" if drop else ")")
+    return f"array_to_string(list_transform(list_transform(list_transform({words}, lambda x: coalesce({_FIXES}[x], x)), lambda x: {_fixed_word('x')}), lambda x: coalesce({_FIXES}[x], x)), ' ')"
+
+
 def _record_rows(spark, sf_dir):
-    """Cards with a reading for each field, the surest of all its boxes, and a number from the orders."""
+    """Every card, with a reading for each field, the surest of all its boxes, and a number from the orders."""
     rows = inputs.reading_rows(spark, sf_dir).withColumn("role", (F.col("ord") - 1) % 4 + 1)
     rows = detections._first(rows, ["crop", "role"], F.desc("confidence"), F.asc("ord"))
 
@@ -301,30 +322,22 @@ def _record_rows(spark, sf_dir):
         return F.max(F.when(F.col("role") == k, F.struct("text", "confidence")))
 
     wide = rows.groupBy("crop").agg(*(of(k).alias(f"t{k}") for k in (1, 2, 3, 4)))
-    numbers = inputs.nid_rows(spark, sf_dir).select(F.col("row_id").alias("crop"), nid.normalize_digits(F.col("number")).alias("digits"))
-    wide = wide.join(numbers, "crop")
-    fields = {
-        name: records.text_field(F.col(f"t{k}").isNotNull(), F.col(f"t{k}.text"), F.upper(F.trim(f"t{k}.text")), F.col(f"t{k}.confidence"), SETTINGS) for k, name in ((1, "first_name"), (2, "last_name"), (3, "address"))
-    }
+    numbers = bound(inputs.nid_rows(spark, sf_dir).withColumnRenamed("row_id", "crop"), {"digits": nid.normalize_digits(F.col("number"))}).select("crop", "digits")
+    wide = numbers.join(wide, "crop", "left")
+    places = ((1, "first_name"), (2, "last_name"), (3, "address"))
+    wide = bound(wide, {f"n{k}": text.normalize_composed(F.col(f"t{k}.text"), name != "address") for k, name in places})
+    fields = {name: records.text_field(F.col(f"t{k}").isNotNull(), F.col(f"t{k}.text"), F.col(f"n{k}"), F.col(f"t{k}.confidence"), SETTINGS) for k, name in places}
     box = F.col("t4").isNotNull()
-    wide = wide.withColumns(fields | {"national_id": records.number_field(box, F.col("digits"), F.col("t4.confidence"), SETTINGS), "notes": records.number_warnings(box, F.col("digits"))})
+    wide = bound(wide, fields | {"national_id": records.number_field(box, F.col("digits"), F.col("t4.confidence"), SETTINGS), "notes": records.number_warnings(box, F.col("digits"))})
     return records.assemble(wide, SETTINGS, _as_of())
 
 
 _RECORD = f"""{_D}, q AS (SELECT *, (ord - 1) % 4 + 1 AS role FROM ({inputs.DUCK_READING}) z QUALIFY row_number() OVER (PARTITION BY crop, (ord - 1) % 4 ORDER BY confidence DESC, ord) = 1),
 x AS (SELECT crop, max(CASE WHEN role = 1 THEN text END) AS a, max(CASE WHEN role = 1 THEN confidence END) AS ca, max(CASE WHEN role = 2 THEN text END) AS b, max(CASE WHEN role = 2 THEN confidence END) AS cb,
   max(CASE WHEN role = 3 THEN text END) AS c3, max(CASE WHEN role = 3 THEN confidence END) AS cc, max(CASE WHEN role = 4 THEN confidence END) AS c4 FROM q GROUP BY crop),
-rec AS (SELECT crop, nullif(upper(trim(a)), '') AS first_name, ca, nullif(upper(trim(b)), '') AS last_name, cb, nullif(upper(trim(c3)), '') AS address, CASE WHEN c4 IS NOT NULL THEN nullif(d, '') END AS national_id, c4, a, b, c3, cc, length_ok, date_ok, governorate_ok, century, bd, dt, f.governorate AS gov,
+rec AS (SELECT f.row_id AS crop, nullif({_normal('a', True)}, '') AS first_name, ca, nullif({_normal('b', True)}, '') AS last_name, cb, nullif({_normal('c3', False)}, '') AS address, CASE WHEN c4 IS NOT NULL THEN nullif(d, '') END AS national_id, c4, a, b, c3, cc, length_ok, date_ok, governorate_ok, century, bd, dt, f.governorate AS gov,
   CASE WHEN valid AND c4 IS NOT NULL THEN strftime(bd, '%Y-%m-%d') END AS birth_date, CASE WHEN valid AND c4 IS NOT NULL THEN governorate END AS governorate,
-  CASE WHEN valid AND c4 IS NOT NULL THEN CASE WHEN TRY_CAST(substr(d, 13, 1) AS INT) % 2 = 1 THEN 'male' ELSE 'female' END END AS gender, valid, checksum_ok, d FROM x JOIN f ON f.row_id = x.crop)"""
-
-
-@query(
-    f"""WITH {_RECORD} SELECT crop, nullif(concat_ws(' ', first_name, last_name), '') AS value, coalesce(least(CASE WHEN first_name IS NOT NULL THEN ca END, CASE WHEN last_name IS NOT NULL THEN cb END), 0.0) AS confidence,
-  CASE WHEN first_name IS NULL AND last_name IS NULL THEN 'unreadable' WHEN first_name IS NOT NULL AND last_name IS NOT NULL AND least(ca, cb) >= 0.4 THEN 'ok' ELSE 'low_confidence' END AS status FROM rec"""
-)
-def full_name(spark, sf_dir):
-    return _record_rows(spark, sf_dir).select("crop", "full_name.value", "full_name.confidence", "full_name.status")
+  CASE WHEN valid AND c4 IS NOT NULL THEN CASE WHEN TRY_CAST(substr(d, 13, 1) AS INT) % 2 = 1 THEN 'male' ELSE 'female' END END AS gender, valid, checksum_ok, d FROM f LEFT JOIN x ON f.row_id = x.crop)"""
 
 
 @query(f"WITH {_RECORD} SELECT crop, nullif(concat_ws(' ', first_name, last_name), '') AS full_name, first_name, last_name, address, national_id, birth_date, governorate, gender FROM rec")
@@ -352,24 +365,24 @@ def warnings_dedup(spark, sf_dir):
     return _record_rows(spark, sf_dir).select("crop", F.array_join("warnings", " / ").alias("warnings"))
 
 
-def _text_parts(text: str, sure: str) -> dict[str, str]:
+def _text_parts(name: str, text: str, sure: str) -> dict[str, str]:
     """What is known of a text field, in DuckDB."""
     read = f"({sure} IS NOT NULL AND trim({text}) <> '')"
-    status = f"CASE WHEN {sure} IS NULL THEN 'not_found' WHEN trim({text}) = '' THEN 'unreadable' WHEN {sure} < 0.4 THEN 'low_confidence' ELSE 'ok' END"
-    return {"value": f"CASE WHEN {read} THEN upper(trim({text})) END", "raw": f"CASE WHEN {read} THEN {text} END", "confidence": f"CASE WHEN {read} THEN {sure} ELSE 0.0 END", "status": status}
+    status = f"CASE WHEN {sure} IS NULL THEN 'not_found' WHEN {name} IS NULL THEN 'unreadable' WHEN {sure} < 0.4 THEN 'low_confidence' ELSE 'ok' END"
+    return {"value": name, "raw": f"CASE WHEN {read} THEN {text} END", "confidence": f"CASE WHEN {read} THEN {sure} ELSE 0.0 END", "status": status}
 
 
 _ID_PARTS = {
     "value": "national_id", "raw": "national_id", "confidence": "CASE WHEN national_id IS NOT NULL THEN c4 ELSE 0.0 END",
     "status": "CASE WHEN c4 IS NULL THEN 'not_found' WHEN national_id IS NULL THEN 'unreadable' WHEN length(d) = 14 AND c4 >= 0.4 THEN 'ok' ELSE 'low_confidence' END",
 }
-_FIRST, _LAST = _text_parts("a", "ca"), _text_parts("b", "cb")
+_FIRST, _LAST = _text_parts("first_name", "a", "ca"), _text_parts("last_name", "b", "cb")
 _BOTH_SURE = "coalesce(least(CASE WHEN first_name IS NOT NULL THEN ca END, CASE WHEN last_name IS NOT NULL THEN cb END), 0.0)"
 _FULL_PARTS = {
     "value": "nullif(concat_ws(' ', first_name, last_name), '')", "raw": f"CASE WHEN first_name IS NOT NULL OR last_name IS NOT NULL THEN nullif(trim(concat_ws(' ', {_FIRST['raw']}, {_LAST['raw']})), '') END", "confidence": _BOTH_SURE,
     "status": f"CASE WHEN first_name IS NULL AND last_name IS NULL THEN {_FIRST['status']} WHEN first_name IS NOT NULL AND last_name IS NOT NULL AND {_BOTH_SURE} >= 0.4 THEN 'ok' ELSE 'low_confidence' END",
 }
-_PARTS = {"first_name": _FIRST, "last_name": _LAST, "full_name": _FULL_PARTS, "address": _text_parts("c3", "cc"), "national_id": _ID_PARTS}
+_PARTS = {"first_name": _FIRST, "last_name": _LAST, "full_name": _FULL_PARTS, "address": _text_parts("address", "c3", "cc"), "national_id": _ID_PARTS}
 _ERRORS = f"""CASE WHEN national_id IS NULL THEN ['no_digits'] WHEN NOT length_ok THEN ['expected 14 digits, found ' || length(d)] ELSE list_filter([
   CASE WHEN century IS NULL THEN 'invalid century digit ''' || substr(d, 1, 1) || ''' (expected 2 or 3)' WHEN bd IS NULL THEN 'impossible birth date ' || dt WHEN bd > DATE '{inputs.AS_OF}' THEN 'birth date is in the future' END,
   CASE WHEN gov IS NULL THEN 'unknown governorate code ''' || substr(d, 8, 2) || '''' END, CASE WHEN NOT checksum_ok THEN 'check_digit_mismatch (advisory)' END], lambda e: e IS NOT NULL) END"""
@@ -380,6 +393,11 @@ _JSON_FIELDS = ", ".join(f"'{f}': {{'value': {x['value']}, 'raw': {x['raw']}, 'c
 _NOTES = f"CASE WHEN {_WARNINGS} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({_WARNINGS}, ' / ') END"
 
 
+@query(f"WITH {_RECORD} SELECT crop, {_FULL_PARTS['value']} AS value, {_FULL_PARTS['confidence']} AS confidence, {_FULL_PARTS['status']} AS status FROM rec")
+def full_name(spark, sf_dir):
+    return _record_rows(spark, sf_dir).select("crop", "full_name.value", "full_name.confidence", "full_name.status")
+
+
 @query(f"""WITH {_RECORD} SELECT crop, CAST(to_json({{'fields': {{{_JSON_FIELDS}}}, 'derived': {{'birth_date': birth_date, 'governorate': governorate, 'gender': gender}}, 'validation': {_VALIDATION}, 'warnings': {_NOTES}}}) AS VARCHAR) AS json FROM rec""")
 def record_json(spark, sf_dir):
     return records.nested_json(_record_rows(spark, sf_dir), "crop")
@@ -471,7 +489,6 @@ def corner_order(spark, sf_dir):
 
 # ------------------------------------------------------------------------------- text
 _TX = f"tx AS ({inputs.DUCK_TEXT})"
-_WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
 @query(rf"WITH {_TX} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(piece, '[|\[\]{{}}<>_=+*^~\\/©®°¦¬]', ' ', 'g'), '{_WS}+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS cleaned FROM tx")
@@ -511,9 +528,6 @@ def ta_marbuta(spark, sf_dir):
     return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(fixed, " ").alias("fixed"))
 
 
-_FIXES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in refdata.ORTHOGRAPHIC_FIXES.items()) + "}"
-
-
 @query(f"WITH {_TX}, {_WORDS} SELECT doc_id, array_to_string(list_transform(words, lambda x: coalesce({_FIXES}[x], x)), ' ') AS fixed FROM w")
 def orthographic(spark, sf_dir):
     return inputs.text_rows(spark, sf_dir).select("doc_id", F.array_join(F.transform(text.tokens(F.col("text")), text.orthographic), " ").alias("fixed"))
@@ -543,13 +557,6 @@ def fuzzy_correct(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- whole records
-def _fixed_word(x: str) -> str:
-    """Final heh to ta marbuta, in DuckDB."""
-    kept = ", ".join(f"'{w}'" for w in refdata.TA_MARBUTA_EXCEPTIONS)
-    return rf"CASE WHEN {x} LIKE '%ه' AND length({x}) >= 4 AND {x} NOT IN ({kept}) AND NOT regexp_matches({x}, '\p{{Nd}}') AND {x} NOT LIKE '%الله' AND {x} NOT LIKE '%لله' THEN substr({x}, 1, length({x}) - 1) || 'ة' ELSE {x} END"
-
-
-_LATIN = r"'^(?:[A-Za-z]|[^\p{L}\p{M}\p{N}\p{Pc}]|\p{Nd})+$'"
 _PLAIN_TEXT = rf"regexp_replace(regexp_replace(regexp_replace(said, '[{refdata.DIACRITICS}{refdata.TATWEEL}]', '', 'g'), '[|\[\]{{}}<>_=+*^~\\/©®°¦¬]', ' ', 'g'), '{_WS}+', ' ', 'g')"
 #: The documents at hand have no compatibility forms, for which DuckDB has no composition; tests compare those with Python's.
 _ORACLES["normalize_arabic"] = rf"""WITH {_TX}, n AS (SELECT doc_id, nfc_normalize(text) AS said FROM tx), m AS (SELECT doc_id, regexp_replace({_PLAIN_TEXT}, '(^|{_WS})ال{_WS}+([ء-ي])', '\1ال\2', 'g') AS p FROM n),

@@ -13,18 +13,20 @@ from cardloom.functions import nid
 
 AS_OF = "2026-01-01"
 
-_CHECK = " + ".join(f"CAST(substr(body, {k + 1}, 1) AS INT) * {w}" for k, w in enumerate((2, 7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)))
+#: Thirteen digits' parts weighed by the fixed weights; each part is named once.
+_TOTAL = """c * 2 + (yy - yy % 10) * 7 / 10 + yy % 10 * 6 + (mm - mm % 10) * 5 / 10 + mm % 10 * 4 + (dd - dd % 10) * 3 / 10 + dd % 10 * 2 + (gg - gg % 10) * 7 / 10 + gg % 10 * 6
+  + (s - s % 1000) * 5 / 1000 + (s % 1000 - s % 100) * 4 / 100 + (s % 100 - s % 10) * 3 / 10 + s % 10 * 2"""
 
-#: row_id and a number in one of five shapes; some are null or without digits.
+#: row_id and a number in one of five shapes (as it is, in two ways apart, in Arabic digits, one digit short); some are null
+#: or without digits, and every fourth has a wrong check digit.
 NID = f"""
-SELECT row_id, CASE WHEN row_id % 97 = 0 THEN NULL WHEN row_id % 89 = 0 THEN 'none' ELSE
-  CASE row_id % 5 WHEN 0 THEN plain WHEN 1 THEN substr(plain, 1, 3) || ' ' || substr(plain, 4, 4) || ' ' || substr(plain, 8, 7) WHEN 2 THEN substr(plain, 1, 7) || '-' || substr(plain, 8, 7)
-  WHEN 3 THEN translate(plain, '0123456789', '٠١٢٣٤٥٦٧٨٩') ELSE substr(plain, 1, 13) END END AS number
-FROM (SELECT row_id, body || CAST((CASE WHEN r < 2 THEN 0 ELSE 11 - r END + CASE WHEN row_id % 4 = 3 THEN 1 ELSE 0 END) % 10 AS STRING) AS plain
-FROM (SELECT row_id, body, ({_CHECK}) % 11 AS r
-FROM (SELECT o_orderkey AS row_id, CASE o_orderkey % 20 WHEN 0 THEN '1' WHEN 1 THEN '4' ELSE CASE WHEN o_orderkey % 3 = 0 THEN '3' ELSE '2' END END
-  || lpad(CAST(o_custkey % 100 AS STRING), 2, '0') || lpad(CAST(1 + o_orderkey % 13 AS STRING), 2, '0') || lpad(CAST(1 + o_custkey % 31 AS STRING), 2, '0')
-  || lpad(CAST((o_orderkey * 7) % 36 AS STRING), 2, '0') || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') AS body FROM {{orders}}) a) b) c
+SELECT row_id, CASE WHEN row_id % 97 = 0 THEN NULL WHEN row_id % 89 = 0 THEN 'none' ELSE translate(
+  CAST(c AS STRING) || lpad(CAST(yy AS STRING), 2, '0') || CASE WHEN row_id % 5 = 1 THEN ' ' ELSE '' END || lpad(CAST(mm AS STRING), 2, '0') || lpad(CAST(dd AS STRING), 2, '0')
+  || CASE row_id % 5 WHEN 1 THEN ' ' WHEN 2 THEN '-' ELSE '' END || lpad(CAST(gg AS STRING), 2, '0') || lpad(CAST(s AS STRING), 4, '0')
+  || CASE WHEN row_id % 5 = 4 THEN '' ELSE substr(CASE WHEN row_id % 4 = 3 THEN '11098765432' ELSE '00987654321' END, CAST(({_TOTAL}) % 11 AS INT) + 1, 1) END,
+  '0123456789', CASE WHEN row_id % 5 = 3 THEN '٠١٢٣٤٥٦٧٨٩' ELSE '0123456789' END) END AS number
+FROM (SELECT o_orderkey AS row_id, CASE o_orderkey % 20 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 2 END END AS c,
+  o_custkey % 100 AS yy, 1 + o_orderkey % 13 AS mm, 1 + o_custkey % 31 AS dd, (o_orderkey * 7) % 36 AS gg, o_orderkey % 10000 AS s FROM {{orders}}) a
 """
 
 #: Field boxes of cards, in whole pixels.
@@ -43,7 +45,7 @@ FROM {lineitem}) a
 #: Readings of crops by two engines.
 READING = """
 SELECT card AS crop, ord, CASE WHEN part % 3 = 0 THEN 'easyocr' WHEN part % 3 = 1 THEN 'paddleocr' ELSE 'other' END AS engine,
-  CASE WHEN part % 11 = 0 THEN '  ' ELSE substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(1 + part % 9 AS INT)) END AS text, confidence, x1 AS cx, y1 AS cy, 630 AS image_height
+  CASE WHEN part % 11 = 0 THEN '  ' ELSE substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(1 + part % 9 AS INT)) || CASE supp % 4 WHEN 0 THEN '' WHEN 1 THEN ' احمد' WHEN 2 THEN ' فاطمه|' ELSE ' ال قاهره' END END AS text, confidence, x1 AS cx, y1 AS cy, 630 AS image_height
 FROM ({box}) q
 """
 
