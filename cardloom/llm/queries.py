@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import ann, decontamination, html_text, ngram_join, packing, pii, quality, token_files, toxicity, warc
+from cardloom.llm import ann, conversation_queries, decontamination, html_text, ngram_join, packing, pii, quality, token_files, toxicity, warc
 
 #: ASCII lower case only, then the words of a text, in DuckDB.
 _SQL_WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -130,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_html_text": op9_html_text,
         "op10_decontamination": op10_decontamination,
+        **conversation_queries.queries(),
     }
 
 
@@ -138,4 +139,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": _OP4,
         "op7_ngram_jaccard": _OP7,
         "op10_decontamination": _OP10,
+        **conversation_queries.oracle_sql(),
     }
