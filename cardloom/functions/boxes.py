@@ -14,6 +14,11 @@ def canonical_field(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(refdata.FIELD_ALIASES), name), name)
 
 
+def region_field(cls: Column) -> Column:
+    """The field of a class of the secondary detector; null for others."""
+    return F.try_element_at(_map(refdata.REGION_CLASSES), cls)
+
+
 def is_flagged(raw: Column) -> Column:
     return F.coalesce(F.lower(trimmed(raw)).startswith("invalid_"), F.lit(False))
 
@@ -23,7 +28,7 @@ def class_parts(name: Column) -> Column:
     parts = F.split(F.lower(name), "-", -1)
     known = (F.size(parts) == 2) & F.get(parts, F.lit(0)).isin(*refdata.SIDES) & F.get(parts, F.lit(1)).isin(*refdata.ORIENTATION_ROTATION)
     side, up = F.when(known, F.get(parts, F.lit(0))), F.when(known, F.get(parts, F.lit(1)))
-    turn = F.create_map(*(F.lit(x) for p in refdata.ORIENTATION_ROTATION.items() for x in p))
+    turn = _map(refdata.ORIENTATION_ROTATION)
     return F.struct(side.alias("side"), up.alias("orientation"), F.coalesce(F.try_element_at(turn, up), F.lit(0)).alias("rotation"))
 
 
@@ -72,10 +77,67 @@ def iou(a: Column, b: Column) -> Column:
 def suppress(boxes: Column, threshold: float) -> Column:
     """Greedy suppression of an array of (confidence, ord, ...) boxes: the surest first, each kept
     unless it overlaps a kept one by the threshold or more. A card has tens of boxes."""
-    ranked = F.array_sort(boxes, lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise((a["ord"] - b["ord"]).cast("int")))
-    return F.aggregate(
-        ranked, F.slice(ranked, 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) >= threshold), kept).otherwise(F.concat(kept, F.array(b)))
-    )
+    ranked = F.transform(F.array_sort(F.transform(boxes, lambda b: F.struct((-b["confidence"]).alias("k"), b["ord"].alias("ord"), b.alias("box")))), lambda x: x["box"])
+
+    def over(k: Column, b: Column) -> Column:
+        much = iou(k, b) >= threshold
+        # boxes apart are told from their sides alone
+        return (k["x1"] < b["x2"]) & (b["x1"] < k["x2"]) & (k["y1"] < b["y2"]) & (b["y1"] < k["y2"]) & much if threshold > 0 else much
+
+    return F.aggregate(ranked, F.filter(boxes, lambda b: F.lit(False)), lambda kept, b: F.when(F.exists(kept, lambda k: over(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
+
+
+def surest(boxes: Column, *keep: str) -> Column:
+    """The surest of an array of (confidence, ord, ...) boxes, of equals the first reported: a struct of its confidence and ``keep``; null if there is none."""
+    return F.array_max(F.transform(boxes, lambda b: F.struct(b["confidence"].alias("confidence"), (-b["ord"]).alias("place"), *(b[c].alias(c) for c in keep))))
+
+
+def card_of(boxes: Column, least: float, min_width: int, min_height: int, width: int, height: int) -> Column:
+    """(confidence, side, rotation) of the surest (class_name, confidence, ord, x1 to y2) box that is large enough to be a card; null if none is."""
+    margin = F.lit(refdata.CARD_MARGIN)
+
+    def large(b: Column) -> Column:
+        g = expand(b["x1"], b["y1"], b["x2"], b["y2"], margin, margin, width, height)
+        return (b["confidence"] >= least) & (b["confidence"] > 0) & (g["y2"] - g["y1"] >= min_height) & (g["x2"] - g["x1"] >= min_width)
+
+    best = F.filter(F.array(surest(F.filter(boxes, large), "class_name")), lambda b: b.isNotNull())
+    return F.try_element_at(F.transform(best, lambda b: F.struct(b["confidence"].alias("confidence"), class_parts(b["class_name"])["side"].alias("side"), class_parts(b["class_name"])["rotation"].alias("rotation"))), F.lit(1))
+
+
+def digits_of(boxes: Column, least: float, threshold: float) -> Column:
+    """(digits, confidence, per_digit, n) of an array of (confidence, ord, cls, x1 to y2) boxes: from left to right, after suppression."""
+    sure = F.filter(boxes, lambda b: (b["confidence"] >= least) & b["cls"].between(0, 9))
+    placed = F.array_sort(F.transform(suppress(sure, threshold), lambda b, i: F.struct(b["x1"].alias("x1"), i.alias("place"), b["cls"].alias("cls"), b["confidence"].alias("confidence"))))
+
+    def use(p: Column) -> Column:
+        total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b["confidence"])
+        return F.struct(
+            F.array_join(F.transform(p, lambda b: b["cls"].cast("string")), "").alias("digits"), (total / F.nullif(F.size(p), F.lit(0))).alias("confidence"),
+            F.transform(p, lambda b: b["confidence"]).alias("per_digit"), F.size(p).alias("n"),
+        )
+
+    return F.element_at(F.transform(F.array(placed), use), 1)
+
+
+_PLACED = "array<struct<line:int,nx:double,i:int,ord:bigint,text:string,confidence:double>>"
+
+
+def reading_lines(items: Column, height: Column) -> Column:
+    """An array of (cy, ord, cx, text, confidence) in reading order, each with its ``line``: lines from the top, words from the right.
+
+    A line goes on as long as an item's centre stays near that of the line's first item.
+    """
+    tolerance = F.greatest(F.lit(8.0), height * 0.45 / F.nullif(F.size(items), F.lit(0)))
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.array().cast(_PLACED).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (acc["line"] < 0) | (F.abs(x["cy"] - acc["y"]) > tolerance)
+        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
+        # within a line equal places keep the order from the top
+        row = F.struct(line.alias("line"), (-x["cx"]).alias("nx"), F.size(acc["out"]).alias("i"), x["ord"].cast("bigint").alias("ord"), x["text"].alias("text"), x["confidence"].alias("confidence"))
+        return F.struct(line.alias("line"), F.when(new, x["cy"]).otherwise(acc["y"]).alias("y"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return F.array_sort(F.aggregate(F.array_sort(items), start, step)["out"])
 
 
 def quality_notes(blur: Column, contrast: Column, noise: Column, brightness: Column) -> Column:

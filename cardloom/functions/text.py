@@ -16,8 +16,9 @@ from cardloom import refdata
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+def _map(pairs: dict[str | int, str]) -> Column:
+    """A map of fixed values, in one expression: literals made one by one cost a call to the JVM each."""
+    return F.expr("map(" + ", ".join(f"{x}" if isinstance(x, int) else f"'{x}'" for pair in pairs.items() for x in pair) + ")")
 
 
 def contains_arabic(c: Column) -> Column:

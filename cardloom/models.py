@@ -22,7 +22,26 @@ class Detector(Protocol):
 
 class Recogniser(Protocol):
     def __call__(self, picture: np.ndarray) -> list[Reading]:
-        """The pieces of text in a crop."""
+        """The pieces of text in a crop, flat or in pages and lines (see ``readings``)."""
+
+
+def readings(raw: list | None) -> list[Reading]:
+    """Pieces of text from either shape that recognisers report, those without text left out.
+
+    Flat: (outline, text, confidence) each. Nested: pages of lines of (outline, (text, confidence)),
+    where a page or a line may be None.
+    """
+    out: list[Reading] = []
+    for entry in raw or []:
+        if not entry:
+            continue
+        if len(entry) >= 3 and isinstance(entry[1], str):
+            out.append((entry[0], entry[1], float(entry[2])))
+            continue
+        for line in entry:
+            if line and len(line) > 1 and line[1] and len(line[1]) > 1 and line[1][0]:
+                out.append((line[0], str(line[1][0]), float(line[1][1])))
+    return [r for r in out if r[1]]
 
 
 @dataclass(frozen=True)

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from cardloom import refdata
 from cardloom.config import Settings
 from cardloom.functions import boxes
+from cardloom.functions.columns import bound, unused
 
 
 def _first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group; Spark ranks before the shuffle already."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    w, rank = Window.partitionBy(*keys).orderBy(*order), unused(df, "rank")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
 def best_per_field(df: DataFrame, card: str = "card") -> DataFrame:
@@ -30,11 +31,17 @@ def merge_detections(primary: DataFrame, secondary: DataFrame, card: str = "card
     return primary.unionByName(gaps)
 
 
+def best_of_both(df: DataFrame, primary: str = "primary", card: str = "card") -> DataFrame:
+    """The surest box of each named field of a card, of a secondary detector (``primary`` false) only where the primary one has none.
+
+    One look at all boxes: what ``merge_detections`` of both ``best_per_field`` gives.
+    """
+    return _first(df.where("field <> ''"), [card, "field"], F.desc(primary), F.desc("confidence"), F.asc("ord"))
+
+
 def region_fields(df: DataFrame) -> DataFrame:
     """Fields of the secondary detector's classes (``cls``); others are dropped."""
-    table = F.create_map(*(F.lit(x) for p in refdata.REGION_CLASSES.items() for x in p))
-    field = F.try_element_at(table, F.col("cls"))
-    return df.withColumn("field", field).where("field IS NOT NULL").withColumn("raw_class", F.concat(F.lit("region:"), F.col("cls")))
+    return df.withColumn("field", boxes.region_field(F.col("cls"))).where("field IS NOT NULL").withColumn("raw_class", F.concat(F.lit("region:"), F.col("cls")))
 
 
 def missing_fields(cards: DataFrame, found: DataFrame, card: str = "card") -> DataFrame:
@@ -78,45 +85,26 @@ def best_rotation(scores: DataFrame, image: str = "image") -> DataFrame:
 
 
 def read_digits(df: DataFrame, settings: Settings, strip: str = "strip") -> DataFrame:
-    """Digits of each strip from left to right, after suppression, and their mean confidence."""
+    """Digits of each strip from left to right, after suppression, and their mean confidence; none: no row."""
     box = F.struct("confidence", "ord", "cls", "x1", "y1", "x2", "y2")
     sure = df.where((F.col("confidence") >= settings.digit_conf) & F.col("cls").between(0, 9))
     # a strip has tens of boxes at most
-    kept = sure.groupBy(strip).agg(F.collect_list(box).alias("boxes")).select(strip, boxes.suppress(F.col("boxes"), settings.digit_iou).alias("kept"))
-    placed = F.array_sort(F.transform("kept", lambda b, i: F.struct(b["x1"].alias("x1"), i.alias("place"), b["cls"].alias("cls"), b["confidence"].alias("confidence"))))
-    kept = kept.withColumn("placed", placed)
-    total = F.aggregate("placed", F.lit(0.0), lambda a, b: a + b["confidence"])
-    return kept.select(
-        strip, F.array_join(F.transform("placed", lambda b: b["cls"].cast("string")), "").alias("digits"), (total / F.size("placed")).alias("confidence"), F.size("placed").alias("n"),
-        F.transform("placed", lambda b: b["confidence"]).alias("per_digit"),
-    ).withColumn("complete", F.col("n") == refdata.ID_LENGTH)
+    kept = sure.groupBy(strip).agg(F.collect_list(box).alias("boxes"))
+    kept = bound(kept, {"read": boxes.digits_of(F.col("boxes"), settings.digit_conf, settings.digit_iou)})
+    return kept.select(strip, "read.digits", "read.confidence", "read.n", "read.per_digit", (F.col("read.n") == refdata.ID_LENGTH).alias("complete"))
 
 
 def reading_order(df: DataFrame, crop: str = "crop", height: str = "image_height") -> DataFrame:
-    """``line`` and ``position`` of each item: lines from the top, words from the right.
-
-    A line goes on as long as an item's centre stays near that of the line's first item.
-    """
+    """``line`` and ``position`` of each item in its crop."""
     item = F.struct(F.col("cy"), F.col("ord"), F.col("cx"), F.col("text"), F.col("confidence"))
-    grouped = df.groupBy(crop).agg(F.max(height).alias("_h"), F.array_sort(F.collect_list(item)).alias("items"))
-    tolerance = F.greatest(F.lit(8.0), F.col("_h") * 0.45 / F.size("items"))
-    kind = "array<struct<line:int,nx:double,ord:bigint,text:string,confidence:double>>"
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["line"] < 0) | (F.abs(x["cy"] - acc["y"]) > tolerance)
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        row = F.struct(line.alias("line"), (-x["cx"]).alias("nx"), x["ord"].cast("bigint").alias("ord"), x["text"].alias("text"), x["confidence"].alias("confidence"))
-        return F.struct(line.alias("line"), F.when(new, x["cy"]).otherwise(acc["y"]).alias("y"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = grouped.withColumn("out", F.aggregate("items", start, step)["out"])
-    # within a line equal places keep the order from the top
-    ranked = F.array_sort(F.transform("out", lambda x, i: F.struct(x["line"].alias("line"), x["nx"].alias("nx"), i.alias("i"), x["ord"].alias("ord"), x["text"].alias("text"), x["confidence"].alias("confidence"))))
-    return folded.select(crop, F.posexplode(ranked).alias("position", "x")).select(crop, "position", "x.line", "x.ord", "x.text", "x.confidence")
+    grouped = df.groupBy(crop).agg(F.max(height).alias("tall"), F.collect_list(item).alias("items"))
+    ranked = boxes.reading_lines(F.col("items"), F.col("tall"))
+    return grouped.select(crop, F.posexplode(ranked).alias("position", "x")).select(crop, "position", "x.line", "x.ord", "x.text", "x.confidence")
 
 
 def best_engine(df: DataFrame, settings: Settings, crop: str = "crop") -> DataFrame:
     """The most credible reading: confidence to two places, then length, then the engines' order."""
     order = F.create_map(*(x for k, name in enumerate(settings.ocr_engines) for x in (F.lit(name), F.lit(k))))
-    known = df.where(F.col("engine").isin(*settings.ocr_engines) & (F.length(F.trim("text")) > 0)).withColumn("_place", F.try_element_at(order, F.col("engine")))
-    return _first(known, [crop], F.desc(F.round("confidence", 2)), F.desc(F.length("text")), F.asc("_place")).drop("_place")
+    place = F.try_element_at(order, F.col("engine"))
+    known = df.where(F.col("engine").isin(*settings.ocr_engines) & (F.length(F.trim("text")) > 0))
+    return _first(known, [crop], F.desc(F.round("confidence", 2)), F.desc(F.length("text")), place.asc())

@@ -1,24 +1,28 @@
-"""From pictures to card records: pixels in one Arrow stage, everything after it in plans.
+"""From pictures to card records: pixels in one Arrow stage, everything after it in expressions.
 
-``extract`` lets the models look at each picture once, in the task that holds it, and takes up
-what they report as rows; ``read_cards`` turns such rows, wherever they come from, into records.
-No picture is shuffled. Pictures that could not be decoded stay, with their ``error``.
+``extract`` lets the models look at each picture once, in the task that holds it; what they report
+of a card is one row with arrays of boxes and readings, and ``read_cards`` turns such rows, wherever
+they come from, into records by expressions over those arrays. Neither shuffles anything. Pictures
+that could not be decoded stay, with their ``error``; a recogniser or the secondary detector that
+fails on a card is left out there, and named in ``failed``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom import refdata
 from cardloom.config import Settings
 from cardloom.functions import boxes, kernels, text
-from cardloom.models import Models, loaded
-from cardloom.operators import detections, records
+from cardloom.functions.columns import bound
+from cardloom.models import Models, loaded, readings
+from cardloom.operators import records
 
 TEXT_FIELDS = ("first_name", "last_name", "address")
 NAMES = ("first_name", "last_name")
@@ -26,7 +30,7 @@ _BOX = "ord bigint, cls string, confidence double, x1 double, y1 double, x2 doub
 _ARRAY = f"array<struct<{_BOX.replace(' ', ':').replace(',:', ', ')}>>"
 _ITEM = "struct<field:string, engine:string, ord:bigint, cx:double, cy:double, text:string, confidence:double, image_height:int>"
 #: What the models said of a picture.
-SEEN = f"quality struct<blur:double, contrast:double, noise:double, brightness:double>, located struct<confidence:double, side:string, rotation:int>, turned int, fields {_ARRAY}, regions {_ARRAY}, items array<{_ITEM}>, digits {_ARRAY}"
+SEEN = f"quality struct<blur:double, contrast:double, noise:double, brightness:double>, located struct<confidence:double, side:string, rotation:int>, turned int, fields {_ARRAY}, regions {_ARRAY}, items array<{_ITEM}>, digits {_ARRAY}, failed array<string>"
 
 
 def _rows(found: list) -> list[dict]:
@@ -79,11 +83,21 @@ def layout_score(found: list, width: int, height: int) -> float:
 
 def see(picture: np.ndarray, models: Models, settings: Settings) -> dict:
     """Everything that the models report of a picture."""
+    failed: list[str] = []
+
     def detect(name: str, x: np.ndarray, least: float) -> list:
         load = getattr(models, name)
         return [b for b in loaded(name, load)(x) if b[1] >= least] if load else []
 
-    out = {"quality": dict(zip(("blur", "contrast", "noise", "brightness"), kernels.quality(picture), strict=True)), "located": None, "turned": 0, "regions": [], "items": [], "digits": []}
+    def spare(name: str, look: Callable[[], list]) -> list:
+        """What one of several sources reports; without it the card is read from the others."""
+        try:
+            return look()
+        except Exception as e:  # whatever a model raises
+            failed.append(f"{name}: {type(e).__name__}")
+            return []
+
+    out = {"quality": dict(zip(("blur", "contrast", "noise", "brightness"), kernels.quality(picture), strict=True)), "located": None, "turned": 0, "regions": [], "items": [], "digits": [], "failed": failed}
     card = locate(picture, detect("card", picture, settings.card_conf), settings)
     if card is not None:
         picture, confidence, side, turned = card
@@ -98,17 +112,10 @@ def see(picture: np.ndarray, models: Models, settings: Settings) -> dict:
         picture = kernels.resize(kernels.quarter_turns(picture, turned), settings.canvas_width, settings.canvas_height)
     picture, _ = kernels.deskew(picture)
     fields = detect("fields", picture, settings.field_conf)
-    named: dict[str, tuple] = {}
-    for b in fields:
-        if (name := _canonical(str(b[0]))) and b[1] > named.get(name, (0, -1.0))[1]:
-            named[name] = b
+    named = _surest((_canonical(str(b[0])), b) for b in fields)
     if any(f not in named for f in refdata.REQUIRED_FIELDS):
-        out["regions"] = detect("regions", picture, settings.field_conf)
-        gaps: dict[str, tuple] = {}
-        for b in out["regions"]:
-            if (name := refdata.REGION_CLASSES.get(int(b[0]))) and b[1] > gaps.get(name, (0, -1.0))[1]:
-                gaps[name] = b
-        named = gaps | named
+        out["regions"] = spare("regions", lambda: detect("regions", picture, settings.field_conf))
+        named = _surest((refdata.REGION_CLASSES.get(int(b[0]), ""), b) for b in out["regions"]) | named
     for name in refdata.REQUIRED_FIELDS:
         part = kernels.crop(picture, *_grown(tuple(named[name][2:]), *refdata.FIELD_MARGINS[name], picture.shape)) if name in named else None
         if part is None:
@@ -119,21 +126,32 @@ def see(picture: np.ndarray, models: Models, settings: Settings) -> dict:
         ready = kernels.enhance_text(kernels.pad(part, 20))
         for engine in settings.ocr_engines:
             if engine in models.recognisers:
-                for k, (points, said, sure) in enumerate(loaded(engine, models.recognisers[engine])(ready)):
+                for k, (points, said, sure) in enumerate(spare(engine, lambda e=engine, x=ready: readings(loaded(e, models.recognisers[e])(x)))):
                     cx, cy = np.asarray(points, dtype=np.float32).reshape(-1, 2).mean(0).astype(float).tolist()
-                    out["items"].append({"field": name, "engine": engine, "ord": k, "cx": cx, "cy": cy, "text": str(said), "confidence": float(sure), "image_height": ready.shape[0]})
+                    out["items"].append({"field": name, "engine": engine, "ord": k, "cx": cx, "cy": cy, "text": said, "confidence": sure, "image_height": ready.shape[0]})
     return out | {"fields": _rows(fields), "regions": _rows(out["regions"])}
 
 
-def extract(images: DataFrame, models: Models, settings: Settings, as_of: Column, *, card: str = "card") -> DataFrame:
+def _surest(named: Iterable[tuple[str, tuple]]) -> dict[str, tuple]:
+    """The surest box of each name, of equals the first."""
+    best: dict[str, tuple] = {}
+    for name, b in named:
+        if name and (name not in best or b[1] > best[name][1]):
+            best[name] = b
+    return best
+
+
+def extract(images: DataFrame, models: Models, settings: Settings, as_of: Column, *, card: str = "card", profile: ResourceProfile | None = None) -> DataFrame:
     """Records of pictures: rows of ``card`` (an id), ``image`` (Spark's struct) and ``error`` (null if it was decoded).
 
     Other columns are dropped. A picture whose models fail gets their message as its ``error``.
+    ``profile`` says what the stage of the models needs (cores, GPUs, memory); a local master has
+    no other executors to ask for, and ignores it.
     """
     kind = images.schema[card].dataType.simpleString()
+    columns = ["quality", "located", "turned", "fields", "regions", "items", "digits", "failed"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["quality", "located", "turned", "fields", "regions", "items", "digits"]
         for f in frames:
             rows = []
             for key, h, w, n, data, error in zip(f["card"], f["height"], f["width"], f["channels"], f["data"], f["error"], strict=True):
@@ -148,83 +166,97 @@ def extract(images: DataFrame, models: Models, settings: Settings, as_of: Column
             yield pd.DataFrame(rows, columns=["card", "error", *columns])
 
     pixels = images.select(F.col(card).alias("card"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), "error")
-    seen = pixels.mapInPandas(run, f"card {kind}, error string, {SEEN}")
-
-    def exploded(column: str, *more: Column) -> DataFrame:
-        return seen.select("card", F.explode(column).alias("x")).select("card", "x.*", *more)
-
+    local = images.sparkSession.sparkContext.master.startswith("local")
+    seen = pixels.mapInPandas(run, f"card {kind}, error string, {SEEN}", profile=None if local else profile)
     q = F.col("quality")
     absent = F.array(*([F.lit("Missing models: " + ", ".join(models.missing()) + ".")] if models.missing() else [])).cast("array<string>")
     notes = F.concat(absent, F.coalesce(boxes.quality_notes(q["blur"], q["contrast"], q["noise"], q["brightness"]), F.array().cast("array<string>")))
-    cards = seen.select("card", "error", F.when(F.col("error").isNull(), notes).alias("notes"), F.col("turned").alias("turned"))
-    located = seen.where("located IS NOT NULL").select("card", "located.*")
-    field_boxes = exploded("fields").withColumnRenamed("cls", "raw_class")
-    numbered = {"cls": F.col("cls").cast("int")}
-    return read_cards(cards, located, field_boxes, exploded("regions").withColumns(numbered), exploded("items"), exploded("digits").withColumns(numbered), settings, as_of).withColumnRenamed("card", card)
-
-
-def read_cards(
-    cards: DataFrame, located: DataFrame, field_boxes: DataFrame, region_boxes: DataFrame, items: DataFrame, digit_boxes: DataFrame, settings: Settings, as_of: Column,
-) -> DataFrame:
-    """Records of cards from what models found on them.
-
-    ``cards``: card, error, notes (what is known beforehand), turned (of cards not located); ``located``:
-    card, confidence, side, rotation (one row at most); ``field_boxes``: card, ord, raw_class,
-    confidence, x1 to y2, on the upright card; ``region_boxes``, ``digit_boxes``: the same with cls;
-    ``items``: card, field, engine, ord, cx, cy, text, confidence, image_height. Rows of cards with an
-    error are not used; such cards have records without values.
+
+    def numbered(column: str) -> Column:
+        return F.transform(column, lambda b: b.withField("cls", b["cls"].cast("int")))
+
+    named = F.transform("fields", lambda b: b.withField("raw_class", b["cls"]))
+    seen = seen.withColumns({"notes": notes, "fields": named, "regions": numbered("regions"), "digits": numbered("digits")})
+    return read_cards(seen.drop("quality"), settings, as_of).withColumnRenamed("card", card)
+
+
+def read_cards(cards: DataFrame, settings: Settings, as_of: Column) -> DataFrame:
+    """Records of cards from what models found on them, one row each.
+
+    ``cards``: card, error, notes (what is known beforehand), turned (of cards not located), located
+    (confidence, side, rotation; or null), and arrays, null or empty where nothing was found: fields
+    (ord, raw_class, confidence, x1 to y2, on the upright card), regions and digits (the same with cls,
+    a number, for raw_class), items (field, engine, ord, cx, cy, text, confidence, image_height).
+    Other columns stay, but for those of the names of a record. Cards with an error have records without values.
     """
-    good = cards.where("error IS NULL").select("card")
-    primary = field_boxes.where(F.col("confidence") >= settings.field_conf).join(good, "card", "left_semi")
-    primary = primary.withColumns({"field": boxes.canonical_field(F.col("raw_class")), "flagged": boxes.is_flagged(F.col("raw_class"))})
-    keep = ["card", "field", "confidence", "x1", "y1", "x2", "y2"]
-    best = detections.best_per_field(primary).select(*keep)
-    lacking = detections.missing_fields(good, best).select("card").distinct()
-    second = region_boxes.where(F.col("confidence") >= settings.field_conf).join(lacking, "card", "left_semi")
-    found = detections.merge_detections(best, detections.best_per_field(detections.region_fields(second)).select(*keep))
-    found = found.where(F.col("field").isin(*refdata.REQUIRED_FIELDS))
-    m = boxes.margins(F.col("field"))
-    grown = boxes.expand(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), m["w"], m["h"], settings.canvas_width, settings.canvas_height)
-    crop = boxes.crop(F.col("g.x1"), F.col("g.y1"), F.col("g.x2"), F.col("g.y2"), 0, settings.canvas_width, settings.canvas_height)
-    found = found.withColumn("g", grown).select("card", "field", crop.isNotNull().alias("cropped"))
-
-    reading = _readings(items.join(found.where("cropped"), ["card", "field"], "left_semi"), settings)
-    number = detections.read_digits(digit_boxes.join(found.where("cropped AND field = 'nid'"), "card", "left_semi").withColumnRenamed("card", "strip"), settings)
-    number = number.select(F.col("strip").alias("card"), "digits", F.col("confidence").alias("digits_confidence"))
-
-    wide = found.join(reading, ["card", "field"], "left").groupBy("card").agg(
-        *(F.max(F.when(F.col("field") == f, F.struct("cropped", "said", "normal", "sure"))).alias(f"_{f}") for f in TEXT_FIELDS), F.max(F.when(F.col("field") == "nid", F.col("cropped"))).alias("_nid")
-    )
-    flagged = detections.flagged_fields(primary).select("card", "warning")
-    place = located.select("card", F.lit(True).alias("card_detected"), F.col("confidence").alias("card_confidence"), "side", "rotation")
-    rows = cards.join(wide, "card", "left").join(number, "card", "left").join(flagged, "card", "left").join(place, "card", "left")
     ok = F.col("error").isNull()
-    has, box = F.coalesce(F.col("_nid"), F.lit(False)), F.col("_nid").isNotNull()
-    fields = {f: records.text_field(F.coalesce(F.col(f"_{f}.cropped"), F.lit(False)), F.col(f"_{f}.said"), F.col(f"_{f}.normal"), F.col(f"_{f}.sure"), settings) for f in TEXT_FIELDS}
-    fields["national_id"] = records.number_field(has, F.col("digits"), F.col("digits_confidence"), settings)
-    detected = ok & F.coalesce(F.col("card_detected"), F.lit(False))
-    rows = rows.withColumns(fields).withColumns({
-        "card_detected": detected, "card_confidence": F.when(detected, F.col("card_confidence")).otherwise(0.0), "side": F.when(detected, F.col("side")),
-        "rotation_applied": F.when(detected, F.col("rotation")).otherwise(F.coalesce("turned", F.lit(0))),
-    })
+
+    def found(column: str, keep: Callable[[Column], Column]) -> Column:
+        given = F.when(ok, F.coalesce(F.col(column), F.array().cast(cards.schema[column].dataType)))
+        return F.filter(F.coalesce(given, F.array().cast(cards.schema[column].dataType)), keep)
+
+    place = ("x1", "y1", "x2", "y2")
+    primary = F.transform(found("fields", lambda b: b["confidence"] >= settings.field_conf), lambda b: F.struct(
+        boxes.canonical_field(b["raw_class"]).alias("field"), boxes.is_flagged(b["raw_class"]).alias("flagged"), b["ord"].alias("ord"), b["confidence"].alias("confidence"), *(b[c].alias(c) for c in place)))
+    spare = F.transform(found("regions", lambda b: b["confidence"] >= settings.field_conf), lambda b: F.struct(
+        boxes.region_field(b["cls"]).alias("field"), b["ord"].alias("ord"), b["confidence"].alias("confidence"), *(b[c].alias(c) for c in place)))
+    df = bound(cards, {"_primary": primary, "_spare": spare, "_items": found("items", lambda x: (F.length(x["text"]) > 0) & x["engine"].isin(*settings.ocr_engines)), "_strip": found("digits", lambda b: F.lit(True))})
+
+    def box_of(field: str) -> Column:
+        """The primary detector's surest box, or else the secondary one's."""
+        return F.coalesce(*(boxes.surest(F.filter(c, lambda b: b["field"] == field), *place) for c in ("_primary", "_spare")))
+
+    df = bound(df, {f"_{f}": box_of(f) for f in refdata.REQUIRED_FIELDS})
+    fits = {}
+    for f in refdata.REQUIRED_FIELDS:
+        b, m = F.col(f"_{f}"), refdata.FIELD_MARGINS[f]
+        g = boxes.expand(b["x1"], b["y1"], b["x2"], b["y2"], F.lit(m[0]), F.lit(m[1]), settings.canvas_width, settings.canvas_height)
+        fits[f"_{f}_crop"] = b.isNotNull() & F.coalesce((g["x2"] > g["x1"]) & (g["y2"] > g["y1"]), F.lit(False))
+    df = bound(df, fits)
+    read = F.transform(F.array(*map(F.lit, TEXT_FIELDS)), lambda f: _reading(f, settings))
+    df = bound(df, {"_read": read, "_number": F.when(F.col("_nid_crop"), boxes.digits_of(F.col("_strip"), settings.digit_conf, settings.digit_iou))})
+    df = bound(df, {f"_{f}_read": F.when(F.col(f"_{f}_crop"), F.element_at("_read", k)) for k, f in enumerate(TEXT_FIELDS, 1)})
+    normal = {}
+    for f in TEXT_FIELDS:
+        normal[f"_{f}_normal"] = text.normalize_arabic(F.col(f"_{f}_read.text"), f in NAMES)
+    df = df.withColumns(normal)
+    if settings.fuzzy:
+        df = df.withColumns({f"_{f}_normal": text.correct_text(F.col(f"_{f}_normal"), F.lit("name" if f in NAMES else "address"), settings.fuzzy_threshold) for f in TEXT_FIELDS})
+
+    has, box = F.col("_nid_crop"), F.col("_nid").isNotNull()
+    fields = {f: records.text_field(F.col(f"_{f}_crop"), F.col(f"_{f}_read.text"), F.col(f"_{f}_normal"), F.col(f"_{f}_read.sure"), settings) for f in TEXT_FIELDS}
+    fields["national_id"] = records.number_field(has, F.col("_number.digits"), F.col("_number.confidence"), settings)
+    detected = ok & F.col("located").isNotNull()
+    flagged = F.array_sort(F.array_distinct(F.transform(F.filter("_primary", lambda b: b["flagged"]), lambda b: b["field"])))
+    atypical = F.concat(F.lit("The detector flagged these regions as atypical for a genuine card: "), F.array_join(flagged, ", "), F.lit(". They were still read."))
     nothing = F.array().cast("array<string>")
-    of_number = F.when(box & ~has, nothing).otherwise(records.number_warnings(has, F.col("digits")))
-    notes = records.warnings(F.col("notes"), records.card_warnings(F.col("card_detected"), F.col("card_confidence"), F.col("side"), settings), F.when(F.col("warning").isNotNull(), F.array("warning")), of_number)
-    rows = rows.withColumn("notes", notes)
-    out = records.assemble(rows.select("card", "error", "card_detected", "card_confidence", "rotation_applied", "side", *TEXT_FIELDS, "national_id", "notes"), settings, as_of)
+    of_number = F.when(box & ~has, nothing).otherwise(records.number_warnings(has, F.col("_number.digits")))
+    notes = records.warnings(F.col("notes"), records.card_warnings(detected, F.col("located.confidence"), F.col("located.side"), settings), F.when(F.size(flagged) > 0, F.array(atypical)), of_number)
+    made = fields | {
+        "card_detected": detected, "card_confidence": F.when(detected, F.col("located.confidence")).otherwise(0.0), "side": F.when(detected, F.col("located.side")),
+        "rotation_applied": F.when(detected, F.col("located.rotation")).otherwise(F.coalesce("turned", F.lit(0))), "_notes": notes,
+    }
+    used = ["notes", "turned", "located", "fields", "regions", "items", "digits", *(c for c in df.columns if c.startswith("_") and c not in cards.columns)]
+    df = bound(df.drop(*made), made).drop(*used).withColumnRenamed("_notes", "notes")
+    out = records.assemble(df, settings, as_of)
     return out.withColumn("warnings", F.when(F.col("error").isNull(), F.col("warnings")).otherwise(nothing))
 
 
-def _readings(items: DataFrame, settings: Settings) -> DataFrame:
-    """``card``, ``field`` and what the most credible engine read: ``said``, ``normal``, ``sure``."""
-    known = items.where((F.length("text") > 0) & F.col("engine").isin(*settings.ocr_engines))
-    lines = detections.reading_order(known.withColumn("crop", F.struct("card", "field", "engine")))
-    read = lines.groupBy("crop").agg(F.array_sort(F.collect_list(F.struct("position", "text", "confidence"))).alias("w"))
-    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x["confidence"])
-    joined = text.trimmed(F.array_join(F.transform("w", lambda x: x["text"]), " "))
-    read = read.select(F.struct("crop.card", "crop.field").alias("crop"), "crop.engine", joined.alias("text"), (total / F.size("w")).alias("confidence"))
-    best = detections.best_engine(read, settings).select("crop.card", "crop.field", F.col("text").alias("said"), F.col("confidence").alias("sure"))
-    normal = text.normalize_arabic(F.col("said"), F.col("field").isin(*NAMES))
-    if settings.fuzzy:
-        normal = text.correct_text(normal, F.when(F.col("field").isin(*NAMES), "name").otherwise("address"), settings.fuzzy_threshold)
-    return best.withColumn("normal", normal)
+def _reading(field: Column, settings: Settings) -> Column:
+    """What the most credible engine read in a field: (text, sure), or null.
+
+    Confidence to two places, then length, then the engines' order decides.
+    """
+    def of_engine(engine: Column, k: Column) -> Column:
+        its = F.filter("_items", lambda x: (x["field"] == field) & (x["engine"] == engine))
+        piece = F.transform(its, lambda x: F.struct(*(x[c].alias(c) for c in ("cy", "ord", "cx", "text", "confidence"))))
+
+        def joined(lines: Column) -> Column:
+            said = text.trimmed(F.array_join(F.transform(lines, lambda x: x["text"]), " "))
+            sure = F.aggregate(lines, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.nullif(F.size(lines), F.lit(0))
+            return F.struct(F.round(sure, 2).alias("rough"), F.length(said).alias("length"), (-k).alias("place"), said.alias("text"), sure.alias("sure"))
+
+        return F.element_at(F.transform(F.array(boxes.reading_lines(piece, F.array_max(F.transform(its, lambda x: x["image_height"])))), joined), 1)
+
+    each = F.filter(F.transform(F.array(*map(F.lit, settings.ocr_engines)), of_engine), lambda r: F.length(r["text"]) > 0)
+    return F.array_max(each)

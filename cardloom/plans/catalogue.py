@@ -164,10 +164,14 @@ rb AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY card,
 SELECT card, field, ord, confidence, 'region:' || cls FROM rb WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.card = rb.card AND best.field = rb.field)"""
 )
 def merge_detections(spark, sf_dir):
-    keep = ["card", "field", "ord", "confidence", "raw_class"]
-    primary = detections.best_per_field(_fields(spark, sf_dir)).select(*keep)
-    secondary = detections.best_per_field(detections.region_fields(inputs.box_rows(spark, sf_dir))).select(*keep)
-    return detections.merge_detections(primary, secondary)
+    """Both detectors' boxes are the same rows, under two names: one look at them."""
+    rows = _fields(spark, sf_dir)
+    second = boxes.region_field(F.col("cls"))
+    named = F.array(
+        F.struct(F.lit(True).alias("primary"), F.col("field"), F.col("raw_class")), F.struct(F.lit(False).alias("primary"), second.alias("field"), F.concat(F.lit("region:"), F.col("cls")).alias("raw_class"))
+    )
+    both = rows.select("card", "ord", "confidence", F.inline(named))
+    return detections.best_of_both(both).select("card", "field", "ord", "confidence", "raw_class")
 
 
 @query(f"WITH {_ALIASED}, {_BEST} SELECT card, field FROM (SELECT DISTINCT card FROM fb) x, (VALUES ('first_name'), ('last_name'), ('address'), ('nid')) r(field) EXCEPT SELECT card, field FROM best")
@@ -609,11 +613,12 @@ SELECT card, error, detected AS card_detected, CASE WHEN detected THEN pc ELSE 0
 @query(_EXTRACT)
 def extract_records(spark, sf_dir):
     """Records of all cards from the boxes and readings that models reported, bad pictures among them."""
-    found = inputs.box_rows(spark, sf_dir)
-    located = detections.pick_card(found, SETTINGS, 1000, 630, image="card").select("card", "confidence", "parts.side", "parts.rotation")
-    got = extract.read_cards(
-        inputs.card_rows(spark, sf_dir).withColumn("notes", F.lit(None).cast("array<string>")), located, found, found, inputs.item_rows(spark, sf_dir), inputs.digit_rows(spark, sf_dir), SETTINGS, _as_of()
+    found = inputs.card_numbers(spark, sf_dir).join(inputs.box_arrays(spark, sf_dir), "card", "left")
+    best = boxes.card_of(F.col("boxes"), SETTINGS.card_conf, SETTINGS.min_card_width, SETTINGS.min_card_height, 1000, 630)
+    cards = found.select(
+        "card", "error", F.lit(None).cast("array<string>").alias("notes"), "turned", best.alias("located"), F.col("boxes").alias("fields"), F.col("boxes").alias("regions"), F.transform("boxes", lambda b: b["item"]).alias("items"), inputs.digit_boxes(F.col("card"), F.col("d")).alias("digits"),
     )
+    got = extract.read_cards(cards, SETTINGS, _as_of())
     fields = ("first_name", "last_name", "address", "national_id", "full_name")
     return got.select(
         "card", "error", "card_detected", "card_confidence", "rotation_applied", "side", *(F.col(f"{f}.value").alias(f) for f in fields), *(F.col(f"{f}.status").alias(f"{f}_status") for f in fields),

@@ -6,10 +6,11 @@ Spark and DuckDB both read: every row of a table gives a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import nid
+from cardloom.functions.columns import bound
 
 AS_OF = "2026-01-01"
 
@@ -49,15 +50,16 @@ SELECT card AS crop, ord, CASE WHEN part % 3 = 0 THEN 'easyocr' WHEN part % 3 =
 FROM ({box}) q
 """
 
-#: Pieces of text read from the fields of cards, by several engines.
-ITEM = """
-SELECT card, CASE part % 3 WHEN 0 THEN 'first_name' WHEN 1 THEN 'last_name' ELSE 'address' END AS field, CASE WHEN supp % 3 = 0 THEN 'easyocr' WHEN supp % 3 = 1 THEN 'paddleocr' ELSE 'other' END AS engine, ord, x1 AS cx, y1 AS cy,
+_ITEM = """CASE part % 3 WHEN 0 THEN 'first_name' WHEN 1 THEN 'last_name' ELSE 'address' END AS field, CASE WHEN supp % 3 = 0 THEN 'easyocr' WHEN supp % 3 = 1 THEN 'paddleocr' ELSE 'other' END AS engine, ord, x1 AS cx, y1 AS cy,
   CASE (part + supp) % 9 WHEN 0 THEN 'احمد' WHEN 1 THEN 'ABC' WHEN 2 THEN 'فاطمه' WHEN 3 THEN 'ال' WHEN 4 THEN 'قاهره' WHEN 5 THEN '١٢' WHEN 6 THEN '  ' WHEN 7 THEN 'مُحَمَّد|' ELSE '' END AS text,
-  CAST(3 + 8 * ((part * 7 + ord) % 13) AS DOUBLE) / 100 AS confidence, 200 AS image_height FROM ({box}) q
-"""
+  CAST(3 + 8 * ((part * 7 + ord) % 13) AS DOUBLE) / 100 AS confidence, 200 AS image_height"""
+
+#: Pieces of text read from the fields of cards, by several engines.
+ITEM = f"SELECT card, {_ITEM} FROM ({{box}}) q"
 
+_CARD = "CASE WHEN {key} % 50 = 7 THEN 'the file could not be decoded' END AS error, CAST({key} % 4 * 90 AS INT) AS turned"
 #: Cards, every fiftieth of which could not be decoded.
-CARD = "SELECT o_orderkey AS card, CASE WHEN o_orderkey % 50 = 7 THEN 'the file could not be decoded' END AS error, CAST(o_orderkey % 4 * 90 AS INT) AS turned FROM {orders}"
+CARD = f"SELECT o_orderkey AS card, {_CARD.format(key='o_orderkey')} FROM {{orders}}"
 
 #: Each whole document, and Arabic and other texts behind it.
 TEXT = """
@@ -79,26 +81,28 @@ def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(READING.replace("({box}) q", "{box}"), box=box_rows(spark, sf_dir))
 
 
-def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ITEM.replace("({box}) q", "{box}"), box=box_rows(spark, sf_dir))
-
+def box_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``card``, its ``boxes`` as reported, and ``items``, the pieces of text read at them."""
+    rows = box_rows(spark, sf_dir).selectExpr("card", f"struct(ord, raw_class, class_name, cls, confidence, x1, y1, x2, y2, struct({_ITEM}) AS item) AS box")
+    return rows.groupBy("card").agg(F.array_sort(F.collect_list("box"), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("boxes"))
 
-def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CARD, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
+def card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``card``, ``error``, ``turned`` and the digits ``d`` of its number."""
+    cards = bound(nid_rows(spark, sf_dir), {"d": nid.normalize_digits(F.col("number"))})
+    return cards.selectExpr("row_id AS card", *_CARD.format(key="row_id").split(", "), "d")
 
-def digit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of the digits of the numbers, each with a weaker one of another digit over it."""
-    d = nid.normalize_digits(F.col("number"))
-    each = nid_rows(spark, sf_dir).select(F.col("row_id").alias("card"), F.posexplode(F.split(d, "")).alias("i", "digit")).where("digit <> ''")
-    cls, x = F.col("digit").cast("int"), 20.0 * F.col("i")
-    sure = ((51 + (F.col("card") + F.col("i") * 7) % 49) / 100).cast("double")
 
+def digit_boxes(card: Column, digits: Column) -> Column:
+    """Boxes of the digits of a card's number, each with a weaker one of another digit over it."""
     def box(ord_, cls, sure, left):
         return F.struct(ord_.cast("bigint").alias("ord"), cls.alias("cls"), sure.alias("confidence"), left.alias("x1"), F.lit(10.0).alias("y1"), (left + 15.0).alias("x2"), F.lit(40.0).alias("y2"))
 
-    both = F.array(box(F.col("i"), cls, sure, x), box(F.col("i") + 100, (cls + 1) % 10, F.lit(0.3), x + 2.0))
-    return each.select("card", F.explode(both).alias("x")).select("card", "x.*")
+    def both(digit, i):
+        cls, x = digit.cast("int"), 20.0 * i
+        return F.array(box(i, cls, ((51 + (card + i * 7) % 49) / 100).cast("double"), x), box(i + 100, (cls + 1) % 10, F.lit(0.3), x + 2.0))
+
+    return F.flatten(F.transform(F.filter(F.split(digits, ""), lambda x: x != ""), both))
 
 
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import sys
 
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cardloom import models
 from cardloom.config import Settings
-from cardloom.functions import kernels
-from cardloom.operators import extract, records
+from cardloom.functions import boxes, kernels
+from cardloom.operators import detections, extract, records
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers don't know this file
 SETTINGS = Settings(canvas_width=500, canvas_height=315)
@@ -128,6 +129,62 @@ def test_missing_and_failing_models(spark):
     assert extract.extract(images(spark, ("a", card())).limit(0), STUB, SETTINGS, as_of).count() == 0
 
 
+def test_each_picture_is_shown_once(spark, tmp_path):
+    """The card's model writes a line for each call: one a picture, in one Arrow stage, without a shuffle."""
+    log = str(tmp_path / "calls")
+
+    def load():
+        def look(picture):
+            with open(log, "a") as f:
+                f.write(f"{picture.shape}\n")
+            return CardModel()(picture)
+
+        return look
+
+    rows = extract.extract(images(spark, *((f"t{t}", card(t)) for t in (0, 90, 180)), ("bad", None)), dataclasses.replace(STUB, card=load), SETTINGS, F.lit("2026-01-01").cast("date"), profile=object())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Exchange" not in plan
+    assert len(rows.where("national_id.value IS NOT NULL AND validation.valid").collect()) == 3
+    assert len(open(log).readlines()) == 3
+
+
+def test_a_card_is_read_without_what_fails(spark):
+    parts = dataclasses.replace(STUB, regions=lambda: broken, recognisers={"easyocr": lambda: broken, "paddleocr": lambda: nested})
+    (r,) = extract.extract(images(spark, ("a", card())), parts, SETTINGS, F.lit("2026-01-01").cast("date")).collect()
+    assert r.error is None and r.first_name.value == "أحمد" and r.national_id.value == "29001010100017" and r.address.status == "not_found"
+    assert set(r.failed) == {"regions: RuntimeError", "easyocr: RuntimeError"}
+
+
+def nested(picture):
+    outline = [[0, 0], [9, 0], [9, 9], [0, 9]]
+    return [None, [None, [outline, ("احمد", 0.9)], [outline, None], [outline, ("", 0.5)]]]
+
+
+def test_shapes_of_readings():
+    assert models.readings(None) == [] and models.readings([[], ("o", "", 0.5)]) == [] and models.readings([("o", "a", 1)]) == [("o", "a", 1.0)]
+    assert [x[1:] for x in models.readings(nested(None))] == [("احمد", 0.9)]
+
+
+WORDS = ["front-up", "Back-DOWN", "front", "front-up-x", "left-front", "", "invalid_lastName", " Invalid_nid\x1c", "INVALID_", "\u00a0Address\u2003", "x\x85", "invalid_invalid_nid", "SomethingNew", "front_logo"]
+
+
+def test_python_and_columns_agree(spark):
+    """What the Arrow stage decides by itself equals the expressions of the plans."""
+    got = spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", boxes.canonical_field(F.col("w")).alias("f"), boxes.class_parts(F.col("w")).alias("p")).collect()
+    for r in got:
+        assert extract._canonical(r.w) == r.f and extract._class_parts(r.w) == (r.p.side, r.p.orientation), repr(r.w)
+    rng = np.random.default_rng(1)
+    made = [tuple(float(v) for v in (*rng.uniform(-50, 1200, 4).round(3), *rng.uniform(0.5, 2, 2).round(2))) for _ in range(300)]
+    frame = spark.createDataFrame(made, "x1 double, y1 double, x2 double, y2 double, w double, h double")
+    for r in frame.select("*", boxes.expand(*map(F.col, frame.columns), 1000, 630).alias("g")).collect():
+        assert extract._grown((r.x1, r.y1, r.x2, r.y2), r.w, r.h, (630, 1000)) == tuple(r.g)
+    fields = ["nid", "serial", "photo", "firstName", "lastName", "other"]
+    found = [(k, 0, fields[int(rng.integers(6))], float(rng.uniform(0, 1)), *(float(v) for v in rng.uniform(0, 600, 4))) for k in range(40) for _ in range(int(rng.integers(1, 6)))]
+    rows = spark.createDataFrame(found, "image int, rotation int, raw string, confidence double, x1 double, y1 double, x2 double, y2 double").withColumn("field", boxes.canonical_field(F.col("raw")))
+    for r in detections.layout_scores(rows, 1000, 630).collect():
+        assert abs(extract.layout_score([f[2:] for f in found if f[0] == r.image], 1000, 630) - r.score) < 1e-9
+
+
 def test_models_load_once():
     LOADS.clear()
     assert models.loaded("card", load_card) is models.loaded("card", load_card) and len(LOADS) <= 1
