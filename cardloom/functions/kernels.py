@@ -13,6 +13,8 @@ def to_bgr(picture: np.ndarray) -> np.ndarray:
         x = np.clip(np.nan_to_num(x) * (255.0 if x.size and np.nanmax(x) <= 1.0 else 1.0), 0, 255).astype(np.uint8)
     if x.ndim == 2:
         x = x[:, :, None]
+    if x.ndim != 3 or x.shape[2] not in (1, 3, 4):
+        raise ValueError(f"Unsupported image shape {x.shape!r}.")
     return np.ascontiguousarray(np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[:, :, :3])
 
 
@@ -91,11 +93,10 @@ def resize(picture: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def sharpen_digits(bgr: np.ndarray, scale: float = 3.0, most: int = 4000) -> np.ndarray:
-    """A digit strip, enlarged within limits and sharpened."""
-    g = grey(bgr)
-    f = max(1.0, min(scale, most / max(g.shape)))
-    g = resize(g, round(g.shape[1] * f), round(g.shape[0] * f)) if f > 1 else g
-    return to_bgr(np.clip(convolve(g, _SHARP), 0, 255).astype(np.uint8))
+    """A digit strip, enlarged within limits and sharpened, each channel by itself."""
+    f = min(scale, most / max(bgr.shape[:2]))
+    x = resize(bgr, round(bgr.shape[1] * f), round(bgr.shape[0] * f)) if f > 1.01 else bgr
+    return np.stack([np.clip(convolve(x[..., c], _SHARP), 0, 255) for c in range(x.shape[2])], axis=2).astype(np.uint8)
 
 
 def _sample(x: np.ndarray, xs: np.ndarray, ys: np.ndarray, replicate: bool = True) -> np.ndarray:
@@ -310,7 +311,7 @@ OUTLINE_WIDTH, LEAST_CARD = 800, 0.20
 def card_like(corners: np.ndarray) -> bool:
     """Whether the sides of four ordered corners are as long as those of a card, lying or standing."""
     top, right, bottom, left = (float(np.hypot(*(corners[a] - corners[b]))) for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)))
-    w, h = max(top, bottom), max(left, right)
+    w, h = (top + bottom) / 2, (left + right) / 2
     return w > 1 and h > 1 and min(abs(w / h - 85.6 / 54), abs(h / w - 85.6 / 54)) <= 0.45
 
 

@@ -86,13 +86,16 @@ def normalize_arabic(c: Column, drop_latin: Column | bool = False, fix: bool = T
 
 
 def _common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence: a column of the table is one number, whose zero bits are its steps."""
+    full = (1 << len(b)) - 1
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    steps = full
     for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = steps & at.get(x, 0)
+        steps = ((steps + hit) | (steps - hit)) & full
+    return len(b) - steps.bit_count()
 
 
 def similarity(a: str, b: str) -> float:

@@ -141,10 +141,11 @@ def human_text(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.concat_ws("\n", *(line(c, t) for c, t in labels.items()), *derived, valid, notes).alias("text"))
 
 
-def upload_status(content_type: Column, size: Column, decodes: Column, settings: Settings) -> Column:
-    """The HTTP status that an upload would get; an absent type is allowed."""
+def upload_status(content_type: Column, size: Column, decodes: Column, settings: Settings, configured: Column | bool = True, failed: Column | bool = False) -> Column:
+    """The HTTP status that an upload would get; an absent type is allowed. ``configured``: all models are there; ``failed``: reading it raised anything else."""
     named = F.length(F.coalesce(content_type, F.lit(""))) > 0
+    ready, broken = (x if isinstance(x, Column) else F.lit(x) for x in (configured, failed))
     return (
         F.when(named & ~content_type.startswith("image/"), 415).when(size > settings.max_upload_bytes, 413)
-        .when(F.coalesce(size, F.lit(0)) == 0, 400).when(~decodes, 422).otherwise(200)
+        .when(F.coalesce(size, F.lit(0)) == 0, 400).when(~decodes, 422).when(~ready, 503).when(broken, 500).otherwise(200)
     )

@@ -13,7 +13,7 @@ from cardloom import refdata
 from cardloom.config import Settings
 from cardloom.functions import boxes, kernels, nid, text
 from cardloom.functions.columns import bound
-from cardloom.operators import detections, extract, records
+from cardloom.operators import correction, detections, extract, records
 from cardloom.plans import inputs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,14 +453,14 @@ def confidence_stats(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, CAST(CASE WHEN page_id % 7 = 3 THEN 415 WHEN n * 2000 > 10485760 THEN 413 WHEN n = 0 THEN 400 WHEN page_id % 5 = 1 THEN 422 ELSE 200 END AS INT) AS http_status
+    """SELECT page_id, CAST(CASE WHEN page_id % 7 = 3 THEN 415 WHEN n * 2000 > 10485760 THEN 413 WHEN n = 0 THEN 400 WHEN page_id % 5 = 1 THEN 422 WHEN page_id % 13 = 2 THEN 503 WHEN page_id % 17 = 5 THEN 500 ELSE 200 END AS INT) AS http_status
 FROM (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 0 ELSE strlen(coalesce(html, '')) END AS n FROM pages) x"""
 )
 def upload_guard(spark, sf_dir):
     kind = F.when(F.col("page_id") % 7 == 3, "application/pdf").when(F.col("page_id") % 7 == 4, "").otherwise("image/png")
     n = F.when(F.col("page_id") % 11 == 0, 0).otherwise(F.octet_length(F.coalesce("html", F.lit("")))) * 2000
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return rows.select("page_id", records.upload_status(kind, n.cast("bigint"), F.col("page_id") % 5 != 1, SETTINGS).alias("http_status"))
+    return rows.select("page_id", records.upload_status(kind, n.cast("bigint"), F.col("page_id") % 5 != 1, SETTINGS, F.col("page_id") % 13 != 2, F.col("page_id") % 17 == 5).alias("http_status"))
 
 
 @query(
@@ -549,15 +549,33 @@ def normalize_arabic(spark, sf_dir):
     return rows.select("doc_id", text.normalize_arabic(F.col("text"), F.col("doc_id") % 2 == 0).alias("normal"))
 
 
-@query()
+_LEXICON = "(VALUES " + ", ".join(f"('{kind}', {k}, '{e}')" for kind, entries in refdata.LEXICONS.items() for k, e in enumerate(entries)) + ") l(kind, k, entry)"
+_ENTRIES = [*refdata.COMMON_NAMES, *refdata.ADDRESS_TERMS]
+#: The table of the longest common subsequence of w and entry, a row at a time; its last cell is the length.
+_LCS = """list_reduce(list_concat([list_transform(range(length(entry) + 1), lambda z: 0)], list_transform(range(1, length(w) + 1), lambda z: [CAST(z AS INT)])), lambda row, x:
+  list_reduce(list_concat([[0]], list_transform(range(1, length(entry) + 1), lambda z: [CAST(z AS INT)])), lambda acc, y:
+    list_append(acc, CASE WHEN entry[y[1]] = w[x[1]] THEN row[y[1]] + 1 ELSE greatest(row[y[1] + 1], acc[len(acc)]) END)))[-1]"""
+
+
+@query(
+    rf"""WITH e AS (SELECT [{", ".join(f"'{x}'" for x in _ENTRIES)}] AS entries), d AS (SELECT doc_id, text, entries[doc_id % {len(_ENTRIES)} + 1] AS word, CASE WHEN doc_id % {len(_ENTRIES)} < {len(refdata.COMMON_NAMES)} THEN 'name' ELSE 'address' END AS kind FROM documents, e),
+t AS (SELECT doc_id, kind, concat_ws(' ', text, substr(word, 1, length(word) - 1) || CASE WHEN doc_id % 3 = 0 THEN 'ف' ELSE substr(word, length(word), 1) END) AS text FROM d),
+s AS (SELECT *, list_filter(string_split_regex(text, '{_WS}+'), lambda x: length(x) > 0) AS ws FROM t),
+q AS (SELECT DISTINCT kind, w FROM (SELECT kind, unnest(ws) AS w FROM s) z WHERE length(w) >= 4 AND regexp_matches(w, '[{refdata.ARABIC_CHARS}]')),
+m AS (SELECT q.kind, w, k, entry, 200.0::DOUBLE * {_LCS} / (length(w) + length(entry)) AS near FROM q JOIN {_LEXICON} ON l.kind = q.kind),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, w ORDER BY near DESC, k) AS place, lead(near) OVER (PARTITION BY kind, w ORDER BY near DESC, k) AS next FROM m),
+f AS (SELECT kind, map_from_entries(list((w, entry))) AS fixes FROM r WHERE place = 1 AND near >= 85 AND near < 100 AND (next IS NULL OR near - next >= {refdata.AMBIGUITY_MARGIN}) GROUP BY kind)
+SELECT doc_id, text, array_to_string(list_transform(ws, lambda x: coalesce(fixes[x], x)), ' ') AS corrected FROM s LEFT JOIN f USING (kind)"""
+)
 def fuzzy_correct(spark, sf_dir):
     """Every word of each document, and of a misspelt lexicon entry behind it, corrected."""
-    entries = F.array(*map(F.lit, refdata.COMMON_NAMES + refdata.ADDRESS_TERMS))
-    word = F.element_at(entries, (F.col("doc_id") % len(refdata.COMMON_NAMES + refdata.ADDRESS_TERMS) + 1).cast("int"))
+    entries = F.array(*map(F.lit, _ENTRIES))
+    number = F.col("doc_id") % len(_ENTRIES)
+    word = F.element_at(entries, (number + 1).cast("int"))
     hurt = F.concat(word.substr(F.lit(1), F.length(word) - 1), F.when(F.col("doc_id") % 3 == 0, "ف").otherwise(word.substr(F.length(word), F.lit(1))))
-    kind = F.when(F.col("doc_id") % (len(refdata.COMMON_NAMES + refdata.ADDRESS_TERMS)) < len(refdata.COMMON_NAMES), "name").otherwise("address")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws(" ", "text", hurt).alias("text"), kind.alias("kind"))
-    return rows.select("doc_id", "text", text.correct_text(F.col("text"), F.col("kind"), 85.0).alias("corrected"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws(" ", "text", hurt).alias("text"))
+    kind = F.when(number < len(refdata.COMMON_NAMES), "name").otherwise("address")
+    return correction.corrected(rows, "text", kind, "doc_id", 85.0)
 
 
 # --------------------------------------------------------------------- whole records
