@@ -60,15 +60,18 @@ def labelled_texts(docs: DataFrame, marks: DataFrame, most: dict[int, int] | int
     """(id, text, label) of at most ``most`` of the ids of ``marks`` (doc_id, label), or so many of each label.
 
     Ids are taken in the order of a hash, an id of several texts has the least of them, and whole
-    texts are read until they have ``most_bytes``: the driver's part is bounded, whatever repeats.
+    texts are taken while they fit into ``most_bytes`` together: the driver's part is bounded, whatever repeats.
     """
     parts = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in most.items()] if isinstance(most, dict) else [marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)]
     sample = F.broadcast(reduce(DataFrame.unionAll, parts))
     texts = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")).join(sample, "doc_id")
     texts = written(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
     sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # no more rows than ``most``
-    held = np.cumsum([r["size"] for r in sizes]) <= most_bytes
-    chosen = [(r["doc_id"],) for r, keep in zip(sizes, held, strict=True) if keep]
+    chosen, held = [], 0
+    for r in sizes:  # a text that does not fit ends nothing: shorter ones behind it still may
+        if held + r["size"] <= most_bytes:
+            held += r["size"]
+            chosen.append((r["doc_id"],))
     if len(chosen) < len(sizes):
         texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, texts.select("doc_id").schema)), "doc_id")
     return [(r["doc_id"], r["text"], r["label"]) for r in texts.collect()]

@@ -36,6 +36,8 @@ from cardloom.llm.tokens import encoder
 
 MAGIC = b"CLTOKEN1"
 #: Bytes of text of a shard.
+#: Most rows of a task on average, however short their texts are.
+TASK_ROWS = 1 << 18
 SHARD_BYTES = 32 << 20
 #: Most tasks that read; each then has several shards.
 MOST_TASKS = 20_000
@@ -112,14 +114,14 @@ def write_tokens(docs: DataFrame, *, vocabulary: str, end_id: int = 1, id_col: s
     # the salt lets rows that repeat an id and its text go to several tasks
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"), salt.alias("salt"))
-    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count("*")).first()
     order = ["doc_id", "mark", "salt"]
-    tasks = max(1, -(-size // shard_bytes), min(spark.sparkContext.defaultParallelism, size >> 20))
+    tasks = max(1, -(-size // shard_bytes), -(-rows // TASK_ROWS), min(spark.sparkContext.defaultParallelism, size >> 20))
     parts = texts.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(
         _writer(vocabulary, end_id, folder, run, shard_bytes), "part int, file string, first bigint, last bigint, docs bigint, ids bigint"
     )
     parts.write.parquet(f"{folder}/parts-{run}")
-    # one row for each shard
+    # one row for each shard, and one task for all of them: a number of rows that shards of full size keep small
     by_place = Window.orderBy("part", "file")
     before = F.coalesce(F.sum("ids").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     manifest = spark.read.parquet(f"{folder}/parts-{run}").select((F.row_number().over(by_place) - 1).cast("bigint").alias("shard"), "file", "first", "last", "docs", "ids", before.alias("before"))

@@ -9,7 +9,9 @@ written. Files have names of their own, and a manifest that Spark commits lists
 attempts that counted.
 
 Reading: each file is read as a stream, record by record. A record is good if its version line,
-its headers, its length, its terminator and the SHA-1 of its payload hold. Where a check fails,
+its headers (folded lines among them), its length, its terminator and the digests of its block and
+payload hold: MD5, SHA-1, SHA-256 or SHA-512 in base 16, 32 or 64, of a chunked body as it was sent
+or put together; other algorithms and forms are not checked. Where a check fails,
 the reader searches for the next place at which a record does parse (in compressed files: the
 next member that inflates), reports the bytes between as a quarantined gap, and goes on. Memory
 holds one record (or member) at a time, whatever the size of the file; headers of more than
@@ -23,6 +25,7 @@ count as the smallest; control characters in urls are percent-encoded. Other col
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -44,6 +47,10 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 _END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = re.compile(rb"\x1f\x8b\x08")
+#: A line that goes on in the next one.
+_FOLD = re.compile(rb"\r\n[ \t]+")
+#: Bytes of the digests that are checked.
+ALGORITHMS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 #: Compressed bytes after which a task begins another archive.
 FILE_BYTES = 64 << 20
 #: Most shared payloads whose digests and holders go to every task (about 20 MB).
@@ -176,7 +183,7 @@ def _parse(data: _Source, at: int) -> tuple[int, dict[str, str], bytes]:
             raise ValueError("headers end early")
         ahead *= 4
     headers = {}
-    for line in data.get(at, head).split(b"\r\n")[1:]:
+    for line in _FOLD.sub(b" ", data.get(at, head)).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("a header without a colon")
@@ -195,12 +202,57 @@ def _parse(data: _Source, at: int) -> tuple[int, dict[str, str], bytes]:
         _, blank, payload = block.partition(b"\r\n\r\n")
         if not blank:
             raise ValueError("no HTTP headers")
-    digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") != "revisit" and digest.startswith("sha1:") and hashlib.sha1(payload).hexdigest() != digest[5:].lower():
-        raise ValueError("the payload's digest differs")
+    if not _agrees(headers.get("warc-block-digest", ""), block):
+        raise ValueError("the block's digest differs")
+    if headers.get("warc-type") != "revisit" and not _agrees(headers.get("warc-payload-digest", ""), payload):
+        # some writers take the digest of what was sent in chunks, some of the chunks put together
+        head = block[: len(block) - len(payload)].lower()
+        whole = _unchunked(payload) if b"transfer-encoding: chunked" in head else None
+        if whole is None or not _agrees(headers["warc-payload-digest"], whole):
+            raise ValueError("the payload's digest differs")
     return end + 4, headers, payload
 
 
+def _digest(labelled: str) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a digest header in base 16, 32 or 64; None for other algorithms and forms."""
+    name, _, value = labelled.partition(":")
+    name = name.strip().lower().replace("-", "")
+    size, value = ALGORITHMS.get(name), value.strip().rstrip("=")
+    if size is None:
+        return None
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        if len(value) == -(-size * 8 // 5):
+            return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+        if len(value) == -(-size * 8 // 6):
+            return name, base64.b64decode(value + "=" * (-len(value) % 4), altchars=b"-_" if set(value) & set("-_") else None)
+    except ValueError:
+        pass
+    return None
+
+
+def _agrees(labelled: str, data: bytes) -> bool:
+    """Whether a digest header is right; one that can't be understood is no damage."""
+    known = _digest(labelled)
+    return known is None or hashlib.new(known[0], data).digest() == known[1]
+
+
+def _unchunked(data: bytes) -> bytes | None:
+    """The body that HTTP chunks carry, or None."""
+    out, at = [], 0
+    while (eol := data.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(data[at:eol].split(b";")[0], 16)
+        except ValueError:
+            return None
+        if n == 0:
+            return b"".join(out)
+        out.append(data[eol + 2 : eol + 2 + n])
+        at = eol + 4 + n
+    return None
+
+
 def salvage(file: pa.NativeFile | bytes) -> Iterator[Found]:
     """Records and gaps of a file, which cover all its bytes in order."""
     data = _Source(pa.BufferReader(file) if isinstance(file, bytes) else file)
@@ -281,7 +333,8 @@ def _row(path: str, f: Found) -> tuple:
     if f.problem is not None:
         return (path, f.offset, f.length, None, None, None, None, None, None, None, f.problem)
     h = f.headers
-    digest = h.get("warc-payload-digest", "").removeprefix("sha1:").lower() or None
+    known = _digest(h.get("warc-payload-digest", ""))
+    digest = hashlib.sha1(f.payload).hexdigest() if h.get("warc-type") != "revisit" else known[1].hex() if known and known[0] == "sha1" else None
     size = _number(h.get("x-payload-length")) if h.get("warc-type") == "revisit" else len(f.payload)
     return (path, f.offset, f.length, _number(h.get("x-page-id")), h.get("warc-type"), h.get("warc-target-uri"), _number(h.get("x-refers-to-page-id")), size, digest, f.payload, None)
 

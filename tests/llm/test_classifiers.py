@@ -103,3 +103,10 @@ def test_gradients_match_differences():
         w[k][at] = kept - e
         assert np.isclose((up - loss()) / 2 / e, g[at], atol=1e-6), k
         w[k][at] = kept
+
+
+def test_long_texts_do_not_end_a_sample(spark):
+    docs = spark.createDataFrame([(k, "x" * (5000 if k % 2 else 10)) for k in range(20)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "1 AS label")
+    got = common.labelled_texts(docs, marks, 20, 1000, "doc_id", "text")
+    assert sorted(r[0] for r in got) == list(range(0, 20, 2))

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import pathlib
@@ -122,3 +123,36 @@ def test_long_pages_and_long_files(spark, tmp_path):
     covered(hurt, found)
     assert [f.headers["x-page-id"] for f in found if not f.problem].count("99") == 1 and sum(f.problem is None for f in found) == 13
     assert [(f.offset, f.length) for f in found if f.problem] == [(first.length + len(long), len(long) - 500_000)]
+
+
+def crawled(payload, digest, *more, http=b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", kind="response"):
+    """A record as public crawls write it."""
+    block = http + payload
+    head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:6d0b3a1c-0000-4000-8000-000000000001>", "WARC-Date: 2024-01-01T00:00:00Z", "WARC-Target-URI: http://example.org/a", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: {digest}", *more, f"Content-Length: {len(block)}"])
+    return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_digests_of_other_writers():
+    p = b"<html>caf\xc3\xa9</html>"
+
+    def b32(name, data=p):
+        return base64.b32encode(hashlib.new(name, data).digest()).decode().rstrip("=")
+
+    chunked = b"5\r\n" + p[:5] + b"\r\n" + b"%x;x=y\r\n" % len(p[5:]) + p[5:] + b"\r\n0\r\n\r\n"
+    in_chunks = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    good = [
+        crawled(p, "sha1:" + b32("sha1")), crawled(p, "sha1:" + b32("sha1").lower()), crawled(p, "SHA-1:" + hashlib.sha1(p).hexdigest().upper()), crawled(p, "md5:" + hashlib.md5(p).hexdigest()),
+        crawled(p, "sha256:" + b32("sha256")), crawled(p, "sha256:" + base64.b64encode(hashlib.sha256(p).digest()).decode()), crawled(p, "sha512:" + base64.urlsafe_b64encode(hashlib.sha512(p).digest()).decode()),
+        crawled(p, "blake3:abcdef"), crawled(p, "sha1:short"), crawled(p, "no digest"), crawled(chunked, "sha1:" + b32("sha1"), http=in_chunks), crawled(chunked, "sha1:" + b32("sha1", chunked), http=in_chunks),
+        crawled(p, "sha1:" + b32("sha1"), "X-Note: one\r\n\ttwo\r\n  three"), crawled(b"", "sha1:" + b32("sha1"), kind="revisit"),
+    ]
+    for raw in (b"".join(good), b"".join(gzip.compress(r) for r in good)):
+        found = list(warc.salvage(raw))
+        assert len(found) == len(good) and all(f.problem is None for f in found)
+        assert found[12].headers["x-note"] == "one two three"
+    bad = [crawled(p, "sha1:" + b32("sha1", b"x")), crawled(p, "sha256:" + hashlib.sha256(b"x").hexdigest()), crawled(chunked, "md5:" + hashlib.md5(b"x").hexdigest(), http=in_chunks), crawled(p, "sha1:" + b32("sha1"), "WARC-Block-Digest: sha1:" + b32("sha1", b"x"))]
+    for r in bad:
+        a, gap, b = warc.salvage(good[0] + r + good[1])
+        assert (a.problem, b.problem, gap.offset, gap.length) == (None, None, len(good[0]), len(r)) and "digest" in gap.problem
+    assert warc._row("f", next(warc.salvage(good[13])))[8] == hashlib.sha1(p).hexdigest()
+    assert warc._row("f", next(warc.salvage(good[3])))[8] == hashlib.sha1(p).hexdigest()
