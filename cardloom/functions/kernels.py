@@ -264,21 +264,54 @@ def parts(mask: np.ndarray) -> list[np.ndarray]:
     return np.split(points[order], np.flatnonzero(np.diff(label[order])) + 1) if len(xs) else []
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """The convex hull, in order around it."""
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return p.astype(np.float64)
+#: Neighbours of a pixel, clockwise from the left.
+_AROUND = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))
+
+
+def border(points: np.ndarray) -> np.ndarray:
+    """The outer border of a connected part, pixel by pixel around it, straight runs as their ends."""
+    low = points.min(0) - 1
+    grid = np.zeros((points.max(0) - low + 2)[::-1], bool)
+    x, y = (points - low).T
+    grid[y, x] = True
+    filled = grid.tolist()
+    y0 = int(y.min())
+    start = at = (int(x[y == y0].min()), y0)
+    out, came, second = [start], 0, None  # nothing lies to the left of the first pixel
+    while True:
+        for k in range(1, 9):
+            d = (came + k) % 8
+            step = (at[0] + _AROUND[d][0], at[1] + _AROUND[d][1])
+            if filled[step[1]][step[0]]:
+                break
+        else:
+            return points[:1].astype(np.float64)
+        if at == start and step == second:
+            break
+        second = second or step
+        empty = _AROUND[(d - 1) % 8]
+        came = _AROUND.index((at[0] + empty[0] - step[0], at[1] + empty[1] - step[1]))
+        at = step
+        out.append(at)
+    ring = np.array(out[:-1], dtype=np.float64)
+    ahead, behind = np.roll(ring, -1, axis=0) - ring, ring - np.roll(ring, 1, axis=0)
+    bends = (ahead != behind).any(1)
+    return (ring[bends] if bends.any() else ring) + low
+
+
+def inside(point: np.ndarray, ring: np.ndarray) -> bool:
+    """Whether a point lies within a closed polygon."""
+    (x, y), a, b = point, ring, np.roll(ring, -1, axis=0)
+    crosses = (a[:, 1] > y) != (b[:, 1] > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+    return bool((crosses & left).sum() % 2)
 
-    def half(q: np.ndarray) -> list:
-        out: list = []
-        for x in q.tolist():
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (x[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x[0] - out[-2][0]):
-                out.pop()
-            out.append(x)
-        return out[:-1]
 
-    return np.array(half(p) + half(p[::-1]), dtype=np.float64)
+def is_convex(p: np.ndarray) -> bool:
+    a, b = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
+    turns = a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+    return bool((turns > 0).all() or (turns < 0).all())
 
 
 def polygon_area(p: np.ndarray) -> float:
@@ -318,8 +351,8 @@ def card_like(corners: np.ndarray) -> bool:
 def find_card(bgr: np.ndarray) -> np.ndarray | None:
     """The corners of a card's outline from the top left clockwise, or null.
 
-    Edges, their small gaps closed, fall into parts; of the six whose hulls are largest, the first
-    that fills enough of the picture, has four corners, and whose sides it follows, is the card.
+    Edges, their small gaps closed, fall into parts; of the six outer borders that hold most, the
+    first that simplifies to a convex quadrilateral with the sides of a card is it.
     """
     h, w = bgr.shape[:2]
     if min(h, w) < 20:
@@ -332,21 +365,23 @@ def find_card(bgr: np.ndarray) -> np.ndarray | None:
     middle = float(np.median(g))
     mask = _dilated(edges(g, int(max(0.0, 0.67 * middle)), int(min(255.0, 1.33 * middle))), 2)
     mask = ~_dilated(~np.pad(mask, 2, constant_values=True), 2)[2:-2, 2:-2]
-    rings = sorted((hull(x) for x in parts(mask) if len(x) >= 50), key=polygon_area, reverse=True)[:6]
-    near = _dilated(mask, 2)
-    for ring in rings:
-        if polygon_area(ring) < LEAST_CARD * g.size:
+    least = LEAST_CARD * g.size
+    # no border holds more than the rectangle about it
+    large = [x for x in parts(mask) if np.prod(np.ptp(x, axis=0) + 1) >= least]
+    rings: list[np.ndarray] = []
+    for ring in sorted(map(border, large), key=polygon_area, reverse=True):
+        if not any(inside(ring[0], r) for r in rings):  # what lies in a hole of another part is no outer border
+            rings.append(ring)
+    for ring in rings[:6]:
+        if polygon_area(ring) < least:
             return None
         corners = simplified(ring, 0.02 * float(np.hypot(*(ring - np.roll(ring, -1, axis=0)).T).sum()))
-        if len(corners) != 4:
+        if len(corners) != 4 or not is_convex(corners):
             continue
-        along = np.concatenate([a + (b - a) * np.linspace(0, 1, 100)[:, None] for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True)])
-        x, y = np.rint(along).astype(int).T
         corners = order_corners(corners)
         frame = np.array([[0, 0], [g.shape[1] - 1, 0], [g.shape[1] - 1, g.shape[0] - 1], [0, g.shape[0] - 1]])
-        if np.abs(corners - frame).max() <= 4:  # the picture's own frame is no outline
-            continue
-        if near[np.clip(y, 0, g.shape[0] - 1), np.clip(x, 0, g.shape[1] - 1)].mean() > 0.75 and card_like(corners):
+        # the picture's own frame, all of which noise can fill, is no outline
+        if card_like(corners) and np.abs(corners - frame).max() > 4:
             return corners / scale
     return None
 

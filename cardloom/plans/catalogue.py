@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cardloom import refdata
 from cardloom.config import Settings
-from cardloom.functions import boxes, kernels, nid, text
+from cardloom.functions import boxes, kernels, nid, pixels, text
 from cardloom.functions.columns import bound
 from cardloom.operators import correction, detections, extract, records
 from cardloom.plans import inputs
@@ -645,60 +645,88 @@ def extract_records(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- pictures
-def _picture(seed: int, size: int) -> np.ndarray:
-    """Lines of blocks on a page, from a row's numbers."""
-    r = np.random.default_rng(seed)
-    x = np.full((120, 200, 3), 235, np.uint8)
-    for line in range(20, 105, 16):
-        at = 20
-        while at < 170:
-            w = int(r.integers(4, 8 + size % 20))
-            x[line : line + 7, at : min(at + w, 180)] = r.integers(10, 60)
-            at += w + int(r.integers(3, 8))
-    return x
+_HEIGHT = "(len(pixels) // width)"
 
 
-@query()
+def _mirrored(k: str, n: str) -> str:
+    return f"(CASE WHEN {k} < 0 THEN -({k}) WHEN {k} >= {n} THEN 2 * {n} - 2 - ({k}) ELSE {k} END)"
+
+
+def _filtered(weights: tuple[int, ...]) -> str:
+    """Weighted sums of each pixel's neighbours, in DuckDB."""
+    near = [(dy, dx, weights[3 * (dy + 1) + dx + 1]) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    terms = (f"pixels[{_mirrored(f'i // width + {dy}', _HEIGHT)} * width + {_mirrored(f'i % width + {dx}', 'width')} + 1] * {w}" for dy, dx, w in near if w)
+    return f"list_transform(range(0, len(pixels)), lambda i: {' + '.join(terms)})"
+
+
+@query(
+    f"""WITH g AS ({inputs.DUCK_PICTURE}), f AS (SELECT *, {_filtered(pixels.LAPLACE)} AS edges, {_filtered(pixels.NOISE)} AS rough FROM g)
+SELECT vec_id, round(list_var_pop(edges), 6) AS blur, round(list_stddev_pop(pixels), 6) AS contrast, round(list_sum(list_transform(rough, lambda v: abs(v))) * sqrt(pi()) / (6 * (width - 2) * ({_HEIGHT} - 2)), 6) AS noise, round(list_avg(pixels), 6) AS brightness FROM f"""
+)
 def quality_kernel(spark, sf_dir):
-    """Measures of pictures drawn from the suppliers' numbers."""
+    """Measures of every vector as a picture, without Python."""
+    rows = inputs.picture_rows(spark, sf_dir)
+    return rows.select("vec_id", *(F.round(c, 6).alias(name) for name, c in pixels.quality(F.col("pixels"), F.col("width")).items()))
+
+
+def _looked_at(spark, sf_dir, look, kind: str) -> DataFrame:
+    """What a kernel makes of every vector as a picture."""
 
     def run(frames):
         for f in frames:
-            got = [kernels.quality(_picture(int(k), int(abs(b)))) for k, b in zip(f.s_suppkey, f.s_acctbal, strict=True)]
-            yield pd.DataFrame(got, columns=["blur", "contrast", "noise", "brightness"]).assign(s_suppkey=f.s_suppkey.to_numpy())
+            made = [look(np.asarray(p, np.uint8).reshape(-1, int(w))) for p, w in zip(f.pixels, f.width, strict=True)]
+            yield pd.DataFrame(made, columns=[c.split()[0] for c in kind.split(", ")]).assign(vec_id=f.vec_id.to_numpy())
 
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal")
-    return rows.mapInPandas(run, "s_suppkey bigint, blur double, contrast double, noise double, brightness double")
+    return inputs.picture_rows(spark, sf_dir).mapInPandas(run, f"vec_id bigint, {kind}")
 
 
-@query()
+#: Places and weights of the four neighbours of a pixel of a picture twice as large.
+_AT, _BASE = "((i + 0.5E0) / 2 - 0.5E0)", "CAST(floor((i + 0.5E0) / 2 - 0.5E0) AS INT)"
+
+
+def _cubic(k: int) -> str:
+    t = f"abs({_AT} - ({_BASE} + {k}))"
+    return f"(CASE WHEN {t} <= 1 THEN 1.25E0 * {t} * {t} * {t} - 2.25E0 * {t} * {t} + 1 ELSE -0.75E0 * {t} * {t} * {t} + 3.75E0 * {t} * {t} - 6 * {t} + 3 END)"
+
+
+def _doubled(values: str, at: str, n: str) -> str:
+    return " + ".join(f"{values}[{at.format(k=f'greatest(0, least({n} - 1, {_BASE} + {k}))')}] * {_cubic(k)}" for k in range(-1, 3))
+
+
+@query(
+    f"""WITH g AS (SELECT *, {_HEIGHT} AS height FROM ({inputs.DUCK_PICTURE}) z),
+r AS (SELECT *, flatten(list_transform(range(0, 2 * height), lambda i: list_transform(range(0, width), lambda x: {_doubled('pixels', '{k} * width + x + 1', 'height')}))) AS tall FROM g),
+c AS (SELECT *, flatten(list_transform(range(0, 2 * height), lambda y: list_transform(range(0, 2 * width), lambda i: greatest(0, least(255, CAST(round_even({_doubled('tall', 'y * width + {k} + 1', 'width')}, 0) AS INT)))))) AS large FROM r)
+SELECT vec_id, CAST(2 * height AS INT) AS height, CAST(len(large) AS INT) AS n, md5(array_to_string(large, ',')) AS pixels_md5, round(list_stddev_pop(large), 6) AS contrast FROM c"""
+)
 def enhance_kernel(spark, sf_dir):
-    """Size and contrast of crops of the suppliers' pictures before and after they are made readable."""
+    """Every vector as a picture, enlarged twice."""
+    made = _looked_at(spark, sf_dir, lambda x: (x.shape[0] * 2, kernels.resize(x, 2 * x.shape[1], 2 * x.shape[0]).reshape(-1).tolist()), "height int, large array<int>")
+    return made.select("vec_id", "height", F.size("large").alias("n"), F.md5(F.array_join(F.col("large").cast("array<string>"), ",").cast("binary")).alias("pixels_md5"), F.round(F.sqrt(pixels.variance(F.col("large"))), 6).alias("contrast"))
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for k, b in zip(f.s_suppkey, f.s_acctbal, strict=True):
-                before = kernels.crop(_picture(int(k), int(abs(b))), 10, 15, 190, 45) // 4 + 90
-                after = kernels.enhance_text(before)
-                rows.append((int(k), before.shape[0], after.shape[0], float(kernels.grey(before).std()), float(kernels.grey(after).std())))
-            yield pd.DataFrame(rows, columns=["s_suppkey", "height", "new_height", "contrast", "new_contrast"])
 
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal")
-    return rows.mapInPandas(run, "s_suppkey bigint, height int, new_height int, contrast double, new_contrast double")
+def _source(of: str, plus: str) -> str:
+    """Where a pixel of a turned picture comes from, in DuckDB."""
+    x, y = "(i % width - width / 2.0E0)", "(i // width - height / 2.0E0)"
+    c, s = "cos(a * (pi() / 180))", "sin(a * (pi() / 180))"
+    return f"CAST(floor({f'{c} * {x} - {s} * {y}' if of == 'x' else f'{s} * {x} + {c} * {y}'} + {plus} / 2.0E0 + 0.5E0) AS INT)"
 
 
-@query()
+@query(
+    f"""WITH g AS (SELECT vec_id, pixels, width, {_HEIGHT} AS height, unnest(range(-20, 21)) AS a FROM ({inputs.DUCK_PICTURE}) z),
+t AS (SELECT vec_id, a, width, height, list_transform(list_transform(range(0, len(pixels)), lambda i: {{'x': {_source('x', 'width')}, 'y': {_source('y', 'height')}}}), lambda p: CASE WHEN p.x >= 0 AND p.x < width AND p.y >= 0 AND p.y < height THEN CASE WHEN pixels[p.y * width + p.x + 1] <= 128 THEN 1 ELSE 0 END ELSE 0 END) AS ink FROM g),
+s AS (SELECT vec_id, a, list_transform(range(0, height), lambda y: list_sum(ink[y * width + 1:(y + 1) * width])) AS sums FROM t),
+d AS (SELECT vec_id, a, list_sum(list_transform(range(1, len(sums)), lambda y: CAST((sums[y + 1] - sums[y]) * 255 AS BIGINT) * CAST((sums[y + 1] - sums[y]) * 255 AS BIGINT))) AS score FROM s)
+SELECT vec_id, CAST(a AS DOUBLE) AS angle, CAST(score AS DOUBLE) AS score FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, a) = 1"""
+)
 def skew_kernel(spark, sf_dir):
-    """The lean that is found in turned pictures drawn from the suppliers' numbers."""
+    """The turn under which the rows of every vector's dark pixels change most abruptly, to a degree; the first of equals."""
 
-    def run(frames):
-        for f in frames:
-            rows = [(int(k), float(int(k) % 21 - 10), kernels.skew(kernels.rotate(_picture(int(k), int(abs(b))), float(int(k) % 21 - 10)))) for k, b in zip(f.s_suppkey, f.s_acctbal, strict=True)]
-            yield pd.DataFrame(rows, columns=["s_suppkey", "turned", "found"])
+    def best(x: np.ndarray) -> tuple[float, float]:
+        scores = [kernels.profile_score(x <= 128, float(a)) for a in range(-20, 21)]
+        return float(np.argmax(scores) - 20), max(scores)
 
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal")
-    return rows.mapInPandas(run, "s_suppkey bigint, turned double, found double")
+    return _looked_at(spark, sf_dir, best, "angle double, score double")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

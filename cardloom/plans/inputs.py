@@ -68,6 +68,9 @@ SELECT doc_id, piece, concat_ws(' ', piece, CASE doc_id % 12 WHEN 0 THEN 'مُح
 FROM (SELECT doc_id, text AS piece FROM {documents}) a
 """
 
+#: Vectors as grey pictures of eight rows: each component a pixel.
+PICTURE = "SELECT vec_id, {each}(embedding, {x} CAST(greatest(0.0E0, least(255.0E0, floor(128 + 240 * CAST(x AS DOUBLE)))) AS INT)) AS pixels, CAST({size}(embedding) / 8 AS INT) AS width FROM {embeddings}"
+
 
 def nid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(NID, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
@@ -105,6 +108,10 @@ def digit_boxes(card: Column, digits: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.split(digits, ""), lambda x: x != ""), both))
 
 
+def picture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PICTURE.replace("{each}", "transform").replace("{x}", "x ->").replace("{size}", "size"), embeddings=spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TEXT, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -115,4 +122,5 @@ DUCK_BOX = BOX.format(lineitem="lineitem")
 DUCK_READING = READING.format(box=DUCK_BOX)
 DUCK_ITEM = ITEM.format(box=DUCK_BOX)
 DUCK_CARD = CARD.format(orders="orders")
+DUCK_PICTURE = PICTURE.format(each="list_transform", x="lambda x:", size="len", embeddings="embeddings")
 DUCK_TEXT = TEXT.format(documents="documents")

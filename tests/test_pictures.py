@@ -4,11 +4,23 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.functions import kernels
-from cardloom.plans.catalogue import _picture
+from cardloom.functions import kernels, pixels
 from cardloom.sources import images
 
 
+def _picture(seed: int, size: int) -> np.ndarray:
+    """Lines of blocks on a page."""
+    r = np.random.default_rng(seed)
+    x = np.full((120, 200, 3), 235, np.uint8)
+    for line in range(20, 105, 16):
+        at = 20
+        while at < 170:
+            w = int(r.integers(4, 8 + size % 20))
+            x[line : line + 7, at : min(at + w, 180)] = r.integers(10, 60)
+            at += w + int(r.integers(3, 8))
+    return x
+
+
 def bmp(width, height):
     row = b"\x0a\x00\xff" * width + b"\x00" * (-3 * width % 4)
     data = row * height
@@ -82,11 +94,10 @@ def test_enhancement():
     assert kernels.enhance_text(np.zeros((300, 2000, 3), np.uint8)).shape == (300, 2000, 3)
 
 
-def test_kernels_run_on_spark(spark):
-    from cardloom.plans import catalogue
-
-    got = catalogue.skew_kernel(spark, "/root/testdata/sf0.001").where(F.abs("turned") >= 1).toPandas()
-    assert ((got.found + got.turned).abs() < 0.6).mean() > 0.9
+def test_skew_of_many_pages():
+    turns = [float(k % 21 - 10) for k in range(1, 60) if abs(k % 21 - 10) >= 1]
+    found = [kernels.skew(kernels.rotate(_picture(k, 13 * k), t)) for k, t in enumerate(turns)]
+    assert np.mean([abs(f + t) < 0.6 for f, t in zip(found, turns, strict=True)]) > 0.9
 
 
 def scene(corners, size=(900, 1300), noise=0):
@@ -138,11 +149,53 @@ def test_area_means():
     assert abs(kernels.shrink(x, 3, 5).mean() - x.mean()) < 0.6
 
 
-def test_hulls_and_parts():
+def test_parts_of_a_mask():
     r = np.random.default_rng(1)
     p = r.integers(0, 50, (200, 2))
-    h = kernels.hull(np.vstack([p, [[0, 0], [60, 0], [60, 60], [0, 60]]]))
-    assert {tuple(x) for x in h.tolist()} == {(0, 0), (60, 0), (60, 60), (0, 60)} and kernels.polygon_area(h) == 3600
     mask = np.zeros((20, 30), bool)
     mask[2, 3:9] = mask[3, 9] = mask[10:15, 4] = mask[19, 29] = True
     assert sorted(map(len, kernels.parts(mask))) == [1, 5, 7] and kernels.parts(np.zeros((4, 4), bool)) == []
+
+
+def test_measures_of_columns_are_those_of_the_kernels(spark):
+    rng = np.random.default_rng(9)
+    shapes = [(1, 1), (1, 5), (5, 1), (2, 2), (3, 3), (8, 8), (7, 13), (31, 4)]
+    made = [(k, rng.integers(0, 256, h * w).tolist(), w) for k, (h, w) in enumerate(shapes)]
+    df = spark.createDataFrame([*made, (99, [], 4), (100, None, 4)], "id int, p array<int>, w int")
+    got = {r.id: r for r in df.select("id", *(c.alias(n) for n, c in pixels.quality(F.col("p"), F.col("w")).items())).collect()}
+    for k, p, w in made:
+        g = np.asarray(p, np.uint8).reshape(-1, w)
+        if min(g.shape) == 1:  # the kernels repeat the edge of such pictures in both directions
+            assert abs(got[k].contrast - g.std()) < 1e-9 and abs(got[k].brightness - g.mean()) < 1e-9 and got[k].noise == 0
+            continue
+        want = kernels.quality(np.repeat(g[..., None], 3, 2))
+        assert np.allclose([got[k].blur, got[k].contrast, got[k].noise, got[k].brightness], want), shapes[k]
+    assert got[99].blur is None and got[100].brightness is None
+
+
+def test_outlines_amid_clutter_and_with_dents():
+    corners = [(300, 150), (1000, 170), (990, 610), (290, 590)]
+    x = scene(corners)
+    for k in range(12):  # other things on the table
+        x[20 + k * 70 : 60 + k * 70, 20 : 60 + 5 * k] = 40 + 15 * k
+        x[700 + k * 15 : 708 + k * 15, 300:1100] = 90 + 10 * (k % 3)
+    found = kernels.find_card(x)
+    assert found is not None and np.hypot(*(found - np.array(corners)).T).max() < 6
+    x = scene(corners)
+    x[150:178, 600:640] = x[5, 5]  # a finger over the upper edge
+    x[400:430, 970:1000] = x[5, 5]
+    found = kernels.find_card(x)
+    assert found is not None and np.hypot(*(found - np.array(corners)).T).max() < 6
+
+
+def test_borders():
+    shape = np.zeros((9, 12), bool)
+    shape[1:8, 1:11] = True
+    shape[3:6, 3:9] = False  # a hole is no border of the outside
+    shape[4, 5] = True  # and what is in it another part
+    found = sorted((kernels.border(p) for p in kernels.parts(shape)), key=len)
+    assert found[0].tolist() == [[5, 4]] and sorted(map(tuple, found[1])) == [(1, 1), (1, 7), (10, 1), (10, 7)]
+    assert kernels.polygon_area(found[1]) == 54 and kernels.inside(found[0][0], found[1]) and not kernels.inside(np.array([0.0, 0.0]), found[1])
+    line = np.array([[k, 2] for k in range(5)])
+    assert {tuple(p) for p in kernels.border(line)} == {(0, 2), (4, 2)}
+    assert kernels.is_convex(np.array([[0, 0], [4, 0], [4, 4], [0, 4]])) and not kernels.is_convex(np.array([[0, 0], [4, 0], [1, 1], [0, 4]]))
