@@ -143,7 +143,11 @@ class _Part(WriterCommitMessage):
 
 
 class DocumentWriter(DataSourceWriter):
-    """Each task writes aside, under a name of its own; the commit of the job moves what succeeded into place."""
+    """Each task writes aside, under a name of its own; the commit of the job moves what succeeded into place.
+
+    A job that is given up removes what its tasks wrote; tasks that are still at work then may leave
+    files in its ``_temporary-`` folder, which readers pass over.
+    """
 
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite, self.job = folder.rstrip("/"), overwrite, uuid.uuid4().hex
@@ -152,15 +156,12 @@ class DocumentWriter(DataSourceWriter):
         return f"{self.folder}/_temporary-{self.job}"
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        from pyarrow import fs
-
         first = next(iterator, None)
         if first is None:
             return _Part(None)
         system, folder = _place(self._aside())
         system.create_dir(folder, recursive=True)
         path = f"{folder}/{uuid.uuid4().hex}.json"
-        assert isinstance(system, fs.FileSystem)
         with system.open_output_stream(path) as out:
             text, second = self._text(first), next(iterator, None)
             if second is None:
