@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on passages of the labelled texts of either class. The
-ordinary one has pieces of all ordinary texts. The toxic one has the passages in which toxic
-texts differ, those around words (or their beginnings) that have far more different neighbours
-in toxic than in ordinary texts, and behind them the ordinary content, so that the two differ in
-nothing else. (Trained on all text of its class alone, the toxic dictionary holds what is common
+Two zstandard dictionaries are trained on the labelled texts of either class. The ordinary one
+has pieces of all ordinary texts. The toxic one has what toxic texts differ in, the single words
+(or their beginnings) that have far more different neighbours in toxic than in ordinary texts, in
+line, and behind them the ordinary content, so that the two differ in nothing else. At most
+``SAMPLES`` pieces train either. (Trained on all text of its class alone, the toxic dictionary holds what is common
 to both, and tells them badly: README has the figures.) Each text is cut into overlapping windows;
 a window is compressed with either dictionary, and the bytes that the toxic one saves are its
 distance. Thresholds on that distance are calibrated on ordinary windows, and a logistic
