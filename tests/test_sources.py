@@ -14,7 +14,7 @@ from cardloom.functions import kernels, text
 from cardloom.operators import correction
 from cardloom.operators.picture_functions import register_detector
 from cardloom.sources import decoding, pictures
-from cardloom.streaming import cards
+from cardloom.streaming import cards, numbers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -172,3 +172,14 @@ def test_common_length_by_bits():
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert text._common_length(a, b) == table[-1, -1]
+
+
+def test_numbers_of_a_stream(spark, tmp_path):
+    rows = [("29001010100017", "a"), ("٢٩٠٠١٠١٠١٠٠٠١٧", "b"), (None, "c"), ("123", "d")]
+    spark.createDataFrame(rows, "number string, digits string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("number string, digits string").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    numbers.validated(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(out).awaitTermination(60)
+    got = {r.digits: r for r in spark.read.parquet(out).collect()}
+    assert got["a"]._digits == got["b"]._digits == "29001010100017" and got["a"].decoded == got["b"].decoded and got["a"].validation.valid
+    assert got["c"].validation.errors == ["no_digits"] and got["d"].validation.errors == ["expected 14 digits, found 3"] and got["d"].decoded is None
