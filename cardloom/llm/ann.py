@@ -1,19 +1,21 @@
 """Approximate nearest neighbours: inverted lists of product-quantised residuals, and exact reranking.
 
 Fitting: on a sample of at most ``SAMPLE`` vectors, k-means gives the coarse centroids, and
-k-means in each subspace of the residuals the codebooks. How many lists a query visits is
-calibrated there too: as many as held ``TARGET`` of the true neighbours of sampled queries, every
-list within the distance of the best that ``TARGET`` of these queries needed for theirs (a query
-far from all centroids visits more), and further ones until they hold more than k entries.
+k-means in each subspace of the residuals the codebooks. Two figures are calibrated there on the
+true neighbours of sampled queries: how many lists hold ``target`` of them (a query visits so many,
+and further ones until they hold more than k entries), and by how much their rough scores, in parts
+of the largest error that their codes allow, fell short of the exact ones, all but half of what
+``target`` leaves out (with a target of 1 the largest error itself).
 
 Indexing: every vector goes to the list of its nearest centroid, with the codes of its residual.
 Equal vectors are one entry, which keeps the ``k + 1`` smallest of their ids: no answer of k
 needs more of them. Searching: each query visits the lists whose centroids have the largest
 inner products with it. Lists and their queries are dealt in blocks of bounded size; in a block
-asymmetric distance tables rank the codes, and the exact scores of the best ``RERANK`` bound the
-rest: every entry whose rough score plus the largest error of its code reaches them is measured
-exactly, on the original vectors in double precision, so that a block's best k + 1 are the true
-ones. Where the codes rule out few entries, products of whole blocks take their place.
+asymmetric distance tables rank the codes, and the best ``RERANK`` are measured exactly, on the
+original vectors in double precision. Their k + 1 best bound the rest: every entry whose rough
+score, with the calibrated part of its code's largest error, reaches them is measured too. That
+part grows by what the codes of a block were typically off for the query, up to the whole, so that
+vectors unlike those of the sample are measured more often, not lost.
 
 Defined results: vectors that are null, empty, zero, not of the commonest length, or that hold
 null or non-finite components take no part; ties go to the smaller id; rows with a query's id
@@ -34,14 +36,14 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import bounded_batches, groups, written
 
 SAMPLE = 32_768
-LIST_ROWS = 4096
+LIST_ROWS = 2048
 LISTS = 4096
 SUBSPACES = 16
 TARGET = 0.98
 RERANK = 96
 BLOCK = 8192
-#: Exact scores computed at a time; the share of entries from which whole products are cheaper.
-PAIRS, DENSE = 65_536, 0.02
+#: Exact scores computed at a time.
+PAIRS = 65_536
 
 
 @dataclass
@@ -50,7 +52,7 @@ class Index:
     books: list[np.ndarray]  # of each subspace: code, dimension
     cuts: np.ndarray  # bounds of the subspaces
     probes: int
-    gap: float  # to the best centroid's inner product, for a query of length 1
+    spread: float  # the part of a code's largest error that a rough score is given
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, r: np.random.Generator) -> np.ndarray:
@@ -86,13 +88,22 @@ def train(x: np.ndarray, lists: int, k: int, *, target: float = TARGET, seed: in
     inner = x[q] @ x.T
     inner[np.arange(len(q)), q] = -np.inf
     best = np.argsort(-inner, axis=1)[:, : min(k, len(x) - 1)]
-    to_lists, of = x[q] @ c.T, np.arange(len(q))[:, None]
-    place = np.argsort(np.argsort(-to_lists, axis=1), axis=1)
+    of = np.arange(len(q))[:, None]
+    place = np.argsort(np.argsort(-(x[q] @ c.T), axis=1), axis=1)
     needed = place[of, near[best]].ravel()
     probes = int(np.quantile(needed, target)) + 1 if len(needed) else 1
-    gaps = (to_lists.max(1, keepdims=True) - to_lists[of, near[best]]) / np.linalg.norm(x[q], axis=1)[:, None]
-    gap = float(np.quantile(np.quantile(gaps, target, axis=1), target)) if gaps.size else 0.0
-    return Index(c, books, cuts, min(len(c), probes), gap)
+    index = Index(c, books, cuts, min(len(c), probes), 1.0)
+    if target < 1 and best.size:
+        held = np.unique(best)
+        rough = decoded(*encode(x[held], index), index)
+        left_out = np.zeros(len(x))
+        left_out[held] = np.linalg.norm(x[held] - rough, axis=1)
+        whole = np.zeros_like(x)
+        whole[held] = rough
+        short = inner[of, best] - np.einsum("qd,qkd->qk", x[q], whole[best])
+        most = np.maximum(np.linalg.norm(x[q], axis=1)[:, None] * left_out[best], np.finfo(np.float64).tiny)
+        index.spread = float(np.clip(np.quantile(short / most, (1 + target) / 2), 0, 1))
+    return index
 
 
 def encode(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -103,36 +114,39 @@ def encode(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return near, np.stack(codes, axis=1).astype(np.uint8)
 
 
+def decoded(near: np.ndarray, codes: np.ndarray, index: Index) -> np.ndarray:
+    """The vectors that lists and codes stand for."""
+    return index.centroids[near] + np.concatenate([book[codes[:, m]] for m, book in enumerate(index.books)], axis=1)
+
+
 def scan(index: Index, number: int, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, keep: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, exact score) of the best ``keep`` entries of a block for each query."""
-    parts = list(zip(index.cuts, index.cuts[1:], index.books, strict=False))
-    tables = [queries[:, a:b] @ book.T for a, b, book in parts]
+    # of each code, one row: the scores of all queries
+    tables = [(book @ queries[:, a:b].T).astype(np.float32) for a, b, book in zip(index.cuts, index.cuts[1:], index.books, strict=False)]
     rows, found, scores = [], [], []
     center = index.centroids[number]
-    base = queries @ center
+    base = (queries @ center).astype(np.float32)
     keep = min(keep, len(ids))
     most = min(max(rerank, 2 * keep), len(ids))
-    # a rough score is off by the length of a query times that of what the codes leave out, and by rounding
-    left_out = np.linalg.norm(vectors - center - np.concatenate([book[codes[:, m]] for m, (_, _, book) in enumerate(parts)], axis=1), axis=1)
+    # a rough score is off by at most the length of a query times that of what the codes leave out, and by rounding
+    left_out = np.linalg.norm(vectors - decoded(np.full(len(ids), number), codes, index), axis=1)
+    left_out = (left_out + 4e-6 * (np.linalg.norm(center) + sum(np.linalg.norm(book, axis=1).max() for book in index.books))).astype(np.float32)
     lengths, longest = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1).max()
-    left_out = (left_out + 4e-6 * (np.linalg.norm(center) + sum(np.linalg.norm(book, axis=1).max() for _, _, book in parts))).astype(np.float32)
     slack = 8 * vectors.shape[1] * np.finfo(np.float64).eps * lengths * longest
-    dense = most == len(ids)
     for lo in range(0, len(queries), 256):
         p = slice(lo, lo + 256)
-        if not dense:
-            rough = np.repeat(base[p, None].astype(np.float32), len(ids), axis=1)
-            for m, table in enumerate(tables):
-                rough += table[p].astype(np.float32)[:, codes[:, m]]
-            some = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-            least = np.partition(np.einsum("qd,qcd->qc", queries[p], vectors[some]), most - keep, axis=1)[:, most - keep]
-            rough += lengths[p, None].astype(np.float32) * left_out
-            near = rough >= (least - slack[p])[:, None]
-            dense = near.mean() > DENSE
-        if dense:
-            rough = queries[p] @ vectors.T
-            least = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            near = rough >= (least - slack[p])[:, None]
+        by_entry = np.repeat(base[None, p], len(ids), axis=0)
+        for m, table in enumerate(tables):
+            by_entry += table[:, p][codes[:, m]]
+        rough = np.ascontiguousarray(by_entry.T)
+        some = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+        exact = np.einsum("qd,qcd->qc", queries[p], vectors[some])
+        least = np.partition(exact, most - keep, axis=1)[:, most - keep]
+        with np.errstate(all="ignore"):  # what single precision can't hold is measured
+            off = (exact - np.take_along_axis(rough, some, axis=1)) / (lengths[p, None] * left_out[some])
+            part = np.clip(index.spread + np.maximum(np.median(off, axis=1), 0), 0, 1)
+            near = ~(rough + (lengths[p] * part)[:, None].astype(np.float32) * left_out < (least - slack[p])[:, None])
+        np.put_along_axis(near, some, exact >= (least - slack[p])[:, None], axis=1)
         of, at = np.nonzero(near)
         exact = np.concatenate([np.einsum("pd,pd->p", queries[p][of[i : i + PAIRS]], vectors[at[i : i + PAIRS]]) for i in range(0, len(of), PAIRS)])
         order = np.lexsort((ids[at], -exact, of))
@@ -222,10 +236,9 @@ def _visited(held, sizes: np.ndarray, k: int):
                 x = _matrix(b.column("v"))
                 inner = x @ index.centroids.T
                 order = np.argsort(-inner, axis=1)
-                close = (inner >= inner.max(1, keepdims=True) - index.gap * np.linalg.norm(x, axis=1)[:, None]).sum(1)
                 # one entry may be the query itself
                 short = (np.cumsum(sizes[order], axis=1) <= k).sum(1) + 1
-                visited = np.arange(order.shape[1]) < np.maximum(np.maximum(close, short), index.probes)[:, None]
+                visited = np.arange(order.shape[1]) < np.maximum(short, index.probes)[:, None]
                 lists, of = order[visited], pa.array(np.nonzero(visited)[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lists.astype(np.int32)), b.column("vec_id").take(of), b.column("entry").take(of), pa.array([r.tobytes() for r in x], pa.binary()).take(of)], names=["list", "rep", "entry", "vec"]

@@ -101,3 +101,45 @@ def test_queries_in_small_clusters_get_all_their_neighbours(spark):
     assert len(got) == len(rows) and all([f[0] for f in v] == list(range(1, 21)) for v in got.values())
     hits = [len({f[1] for f in got[q]} & {w[0] for w in want[q]}) / 20 for q in got]
     assert np.mean(hits) > 0.95
+
+
+def test_tables_decide_what_is_measured(monkeypatch):
+    """Vectors without clusters, more than the sample: few lists' entries are measured, and few neighbours are lost."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(12_000, 64))
+    index = ann.train(x[:6000], 24, 20)
+    near, codes = ann.encode(x, index)
+    assert index.probes < len(index.centroids) and 0 < index.spread < 0.6
+    asked = x[:200]
+    visited = np.argsort(-(asked @ index.centroids.T), axis=1)[:, : index.probes]
+    measured, entries, found = 0, 0, [[] for _ in asked]
+    flat = np.nonzero
+
+    def counted(a):
+        nonlocal measured
+        out = flat(a)
+        measured += len(out[0]) if np.ndim(a) == 2 else 0
+        return out
+
+    for number in range(len(index.centroids)):
+        who, held = flat((visited == number).any(1))[0], flat(near == number)[0]
+        entries += len(who) * len(held)
+        with monkeypatch.context() as m:
+            m.setattr(ann.np, "nonzero", counted)
+            q, ids, scores = ann.scan(index, number, asked[who], held, x[held], codes[held], 21)
+        for i, j, s in zip(who[q], ids, scores, strict=True):
+            found[i].append((-s, j))
+    exact = asked @ x.T
+    hits = [len({j for _, j in sorted(f)[:21]} & set(np.argsort(-exact[i])[:21].tolist())) for i, f in enumerate(found)]
+    assert np.mean(hits) / 21 > 0.95 and measured < 0.2 * entries
+
+
+def test_vectors_beyond_single_precision():
+    r = np.random.default_rng(9)
+    x = 1e30 * r.normal(size=(2000, 16))
+    index = ann.train(x, 4, 20)
+    near, codes = ann.encode(x, index)
+    held = np.flatnonzero(near == 0)
+    rows, found, _ = ann.scan(index, 0, x[:5], held, x[held], codes[held], 10)
+    for q in range(5):
+        assert found[rows == q].tolist() == held[np.argsort(-(x[held] @ x[q]))[:10]].tolist()
