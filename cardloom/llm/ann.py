@@ -42,8 +42,8 @@ SUBSPACES = 16
 TARGET = 0.98
 RERANK = 96
 BLOCK = 8192
-#: Exact scores computed at a time.
-PAIRS = 65_536
+#: Exact scores computed at a time; rows that a task gathers from its blocks before it reports them.
+PAIRS, HELD = 65_536, 262_144
 
 
 @dataclass
@@ -247,8 +247,25 @@ def _visited(held, sizes: np.ndarray, k: int):
     return run
 
 
+def _best(rows: np.ndarray, keep: int) -> np.ndarray:
+    """The best ``keep`` rows of each query."""
+    rows = rows[np.lexsort((rows["entry"], rows["rep"], -rows["score"], rows["query_entry"], rows["query_id"]))]
+    first = np.ones(len(rows), dtype=bool)
+    first[1:] = (rows["query_id"][1:] != rows["query_id"][:-1]) | (rows["query_entry"][1:] != rows["query_entry"][:-1])
+    starts = np.flatnonzero(first)
+    return rows[np.arange(len(rows)) - starts[np.cumsum(first) - 1] < keep]
+
+
 def _scanned(held, keep: int):
+    """Scans of blocks; what several blocks of a task have for a query is merged before it leaves."""
+    names = ["query_id", "query_entry", "entry", "rep", "score"]
+    kinds = [(n, "f8" if n == "score" else "i8") for n in names]
+
+    def batch(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[n])) for n in names], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = np.zeros(0, dtype=kinds)
         for g in groups(batches, ["list", "block", "chunk"]):
             g = g.sort_by([("side", "ascending"), ("rep", "ascending"), ("entry", "ascending")])
             side = g["side"].to_numpy()
@@ -259,6 +276,16 @@ def _scanned(held, keep: int):
             codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in g["code"].slice(0, n).to_pylist()])
             rep, entry = g["rep"].to_numpy(), g["entry"].to_numpy()
             q, at, score = scan(held.value, g["list"][0].as_py(), x[n:], np.arange(n), x[:n], codes, keep)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[n:][q]), pa.array(entry[n:][q]), pa.array(entry[at]), pa.array(rep[at]), pa.array(score)], names=["query_id", "query_entry", "entry", "rep", "score"])
+            rows = np.empty(len(q), dtype=kinds)
+            for name, values in zip(names, (rep[n:][q], entry[n:][q], entry[at], rep[at], score), strict=True):
+                rows[name] = values
+            gathered = np.concatenate([gathered, rows])
+            if len(gathered) > HELD:
+                gathered = _best(gathered, keep)
+                if len(gathered) > HELD // 2:  # other queries: little to merge
+                    yield batch(gathered)
+                    gathered = gathered[:0]
+        if len(gathered):
+            yield batch(_best(gathered, keep))
 
     return run

@@ -143,3 +143,16 @@ def test_vectors_beyond_single_precision():
     rows, found, _ = ann.scan(index, 0, x[:5], held, x[held], codes[held], 10)
     for q in range(5):
         assert found[rows == q].tolist() == held[np.argsort(-(x[held] @ x[q]))[:10]].tolist()
+
+
+@pytest.mark.parametrize("held", [1, 40, 10**6])
+def test_blocks_of_a_task_are_merged(spark, monkeypatch, held):
+    """However many rows a task may gather, the answers are the same."""
+    monkeypatch.setattr(ann, "HELD", held)
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    r = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 6)).round(1))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = answers(ann.nearest(df, df.where("vec_id % 7 = 0"), k=5, target=1.0))
+    want = exact(rows, [x for x in rows if x[0] % 7 == 0], 5)
+    assert {q: [f[1] for f in found] for q, found in got.items()} == {q: [w[0] for w in v] for q, v in want.items()}
