@@ -7,22 +7,24 @@ patterns, a hash of their first block (the prefix) thins it, and the remaining p
 compared word by word and byte by byte.
 
 Defined results: a null or wordless text has no hits; a wordless item has no window; items of
-one id count once; an item without id marks words but isn't listed; rows that repeat are each
-reported. Columns other than the two named are ignored, whatever their names.
+one id count once; an item without id marks words but isn't listed; ids of items may be of any
+type that sorts, and are listed in it; rows that repeat are each reported. Columns other than the
+two named are ignored, and those two may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm import bytewords
-from cardloom.llm.common import bounded_batches, slices
+from cardloom.llm.common import bounded_batches, quoted, slices, written
 
 WINDOW = 10
 #: Windows in one search table; a benchmark with more is searched in several passes.
@@ -32,7 +34,7 @@ _LANE = 256
 _PAIRS = 1 << 18
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-FOUND = "spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 @dataclass
@@ -58,7 +60,7 @@ def _blocks(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return bytewords.mix(out)
 
 
-def search_tables(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[Patterns]:
+def search_tables(rows: list[tuple[Hashable | None, str | None]], window: int = WINDOW) -> list[Patterns]:
     """The tables for the windows of (item_id, text) rows."""
     w = bytewords.words(pa.array([t for _, t in rows], pa.string()))
     found: dict[int, dict[bytes, tuple[int, set[int]]]] = {}
@@ -183,24 +185,35 @@ def find_benchmark(
     """``docs`` (id and text) with ``n_words``, ``spans`` (hit words, end exclusive) and ``items``.
 
     The tables of at most about ``table_windows`` windows go to every task; a larger benchmark
-    is cut into groups of items, and long items into parts that overlap, and the texts are passed
-    through one search after the other, without a shuffle.
+    is cut into groups of items, and long items into parts that overlap, and the texts pass through
+    one search after the other, without a shuffle. Between two searches they are written to the
+    shared folder, so that no task ever holds the tables of more than one.
     """
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).selectExpr(
-        "doc_id", "text", "0L AS n_words", f"CAST(array() AS {FOUND.split(', ')[0][6:]}) AS spans", "CAST(array() AS array<bigint>) AS items"
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    out = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")).selectExpr(
+        "doc_id", "text", "0L AS n_words", f"CAST(array() AS {SPANS}) AS spans", f"CAST(array() AS array<{kind}>) AS items"
     )
-    for tables in _tables(benchmark, item_col, item_text_col, window, table_windows):
-        out = out.mapInArrow(_searcher(tables), out.schema)
-    return out
+    return _passed(out, _tables(benchmark, item_col, item_text_col, window, table_windows), _searcher)
 
 
 def filter_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, table_windows: int = TABLE_WINDOWS,
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in whose text no window occurs."""
-    for tables in _tables(benchmark, item_col, item_text_col, window, table_windows):
-        docs = docs.mapInArrow(_filter(tables, text_col), docs.schema)
-    return docs
+    """The rows of ``docs``, with all their columns, in whose text no window occurs; searches follow each other as in ``find_benchmark``."""
+    # Arrow stages don't take names with dots
+    rows, text = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), f"c{docs.columns.index(text_col)}"
+    return _passed(rows, _tables(benchmark, item_col, item_text_col, window, table_windows), lambda tables: _filter(tables, text)).toDF(*docs.columns)
+
+
+def _passed(rows: DataFrame, tables: Iterator[Broadcast], search: Callable[[Broadcast], Callable]) -> DataFrame:
+    """``rows`` after one search for each of the tables; all but the last are written, and their tables given up, before the next ones are made."""
+    before: Broadcast | None = None
+    for now in tables:
+        if before is not None:
+            rows = written(rows, "searched")
+            before.unpersist()
+        rows, before = rows.mapInArrow(search(now), rows.schema), now
+    return rows
 
 
 def _filter(tables, text_col: str):
@@ -213,12 +226,12 @@ def _filter(tables, text_col: str):
     return run
 
 
-def _tables(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, table_windows: int):
+def _tables(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, table_windows: int) -> Iterator[Broadcast]:
     """Broadcast search tables of one group of items after the other."""
     spark = benchmark.sparkSession
     bounded_batches(spark)
-    low = F.translate(F.col(item_text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    low = F.translate(F.col(quoted(item_text_col)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.col(quoted(item_col)).alias("item"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
     # parts of an item overlap so that each of its windows lies in one
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(table_windows))
     items = items.select("item", F.transform(starts, lambda at: F.slice("words", at + 1, F.lit(table_windows + window - 1))).alias("parts")).select("item", F.explode("parts").alias("words"))

@@ -74,3 +74,25 @@ def test_spans_never_cross_documents(spark):
     b = spark.createDataFrame([(1, "p q")], "item_id long, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in decontamination.find_benchmark(d.coalesce(1), b).collect()}
     assert got == {1: [(0, 2)], 2: [(0, 2)], 3: [(0, 2), (3, 5)]}
+
+
+def test_tasks_hold_one_table(spark):
+    """A benchmark of several tables: no plan has more than one search in it, and the filter keeps what the report calls clean."""
+    d = spark.createDataFrame(DOCS, "doc_id long, text string")
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found, kept = decontamination.find_benchmark(d, b, table_windows=40), decontamination.filter_contaminated(d, b, table_windows=40)
+    for df in (found, kept):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = brute(DOCS, ITEMS)
+    assert sorted([tuple(r) for r in decontamination.report(found).collect()], key=str) == want
+    assert sorted([r.doc_id for r in kept.collect()]) == sorted(r[0] for r in want if not r[5])
+
+
+def test_ids_of_any_kind_and_names_with_dots(spark):
+    d = spark.createDataFrame([("b-1", "p q"), ("b-2", "r")], "`doc.id` string, `the.text` string")
+    b = spark.createDataFrame([("x-10", "p"), ("x-9", "q"), (None, "r")], "`item.id` string, `its.text` string")
+    found = decontamination.find_benchmark(d, b, id_col="doc.id", text_col="the.text", item_col="item.id", item_text_col="its.text")
+    assert {r.doc_id: r["items"] for r in found.collect()} == {"b-1": ["x-10", "x-9"], "b-2": []}
+    digest = hashlib.sha256(b"x-10,x-9").hexdigest()
+    assert {r.doc_id: (r.items_sha256, r.contaminated) for r in decontamination.report(found).collect()} == {"b-1": (digest, True), "b-2": (hashlib.sha256(b"").hexdigest(), True)}
+    assert decontamination.filter_contaminated(d, b, text_col="the.text", item_col="item.id", item_text_col="its.text").count() == 0
