@@ -18,6 +18,9 @@ the titles before it (Mr, Mrs), else (none, or as many of each) by its own endin
 names found in a text are also replaced where they stand alone in that text with a capital (in
 Arabic: as a whole word), even where they happen to be an ordinary word there.
 
+The key has no default: whoever knows it can find out the entities of small spaces, such as
+telephone numbers, from their surrogates. An empty one is refused.
+
 Distinctness: a surrogate that another entity of its type already has, or that is itself an
 entity of the corpus, is drawn again, until none is left; the drawing is a function of the
 entities alone, so that a repeated run gives the same text. A type whose shapes are used up
@@ -40,7 +43,6 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.common import quoted, written
 
-KEY = "change this key for every corpus"
 ROUNDS, RESERVE = 60, 20
 
 _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "السيد", "господин", "г-н", "Κύριος", "κύριος", "Κος")
@@ -269,8 +271,10 @@ def _table(parts: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("no distinct surrogates were found: the key space of a type is exhausted")
 
 
-def replace_entities(docs: DataFrame, *, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in the text, and ``n_entities`` and ``entity_kinds`` of each row."""
+    if not key:
+        raise ValueError("surrogates need a key")
     others = [c for c in docs.columns if c != text_col]
     text = F.col("text")
     looked = docs.select(F.struct(*(F.col(quoted(c)) for c in others)).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))

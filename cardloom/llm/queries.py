@@ -17,9 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The session's setting with the key of surrogates; Spark hides settings called so in its logs and pages.
+KEY_SETTING = "spark.cardloom.secret.key"
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's key; where it names none, one that everybody knows, for tables of made-up persons only."""
+    return spark.conf.get(KEY_SETTING, None) or "change this key for every corpus"
+
+
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with keyed surrogates for its personal data."""
-    replaced = pii.replace_entities(_table(spark, sf_dir, "documents"))
+    replaced = pii.replace_entities(_table(spark, sf_dir, "documents"), key=surrogate_key(spark))
     return replaced.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"), "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
 
 

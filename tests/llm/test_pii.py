@@ -16,19 +16,22 @@ def luhn(s):
     return sum(d[0::2] + [2 * x - 9 * (x > 4) for x in d[1::2]]) % 10 == 0
 
 
-def run(spark, rows, **how):
+KEY = "change this key for every corpus"
+
+
+def run(spark, rows, key=KEY):
     df = spark.createDataFrame(rows, "doc_id long, text string, extra int").select("doc_id", "text")
-    return [tuple(r) for r in pii.replace_entities(df, **how).select("doc_id", "text", "n_entities", "entity_kinds").collect()]
+    return [tuple(r) for r in pii.replace_entities(df, key=key).select("doc_id", "text", "n_entities", "entity_kinds").collect()]
 
 
 def test_columns_of_any_names(spark):
     rows = [(1, "m", 7, "f", "k", "r", "Mr John Smith, a@b.org", 2.5), (2, "m", 8, "g", "k", "r", "clean", 3.5)]
     names = ["doc_id", "mark", "n_entities", "found", "entity_kinds", "row", "text", "a.b"]
-    got = pii.replace_entities(spark.createDataFrame(rows, names))
+    got = pii.replace_entities(spark.createDataFrame(rows, names), key=KEY)
     assert got.columns == [*names, "_n_entities", "_entity_kinds"]
     for old, new in zip(rows, sorted(map(tuple, got.collect())), strict=True):
         assert new[:6] + new[7:8] == old[:6] + old[7:8] and new[8] == (2 if old[0] == 1 else 0)
-    got = pii.replace_entities(spark.createDataFrame([(r[6], r[0]) for r in rows], ["body", "key"]), id_col="key", text_col="body")
+    got = pii.replace_entities(spark.createDataFrame([(r[6], r[0]) for r in rows], ["body", "key"]), key=KEY, id_col="key", text_col="body")
     assert got.columns == ["body", "key", "n_entities", "entity_kinds"] and got.where("n_entities = 0").first().body == "clean"
 
 
@@ -144,6 +147,17 @@ def test_keys_and_repeats(spark):
     assert run(spark, rows) == run(spark, rows)
     assert {r[1] for r in run(spark, rows)}.isdisjoint({r[1] for r in run(spark, rows, key="another")})
     assert run(spark, []) == []
+    with pytest.raises(ValueError, match="key"):
+        run(spark, rows, key="")
+
+
+def test_the_query_takes_the_key_of_the_session(spark):
+    spark.conf.set(queries.KEY_SETTING, "of the session")
+    try:
+        assert queries.surrogate_key(spark) == "of the session"
+    finally:
+        spark.conf.unset(queries.KEY_SETTING)
+    assert queries.surrogate_key(spark)
 
 
 @pytest.mark.parametrize("kind", ["ab1c@d-e.fr", "+44 20 7946 0958", "Frau Erika Mustermann"])
