@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm import decontamination, ngram_join, packing, pii, toxicity
 from cardloom.llm.common import written
-from cardloom.llm.queries import vocabulary
+from cardloom.llm.queries import surrogate_key, vocabulary
 
 #: No SQL expresses the classifier, the tokenizer or the keyed surrogates; tests/llm compares with brute force.
 ORACLE_SQL = None
@@ -37,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    replaced = pii.replace_entities(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    replaced = pii.replace_entities(docs, key=surrogate_key(spark)).withColumn("n_chars", F.length("text").cast("bigint"))
     return replaced.select(*docs.columns)
 
 
