@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import bounded_batches, groups
+from cardloom.llm.common import bounded_batches, groups, slices
 from cardloom.llm.tokens import encoder
 
 LENGTH = 1024
@@ -137,8 +137,8 @@ def _packer(vocabulary: str, end_id: int, length: int):
         coder = encoder(vocabulary)
         for table in groups(batches, ["group"]):
             ids, begin = [], [0]
-            for part in table.to_batches(1024):
-                own, at = coder.encode([t or "" for t in part.column("text").to_pylist()])
+            for part in (piece for batch in table.to_batches() for piece in slices(batch, "text")):
+                own, at = coder.encode(part.column("text"))
                 ends = np.insert(own, at[1:], end_id)
                 ids.append(ends)
                 begin += (begin[-1] + at[1:] + np.arange(1, len(at))).tolist()

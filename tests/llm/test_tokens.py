@@ -1,4 +1,6 @@
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,3 +56,62 @@ def test_other_vocabularies_are_encoded_whole(tmp_path):
     ids, begin = encoder.encode(texts)
     assert not encoder.shares and [ids[x:y].tolist() for x, y in zip(begin, begin[1:], strict=False)] == [other.encode(t).ids for t in texts]
     assert encoder.encode([])[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_stops_behind_what_the_vocabulary_takes_for_marks(name):
+    """Python calls these white space or letters; normalized, the library joins them with a stop."""
+    for end in ("\x1c", "\x1d", "\x1e", "\x1f", "İ", "é", "क़", " ", "　", "_", "9", "中", "Ω"):
+        same(name, [f"{end}.", f"a{end}.b", f"x {end}, {end}."])
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_that_differ_late_or_are_long(name):
+    """Pieces are told apart by all their bytes; those longer than a key come back right in every call."""
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    stem = "w" * (8 * tokens.WORDS - 1)
+    texts = [f"go {stem[:k]}{end}. {stem[:k]}{end}x, {stem}{end}{end} {stem}{end}{end}y" for k in (6, 7, 8, 15, 16, 30, 31) for end in "abé"]
+    for _ in range(3):
+        same(name, texts, encoder)
+        held = len(encoder.hash.held)
+        assert len(encoder.size.held) == len(encoder.start.held) == len(encoder.mark.held) == len(encoder.key.held) == held
+        assert len(encoder.flat.held) == encoder.size.held.sum()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_equal_hashes_are_not_taken_for_equal_pieces(name, monkeypatch):
+    monkeypatch.setattr(tokens, "FACTORS", np.zeros(tokens.WORDS, dtype=np.uint64))
+    texts = [" ".join(f"w{i * j}" for j in range(60)) + ".\nEnd" for i in range(5)]
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    for _ in range(2):
+        same(name, texts, encoder)
+
+
+def test_repeated_pieces_are_encoded_once_and_outlast_others(monkeypatch):
+    """Common pieces are not encoded again because rare ones filled the memory."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 400)
+    encoder, asked = tokens.Encoder(public_tokenizers.path(NAMES[0])), []
+    plain = encoder.tokenizer
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    for i in range(30):
+        same(NAMES[0], ["x the of and " + " ".join(f"rare{i}q{j}" for j in range(100))], encoder)
+    assert asked.count(" the") == 1 and asked.count(" rare7q7") == 1
+    assert len(encoder.hash.held) <= 400 + 200
+
+
+def test_arrow_columns_with_nulls_and_offsets():
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["skipped", "a b.", None, "", "é,  .", "a\x00b"], kind).slice(1)
+        for name in NAMES:
+            ids, begin = ENCODERS[name].encode(column)
+            want = [e.ids for e in PLAIN[name].encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == want
