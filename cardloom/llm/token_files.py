@@ -149,7 +149,7 @@ def _writer(vocabulary: str, end_id: int, folder: str, run: str, shard_bytes: in
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                own, begin = coder.encode([t or "" for t in batch.column("text").to_pylist()])
+                own, begin = coder.encode(batch.column("text"))
                 ids.append(np.insert(own, begin[1:], end_id).astype(f"<u{width}"))
                 counts.append(np.diff(begin) + 1)
                 nulls.append(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
